@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -21,29 +23,43 @@ IRREGULAR = {
 SHORT_WORD = 5
 
 
-def singular(word: Column) -> Column:
+def _ends(word: Column, *endings: str) -> Column:
+    return functools.reduce(operator.or_, [word.endswith(e) for e in endings])
+
+
+def _without(word: Column, n: int) -> Column:
+    return F.left(word, F.length(word) - n)
+
+
+def singular(word: Column | str) -> Column:
+    """The singular of a plural word by rule, any other word as it is."""
+    word = F.col(word) if isinstance(word, str) else word
     return (
-        F.when(word.endswith("ies") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(ss|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", ""))
-        .when(word.rlike("s$") & ~word.rlike("(ss|us|is)$"), F.regexp_replace(word, "s$", ""))
+        F.when(word.endswith("ies") & (F.length(word) > 4), F.concat(_without(word, 3), F.lit("y")))
+        .when(_ends(word, "sses", "xes", "zes", "ches", "shes"), _without(word, 2))
+        .when(word.endswith("s") & ~_ends(word, "ss", "us", "is"), _without(word, 1))
         .otherwise(word)
     )
 
 
-def plural(word: Column) -> Column:
+def plural(word: Column | str) -> Column:
+    """The plural of a singular word by rule."""
+    word = F.col(word) if isinstance(word, str) else word
+    after_consonant = word.endswith("y") & F.substring(word, -2, 1).isin(list("bcdfghjklmnpqrstvwxz"))
     return (
-        F.when(word.rlike("[bcdfghjklmnpqrstvwxz]y$"), F.regexp_replace(word, "y$", "ies"))
-        .when(word.rlike("(s|x|z|ch|sh)$"), F.concat(word, F.lit("es")))
+        F.when(after_consonant & (F.length(word) > 1), F.concat(_without(word, 1), F.lit("ies")))
+        .when(_ends(word, "s", "x", "z", "ch", "sh"), F.concat(word, F.lit("es")))
         .otherwise(F.concat(word, F.lit("s")))
     )
 
 
-def flip_number(word: Column | str, irregular: Mapping[str, str] = IRREGULAR) -> Column:
-    """The singular of a plural word, the plural of any other. ``word`` should be an attribute: it is read often."""
-    word = F.col(word) if isinstance(word, str) else word
-    one = singular(word)
-    by_rule = F.when(one != word, one).otherwise(plural(word))
+def other_number(word: str, one: str, irregular: Mapping[str, str] = IRREGULAR) -> Column:
+    """The singular of a plural word, the plural of any other.
+
+    Takes the names of two columns, the word and its ``singular``, so that the rules are worked out once per word.
+    """
+    by_rule = F.when(F.col(one) != F.col(word), F.col(one)).otherwise(plural(word))
     if not irregular:
         return by_rule
     table = F.create_map(*[F.lit(x) for pair in irregular.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, word), by_rule)
+    return F.coalesce(F.try_element_at(table, F.col(word)), by_rule)

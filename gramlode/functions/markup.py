@@ -30,7 +30,8 @@ ENTITIES = {
 }
 
 
-# The rest of a tag, and a whole tag; a ``>`` inside a quoted value does not end it.
+# The rest of a tag, and a whole tag; a ``>`` inside a quoted value does not end it. Groups are repeated possessively:
+# Java matches those in a loop, while other repeated groups recurse and overflow the stack on long input.
 TAG_REST = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
 TAG = rf"<(?=[a-zA-Z/!?]){TAG_REST}"
 
@@ -42,7 +43,7 @@ def _let(value: Column, body) -> Column:
 
 def without_hidden(html: Column) -> Column:
     """Comments, scripts and styles removed: their content is neither markup nor text."""
-    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>", "")
+    return F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
 
 
 def _open_tag(tag: str, attr: str, value: str) -> str:
@@ -51,9 +52,10 @@ def _open_tag(tag: str, attr: str, value: str) -> str:
         quoted = rf"\"(?:[^\"]*\s)?{v}(?:\s[^\"]*)?\"|'(?:[^']*\s)?{v}(?:\s[^']*)?'"
     else:
         quoted = rf"\"{v}\"|'{v}'"
-    # other attributes are skipped as name or name=value, so a match inside a quoted value does not count
-    skipped = r"(?:\s+[^\s=>\"'/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*?"
-    return rf"<(?i:{re.escape(tag)}){skipped}\s+(?i:{re.escape(attr)})\s*=\s*(?:{quoted}|{v}(?=[\s>/])){TAG_REST}"
+    name = rf"(?i:{re.escape(attr)})\s*="
+    # attributes of other names are skipped as a whole, so a match inside a quoted value does not count
+    skipped = rf"(?:[\s/]+(?!{name})[^\s=>\"'/]++(?:\s*=\s*(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+"
+    return rf"<(?i:{re.escape(tag)}){skipped}[\s/]+{name}\s*(?:{quoted}|{v}(?=[\s>/])){TAG_REST}"
 
 
 def decode_entities(text: Column) -> Column:
@@ -105,7 +107,7 @@ def element_text(html: Column | str, tag: str, attr: str, value: str) -> Column:
 
         start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("stop"))
         stop = F.aggregate(pieces, start, step, lambda acc: acc["stop"])
-        length = F.when(stop == 0, F.size(pieces)).otherwise(F.greatest(stop - 1, F.lit(1)))
+        length = F.when(stop == 0, F.size(pieces)).otherwise(stop - 1)
         return F.array_join(F.slice(pieces, F.lit(1), length), "")
 
     def text_of(found: Column) -> Column:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 MIN_TOKENS = 100
 MARGIN = 51
 
-# Fixed value: a word (inner hyphens and apostrophes kept) or any other single non-space character.
-TOKEN_RE = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]"
+# Fixed value: a word (inner hyphens and apostrophes kept) or any other single non-space character. The repeated group is
+# possessive, which changes no match but is a loop and no recursion, so that long chains do not overflow the stack.
+TOKEN_RE = r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*+|[^\s\p{L}\p{N}]"
 
 
 def _col(c: Column | str) -> Column:
@@ -98,18 +99,29 @@ def with_raw_tokens(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     return df.select(*keep, raw_tokens(text).alias("tokens"))
 
 
+def _pair_rows(df: DataFrame, keep: list[str], tokens: str) -> DataFrame:
+    """``(keep…, word, bigram)`` per token, the bigram null at the last one.
+
+    The strings are joined after the explode, where the concat is compiled into the loop that uses them; a lambda over
+    the array would be interpreted.
+    """
+    after = F.slice(tokens, F.lit(2), F.size(tokens))
+    pairs = F.when(F.size(tokens) > 0, F.arrays_zip(F.col(tokens).alias("a"), after.alias("b")))
+    rows = explode_rows(df, keep, pairs, "_pair")
+    return rows.select(*keep, F.col("_pair.a").alias("word"), F.concat("_pair.a", F.lit(" "), "_pair.b").alias("bigram"))
+
+
+def token_gram_rows(df: DataFrame, keep: list[str], tokens: str = "tokens") -> DataFrame:
+    """``(keep…, gram)``: the bigrams and single words of a token column, duplicates kept."""
+    rows = _pair_rows(df, keep, tokens)
+    return rows.select(*keep, F.stack(F.lit(2), "word", "bigram").alias("gram")).where(F.col("gram").isNotNull())
+
+
 def gram_rows(df: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``(keep…, gram)``: the single words and bigrams of every trimmed advert."""
-    return explode_rows(with_trimmed_tokens(df, keep, text), keep, all_grams("tokens"), "gram")
+    return token_gram_rows(with_trimmed_tokens(df, keep, text), keep)
 
 
 def bigram_rows(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     """``(bigram)`` for every neighbouring pair in a token column."""
-    last = F.size(tokens) - 1
-    pairs = F.arrays_zip(
-        F.slice(tokens, F.lit(1), last).alias("a"),
-        F.slice(tokens, F.lit(2), last).alias("b"),
-    )
-    # joined after the explode, where the concat is compiled together with the count that follows
-    rows = explode_rows(df, [], F.when(last > 0, pairs), "pair")
-    return rows.select(F.concat("pair.a", F.lit(" "), "pair.b").alias("bigram"))
+    return _pair_rows(df, [], tokens).select("bigram").where(F.col("bigram").isNotNull())

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.functions.inflect import IRREGULAR, SHORT_WORD, flip_number
+from gramlode.functions.inflect import IRREGULAR, SHORT_WORD, other_number, singular
 
 
 def literal_sheets(spark: SparkSession, sheets: Mapping[str, list[str]]) -> DataFrame:
@@ -45,25 +45,27 @@ def with_forms(bases: DataFrame, inflect: bool = True, irregular: Mapping[str, s
     if not inflect:
         return bases.where(F.length("base") <= SHORT_WORD).withColumn("surface", F.col("base"))
     # one projection per step, so that no expression is repeated inside the next
+    short = F.length("base") <= SHORT_WORD
     words = bases.select(*keep, F.split("base", " ").alias("_w"), F.regexp_count("base", F.lit(r"\S+")).alias("_n"))
+    single = F.col("_n") == 1
     parts = words.select(
-        *keep, "_n", F.get("_w", F.lit(0)).alias("_a"), F.coalesce(F.get("_w", F.lit(1)), F.lit("")).alias("_b")
+        *keep,
+        "_n",
+        # a single word is flipped with any outer spaces it has
+        F.when(single, F.col("base")).otherwise(F.get("_w", F.lit(0))).alias("_a"),
+        F.when(~single, F.coalesce(F.get("_w", F.lit(1)), F.lit(""))).alias("_b"),
     )
-    flipped = parts.select(
+    ones = parts.select(*keep, "_n", "_a", "_b", singular("_a").alias("_sa"), singular("_b").alias("_sb"))
+    flipped = ones.select(
         *keep,
         "_n",
         "_a",
         "_b",
-        flip_number("_a", irregular).alias("_fa"),
-        flip_number("_b", irregular).alias("_fb"),
-        flip_number("base", irregular).alias("_fbase"),
+        other_number("_a", "_sa", irregular).alias("_fa"),
+        other_number("_b", "_sb", irregular).alias("_fb"),
     )
     pairs = [F.concat(F.col(a), F.lit(" "), F.col(b)) for a in ("_a", "_fa") for b in ("_b", "_fb")]
-    forms = (
-        F.when(F.length("base") <= SHORT_WORD, F.array("base"))
-        .when(F.col("_n") == 1, F.array("base", "_fbase"))
-        .otherwise(F.array(*pairs))
-    )
+    forms = F.when(short, F.array("base")).when(single, F.array("_a", "_fa")).otherwise(F.array(*pairs))
     return flipped.select(*keep, F.explode_outer(F.array_distinct(forms)).alias("surface"))
 
 

@@ -55,4 +55,6 @@ def lookup_join(
     repeated = table.withColumnRenamed(right, left).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    return salted.join(repeated, [left, "_salt"]).drop("_salt")
+    # sort-merge on purpose: it spills, splits skewed partitions, and cannot be planned as a broadcast of the exploded
+    # rows, whose size the planner takes to be that of the compressed files they come from
+    return salted.join(repeated.hint("merge"), [left, "_salt"]).drop("_salt")

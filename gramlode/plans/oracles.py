@@ -91,8 +91,8 @@ SELECT tech, k.doc_id::VARCHAR AS job_id, base AS keyword, d.lang AS job_title,
 FROM keyword_n k JOIN documents d ON k.doc_id = d.doc_id {chosen}"""
 
 
-ARCHIVE = "printf('US_%05d.zip', doc_id // 50)"
-YEAR = "(2010 + (doc_id // 50) % 3)::INTEGER"
+ARCHIVE = "printf('US_%05d.zip', doc_id // 200)"
+YEAR = "(2010 + (doc_id // 200) % 3)::INTEGER"
 
 
 def _label_words(label: str) -> str:

@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.functions.text import all_grams, explode_rows, with_clean_tokens
+from gramlode.functions.text import token_gram_rows, with_clean_tokens
 from gramlode.operators import dictionary
-from gramlode.session import scratch_path, spread
+from gramlode.session import scratch_path, spread, stored
 from gramlode.sources.archives import open_stream
 
 # A small keyword workbook with a hit in every branch.
@@ -44,7 +44,7 @@ LABELS = [
 # Labels whose words occur in the given texts, so that scores differ between documents.
 FREQUENT_LABELS = ["of the", "that is", "de la", "der die und", "con los", "thermal energy"]
 
-ARCHIVE_DOCS = 50
+ARCHIVE_DOCS = 200
 FIRST_YEAR = 2010
 YEAR_FOLDERS = 3
 ROLES = ["assistant", "system", "user"]
@@ -59,17 +59,29 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select("doc_id", *columns), "doc_id")
 
 
+_dictionaries: dict[tuple[str, bool], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
 def literal_dictionary(spark: SparkSession, inflect: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Keywords, surfaces and matcher of the small workbook."""
-    keywords = dictionary.keyword_dict(dictionary.literal_sheets(spark, SHEETS))
-    surfaces = dictionary.surface_dict(keywords, inflect)
-    return keywords, surfaces, dictionary.matcher(surfaces, keywords)
+    """Keywords, surfaces and matcher of the small workbook.
+
+    Like any dimension they are stored tables, written once per application: the planner then knows their size, and the
+    size check does not work them out again.
+    """
+    made = (spark.sparkContext.applicationId, inflect)
+    if made not in _dictionaries:
+        sheets = dictionary.literal_sheets(spark, SHEETS)
+        keywords = stored(dictionary.keyword_dict(sheets).coalesce(1), "keywords")
+        surfaces = stored(dictionary.surface_dict(keywords, inflect).coalesce(1), "surfaces")
+        matches = stored(dictionary.matcher(surfaces, keywords).coalesce(1), "matches")
+        _dictionaries[made] = (keywords, surfaces, matches)
+    return _dictionaries[made]
 
 
 def derived_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A workbook that grows with the data: every word and bigram of the conversations is a raw keyword of its role."""
     turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
-    grams = explode_rows(with_clean_tokens(turns, ["role"], "text"), ["role"], all_grams("tokens"), "gram")
+    grams = token_gram_rows(with_clean_tokens(turns, ["role"], "text"), ["role"])
     raw = F.concat(F.translate("gram", " ", "_"), F.pmod(F.length("gram"), F.lit(10)).cast("string"))
     position = F.array_position(F.array(*[F.lit(r) for r in ROLES]), F.col("role")).cast("int")
     return grams.select(F.col("role").alias("tech"), position.alias("tech_pos"), raw.alias("raw"))

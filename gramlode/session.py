@@ -22,6 +22,8 @@ def build_session(app: str = "gramlode", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # a shuffled side whose partitions turn out small is hashed instead of sorted
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
         "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
