@@ -16,6 +16,9 @@ from gramlode.operators.sizing import fits_broadcast, lookup_join
 # A dictionary up to this many surface forms may be written into the plan as a hash set.
 INLINE_FORMS = 5_000
 
+# Up to this many base words the wide counts are plain conditional sums.
+FEW_COLUMNS = 64
+
 
 def gram_counts(adverts: DataFrame, key: list[str], text: str) -> DataFrame:
     """Every single word and bigram of every advert with its count.
@@ -56,11 +59,14 @@ def wide_counts(counts: DataFrame, bases: list[str], key: list[str], n: str | No
     """One row per group of ``key``, one column per base word in sorted order, null where there was no hit.
 
     Takes the long counts, or with ``n=None`` the hits themselves; then the counting and the turning are one aggregate
-    and one shuffle. The word list is given, so no job is run to find the columns.
+    and one shuffle. The word list is given, so no job is run to find the columns. With many columns the pivot is used,
+    which places each count by look-up instead of testing it against every column.
     """
     value = F.lit(1).cast("bigint") if n is None else F.col(n)
-    columns = [F.sum(F.when(F.col("base") == b, value)).alias(b) for b in sorted(set(bases))]
-    return counts.groupBy(*key).agg(*columns)
+    bases = sorted(set(bases))
+    if len(bases) > FEW_COLUMNS:
+        return counts.groupBy(*key).pivot("base", bases).agg(F.sum(value))
+    return counts.groupBy(*key).agg(*[F.sum(F.when(F.col("base") == b, value)).alias(b) for b in bases])
 
 
 def long_counts(wide: DataFrame, bases: list[str], key: list[str]) -> DataFrame:

@@ -54,11 +54,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/gramlode/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it back: later steps reuse the table instead of recomputing it,
-    also after an executor was lost."""
+def stored(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the scratch folder, in partitions ``by`` some columns, and read it back: later steps reuse the
+    table instead of recomputing it, also after an executor was lost."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -21,9 +21,7 @@ def read_keyword_sheets(spark: SparkSession, path: str, order: list[str] | None
 
     ``tech_pos`` is the place of the sheet in ``order``; sheets not named there come first.
     """
-    sheets = (
-        spark.read.option("header", "true").schema("bigrams string, tech string").csv(path)
-    )
+    sheets = spark.read.option("header", "true").schema("bigrams string, tech string").csv(path)
     position = F.array_position(F.array(*[F.lit(t) for t in order]), F.col("tech")) if order else F.lit(0)
     return sheets.select("tech", position.cast("int").alias("tech_pos"), F.col("bigrams").alias("raw")).where(
         F.col("raw").isNotNull()

@@ -107,7 +107,9 @@ def test_gram_counts_shuffle_the_text_only(adverts, explain):
     assert tree.index("Generate") < tree.index("Exchange")  # the exchange is below the explode
 
 
-def test_wide_and_long_agree(dims, adverts):
+@pytest.mark.parametrize("few", [0, 64])
+def test_wide_and_long_agree(dims, adverts, few, monkeypatch):
+    monkeypatch.setattr(counting, "FEW_COLUMNS", few)
     bases = sorted({r.base for r in dims[0].collect()})
     counts = counting.keyword_counts(adverts, dims[2], KEY, "JobText")
     from_counts = counting.wide_counts(counts, bases, [*KEY, "tech"])
