@@ -77,10 +77,13 @@ def decode_entities(text: Column) -> Column:
             ),
         )
 
-    out = F.when(F.contains(text, F.lit("&#")), with_numbers(text)).otherwise(text)
-    for entity, char in ENTITIES.items():
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
+    def with_names(value: Column) -> Column:
+        out = F.when(F.contains(value, F.lit("&#")), with_numbers(value)).otherwise(value)
+        for entity, char in ENTITIES.items():
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return out
+
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("&")), with_names(t)).otherwise(t))
 
 
 def element_text(html: Column | str, tag: str, attr: str, value: str) -> Column:
@@ -93,21 +96,20 @@ def element_text(html: Column | str, tag: str, attr: str, value: str) -> Column:
     # every piece but a leading text starts with an opening or closing tag of the same name
     boundary = rf"(?i)(?=<{name}[\s/>])|(?=</{name}\s*>)"
 
-    def up_to_close(pieces: Column) -> Column:
-        def step(acc: Column, piece: Column) -> Column:
-            opens = piece.rlike(rf"(?i)^<{name}[\s>]") & ~piece.rlike(rf"^{TAG[:-1]}(?<=/)>")
-            closes = piece.rlike(rf"(?i)^</{name}\s*>")
-            depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-            seen = acc["seen"] + 1
-            return F.struct(
-                depth.alias("depth"),
-                seen.alias("seen"),
-                F.when((acc["stop"] == 0) & (depth == 0), seen).otherwise(acc["stop"]).alias("stop"),
-            )
+    def change(piece: Column) -> Column:
+        opens = piece.rlike(rf"(?i)^<{name}[\s>]") & ~piece.rlike(rf"^{TAG[:-1]}(?<=/)>")
+        return F.when(opens, 1).when(piece.rlike(rf"(?i)^</{name}\s*>"), -1).otherwise(0)
 
+    def step(acc: Column, by: Column) -> Column:
+        depth, seen = acc["depth"] + by, acc["seen"] + 1
+        stop = F.when((acc["stop"] == 0) & (depth == 0), seen).otherwise(acc["stop"])
+        return F.struct(depth.alias("depth"), seen.alias("seen"), stop.alias("stop"))
+
+    def up_to_close(pieces: Column) -> Column:
         start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("stop"))
-        stop = F.aggregate(pieces, start, step, lambda acc: acc["stop"])
-        length = F.when(stop == 0, F.size(pieces)).otherwise(stop - 1)
+        closing = F.aggregate(F.transform(pieces, change), start, step, lambda acc: acc["stop"])
+        # no closing tag: all that follows belongs to the element
+        length = _let(closing, lambda stop: F.when(stop == 0, F.size(pieces)).otherwise(stop - 1))
         return F.array_join(F.slice(pieces, F.lit(1), length), "")
 
     def text_of(found: Column) -> Column:

@@ -59,14 +59,17 @@ def label_scores(
 ) -> DataFrame:
     """``(key…, label, score, rank)``: the best label has rank 1, equal scores rank in the order of the labels."""
     names = [label for label in labels if label.strip()]
+    if not names:
+        raise ValueError("no labels to score")
     raw = scorer(docs, key, text, names)
-    # softmax; the largest score is taken off first so that no exponential overflows
-    top = raw.select(*key, "raw", F.array_max("raw").alias("_top"))
-    powers = top.select(*key, F.transform("raw", lambda s: F.exp(s - F.col("_top"))).alias("_e"))
-    total = powers.select(*key, "_e", F.aggregate("_e", F.lit(0.0), lambda a, b: a + b).alias("_sum"))
     # struct order ranks: higher score first, then the earlier label
-    entries = F.transform("_e", lambda e, i: F.struct((-e / F.col("_sum")).alias("s"), i.alias("pos")))
-    ranked = total.select(*key, F.array_sort(entries).alias("_r"))
-    rows = ranked.select(*key, F.posexplode_outer("_r").alias("_i", "_x")).where(F.col("_x").isNotNull())
+    entries = F.transform("raw", lambda s, i: F.struct((-s).alias("s"), i.alias("pos")))
+    ranked = raw.select(*key, F.array_sort(entries).alias("_r"))
+    # softmax; the first entry has the largest score, which is taken off so that no exponential overflows
+    low = F.get("_r", F.lit(0))["s"]
+    total = F.aggregate("_r", F.lit(0.0), lambda total, x: total + F.exp(low - x["s"]))
+    summed = ranked.select(*key, "_r", low.alias("_low"), total.alias("_sum"))
+    rows = summed.select(*key, "_low", "_sum", F.posexplode_outer("_r").alias("_i", "_x")).where(F.col("_x").isNotNull())
     label = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("_x.pos") + 1)
-    return rows.select(*key, label.alias("label"), (-F.col("_x.s")).alias("score"), (F.col("_i") + 1).alias("rank"))
+    share = F.exp(F.col("_low") - F.col("_x.s")) / F.col("_sum")
+    return rows.select(*key, label.alias("label"), share.alias("score"), (F.col("_i") + 1).alias("rank"))
