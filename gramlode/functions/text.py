@@ -111,15 +111,22 @@ def _pair_rows(df: DataFrame, keep: list[str], tokens: str) -> DataFrame:
     return rows.select(*keep, F.col("_pair.a").alias("word"), F.concat("_pair.a", F.lit(" "), "_pair.b").alias("bigram"))
 
 
-def token_gram_rows(df: DataFrame, keep: list[str], tokens: str = "tokens") -> DataFrame:
-    """``(keep…, gram)``: the bigrams and single words of a token column, duplicates kept."""
+def token_gram_rows(
+    df: DataFrame, keep: list[str], tokens: str = "tokens", starts: DataFrame | None = None
+) -> DataFrame:
+    """``(keep…, gram)``: the bigrams and single words of a token column, duplicates kept.
+
+    ``starts`` is a small table of words: only grams that begin with one of them are made. It is broadcast.
+    """
     rows = _pair_rows(df, keep, tokens)
+    if starts is not None:
+        rows = rows.join(F.broadcast(starts), "word", "left_semi")
     return rows.select(*keep, F.stack(F.lit(2), "word", "bigram").alias("gram")).where(F.col("gram").isNotNull())
 
 
-def gram_rows(df: DataFrame, keep: list[str], text: str) -> DataFrame:
+def gram_rows(df: DataFrame, keep: list[str], text: str, starts: DataFrame | None = None) -> DataFrame:
     """``(keep…, gram)``: the single words and bigrams of every trimmed advert."""
-    return token_gram_rows(with_trimmed_tokens(df, keep, text), keep)
+    return token_gram_rows(with_trimmed_tokens(df, keep, text), keep, starts=starts)
 
 
 def bigram_rows(df: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramlode.functions.sampling import hash_sample
-from gramlode.functions.text import all_grams, explode_rows, gram_rows, snippet_text, with_trimmed_tokens
+from gramlode.functions.text import explode_rows, gram_rows, snippet_text, with_trimmed_tokens
 from gramlode.operators.sizing import fits_broadcast, lookup_join
 
 # A dictionary up to this many surface forms may be written into the plan as a hash set.
@@ -30,12 +30,34 @@ def gram_counts(adverts: DataFrame, key: list[str], text: str) -> DataFrame:
     return gram_rows(placed, key, text).groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_words(dictionary: DataFrame) -> DataFrame:
+    """``(word)``: how the surface forms begin."""
+    return dictionary.select(F.substring_index("surface", " ", 1).alias("word"))
+
+
 def hits(
-    adverts: DataFrame, dictionary: DataFrame, key: list[str], text: str, carry: list[str] | None = None, **join
+    adverts: DataFrame,
+    dictionary: DataFrame,
+    key: list[str],
+    text: str,
+    carry: list[str] | None = None,
+    small: bool | None = None,
+    **join,
 ) -> DataFrame:
-    """One row per gram found in ``dictionary`` (a table with a ``surface`` column) and per row it has there."""
+    """One row per gram found in ``dictionary`` (a table with a ``surface`` column) and per row it has there.
+
+    Words with which no surface form begins are dropped before any gram is built. Also a dictionary too large to be
+    broadcast often has few first words; then most grams are dropped before the shuffle.
+    """
     keep = [*key, *(carry or [])]
-    return lookup_join(gram_rows(adverts, keep, text), dictionary, "gram", "surface", salt_by=key, **join)
+    if small is None:
+        small = fits_broadcast(dictionary)
+    starts = first_words(dictionary)
+    if not small:
+        starts = starts.distinct()
+        starts = starts if fits_broadcast(starts) else None
+    grams = gram_rows(adverts, keep, text, starts)
+    return lookup_join(grams, dictionary, "gram", "surface", salt_by=key, small=small, **join)
 
 
 def surface_counts(adverts: DataFrame, surfaces: DataFrame, key: list[str], text: str, **join) -> DataFrame:
@@ -88,8 +110,15 @@ def _in_dictionary(surfaces: DataFrame) -> list[str] | None:
 
 
 def found_forms(tokens: str, forms: list[str]) -> Column:
-    """The grams of a token column that are among ``forms``, duplicates kept; a hash look-up per gram."""
-    return F.filter(all_grams(tokens), lambda gram: gram.isin(forms))
+    """The grams of a token column that are among ``forms``, duplicates kept.
+
+    A hash look-up per word finds the possible starts; grams are built for those only.
+    """
+    starts = sorted({form.split(" ")[0] for form in forms})
+    pairs = F.arrays_zip(F.col(tokens).alias("a"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("b"))
+    possible = F.filter(pairs, lambda p: p["a"].isin(starts))
+    grams = F.flatten(F.transform(possible, lambda p: F.array(p["a"], F.concat(p["a"], F.lit(" "), p["b"]))))
+    return F.when(F.size(tokens) > 0, F.filter(grams, lambda gram: gram.isin(forms)))
 
 
 def adverts_with_hits(adverts: DataFrame, surfaces: DataFrame, key: list[str], text: str) -> DataFrame:

@@ -148,7 +148,7 @@ def keyword_counts_short(spark, sf):
 def keyword_counts_large(spark, sf):
     """A dictionary that grows with the data, joined by salted shuffle."""
     keywords = stored(dictionary.keyword_dict(tb.derived_sheets(spark, sf)), "keywords")
-    matches = dictionary.matcher(dictionary.surface_dict(keywords), keywords)
+    matches = stored(dictionary.matcher(dictionary.surface_dict(keywords), keywords), "matches")
     docs = tb.documents(spark, sf, "text")
     return counting.keyword_counts(docs, matches, KEY, "text", small=False, salts=8)
 

@@ -83,7 +83,16 @@ def test_hot_gram_is_salted(spark, dims, explain):
     assert {(r.tech, r.base, r.n) for r in rows.collect()} == {("green", "solar", 40), ("other", "solar", 40)}
     assert rows.count() == 400
     shown = explain(rows)
-    assert "SortMergeJoin" in shown and "_salt" in shown and "BroadcastExchange" not in shown
+    assert "SortMergeJoin Inner" in shown and "_salt" in shown
+    assert "BroadcastHashJoin Inner" not in shown  # only the few first words are broadcast
+    assert "BroadcastHashJoin LeftSemi" in shown
+
+
+def test_many_first_words_are_not_broadcast(dims, adverts, explain, monkeypatch):
+    monkeypatch.setattr(counting, "fits_broadcast", lambda df, **_: False)
+    rows = counting.keyword_counts(adverts, dims[2], KEY, "JobText", salts=2)
+    assert as_counter(rows) == plain_counts(dims)
+    assert "BroadcastExchange" not in explain(rows)
 
 
 def test_size_check(spark):
