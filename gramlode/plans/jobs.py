@@ -95,13 +95,20 @@ def _output_names(spark: SparkSession, archive_names: list[str]) -> DataFrame:
 
 
 def explore_synonyms(
-    spark: SparkSession, feed: str | list[str], counts_path: str, base: str, core: str, threshold: float = 0.7
+    spark: SparkSession,
+    feed: str | list[str],
+    counts_path: str,
+    base: str,
+    core: str,
+    threshold: float = 0.7,
+    encoding: str = "UTF-8",
 ) -> DataFrame:
     """Count all bigrams of an XML feed into ``counts_path``, then list the candidates for ``base`` from that table.
 
-    Later look-ups for other words need only ``bigrams.synonym_candidates`` on the table.
+    The feed is read in splits, so one large file is no bottleneck. Later look-ups for other words need only
+    ``bigrams.synonym_candidates`` on the table.
     """
-    texts = adverts.read_xml(spark, feed).select("JobText")
+    texts = adverts.read_framed_xml(spark, feed, encoding).select("JobText")
     sink.write_bigram_counts(bigrams.bigram_counts(texts, "JobText"), counts_path)
     counts = spark.read.parquet(counts_path)
     return bigrams.most_frequent_first(bigrams.synonym_candidates(counts, base, core, threshold))

@@ -74,7 +74,9 @@ def read_framed_xml(spark: SparkSession, paths: str | list[str], encoding: str =
     """
     opening, closing = f"<{ROW_TAG}>", f"</{ROW_TAG}>"
     raw = spark.read.option("lineSep", closing).option("pathGlobFilter", "*.xml").text(_paths(paths))
-    text = F.decode(F.col("value").cast("binary"), encoding)
+    # the text source hands over the bytes as they are, which is right for UTF-8 only
+    unicode = encoding.upper().replace("-", "") == "UTF8"
+    text = F.col("value") if unicode else F.decode(F.col("value").cast("binary"), encoding)
     framed = raw.where(F.contains("value", F.lit(opening))).select(
         file_name().alias("source_file"),
         # taken directly on the scan, whose splits are fixed for the run: a recomputed task numbers its rows alike

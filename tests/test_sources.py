@@ -61,6 +61,11 @@ def test_framed_feed(spark, feed):
     assert parsed.select(*adverts.RECORD_KEY).distinct().count() == 10
 
 
+def test_framed_feed_in_utf8(spark, tmp_path):
+    (tmp_path / "u.xml").write_text(FEED.replace("ISO-8859-1", "UTF-8"), encoding="utf-8")
+    assert fields(adverts.usable(adverts.read_framed_xml(spark, str(tmp_path), "utf-8"))) == USABLE
+
+
 def test_framed_feed_in_small_splits(spark, feed):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
