@@ -58,70 +58,92 @@ def digests(text: str) -> np.ndarray:
     return mixed(raw + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _cells(keys: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """The cells of each digest, one in each third of the sketch."""
-    third = size // HASHES
-    return np.stack([(mixed(keys + np.uint64((seed * HASHES + j + 1) * 0xA0761D6478BD642F % 2**64)) % np.uint64(third)).astype(np.int64) + j * third for j in range(HASHES)])
-
-
 def _check(keys: np.ndarray) -> np.ndarray:
     return mixed(keys ^ np.uint64(0xE7037ED1A0B428DB))
 
 
-def sketch(keys: np.ndarray, size: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts, digest sums and check sums of ``size`` cells, a multiple of three."""
-    at = _cells(keys, size, seed).ravel()
-    sums, checks = np.zeros(size, np.uint64), np.zeros(size, np.uint64)
-    np.add.at(sums, at, np.tile(keys, HASHES))
-    np.add.at(checks, at, np.tile(_check(keys), HASHES))
-    return np.bincount(at, minlength=size), sums, checks
-
-
-def peel(counts: np.ndarray, sums: np.ndarray, checks: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray] | None:
-    """Digests that only the first and only the second of two subtracted sketches has, or None if peeling gets stuck."""
-    counts, sums, checks = counts.copy(), sums.copy(), checks.copy()
-    out: tuple[list, list] = ([], [])
-    while True:
-        single = np.flatnonzero(np.abs(counts) == 1)
-        sign = counts[single]
-        keys = np.where(sign > 0, sums[single], np.uint64(0) - sums[single])
-        good = _check(keys) == np.where(sign > 0, checks[single], np.uint64(0) - checks[single])
-        if not good.any():
-            break
-        keys, first = np.unique(keys[good], return_index=True)
-        sign = sign[good][first]
-        for way, found in ((1, out[0]), (-1, out[1])):
-            part = keys[sign == way]
-            if len(part):
-                found.append(part)
-                c, s, k = sketch(part, len(counts), seed)
-                counts, sums, checks = (counts - c, sums - s, checks - k) if way > 0 else (counts + c, sums + s, checks + k)
-    if counts.any() or sums.any() or checks.any():
-        return None
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out)
-
-
-def difference(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digests that only ``a`` and only ``b`` has, through their sketches."""
-    size, seed = HASHES * (4 + (len(a) + len(b)) // 4), 0
-    while True:
-        found = peel(*(x - y for x, y in zip(sketch(a, size, seed), sketch(b, size, seed))), seed)
-        if found is not None:
-            return found
-        size, seed = 2 * size, seed + 1
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Common share of the paragraphs of two texts, 1 if neither has any."""
-    if not len(a) and not len(b):
-        return 1.0
-    apart = sum(map(len, difference(a, b)))
-    return (len(a) + len(b) - apart) / (len(a) + len(b) + apart)
-
-
-def packed(keys: np.ndarray) -> bytes:
-    """The sketch that stands for a text: the number of its paragraphs and ``CELLS`` cells."""
-    return b"".join([len(keys).to_bytes(4, "little"), *(x.astype(np.uint64).tobytes() for x in sketch(keys, CELLS))])
+def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All digests of several texts, and the text of each."""
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+class Sketches:
+    """Sketches of several texts side by side, ``thirds`` times three cells each: counts, digest sums, check sums."""
+
+    def __init__(self, thirds: np.ndarray, seed: int = 0) -> None:
+        self.thirds, self.seed = thirds, seed
+        self.starts = HASHES * (np.cumsum(thirds) - thirds)
+        self.ends = self.starts + HASHES * thirds
+        n = int(HASHES * thirds.sum())
+        self.counts, self.sums, self.checks = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+
+    def add(self, keys: np.ndarray, owner: np.ndarray, times: np.ndarray) -> None:
+        """Add digests ``times`` (plus or minus one) to their texts' sketches: one cell in each third."""
+        third, start = self.thirds[owner], self.starts[owner]
+        signed, checks = keys * times.astype(np.uint64), _check(keys) * times.astype(np.uint64)
+        for j in range(HASHES):
+            turn = np.uint64((self.seed * HASHES + j + 1) * 0xA0761D6478BD642F % 2**64)
+            at = start + j * third + (mixed(keys + turn) % third.astype(np.uint64)).astype(np.int64)
+            np.add.at(self.counts, at, times)
+            np.add.at(self.sums, at, signed)
+            np.add.at(self.checks, at, checks)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Take out cell contents that are a single digest, added or subtracted, until there are none: the digests,
+        their texts and signs, and which texts' sketches are empty in the end, that is fully recovered."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        live = np.flatnonzero(self.counts)
+        while len(live):
+            single = live[np.abs(self.counts[live]) == 1]
+            sign = self.counts[single]
+            keys = self.sums[single] * sign.astype(np.uint64)
+            good = _check(keys) == self.checks[single] * sign.astype(np.uint64)
+            if not good.any():
+                break
+            keys, sign, owner = keys[good], sign[good], np.searchsorted(self.ends, single[good], side="right")
+            # the same digest may be alone in several of its cells
+            _, first = np.unique(keys ^ mixed(owner.astype(np.uint64)), return_index=True)
+            found.append((keys[first], owner[first], sign[first]))
+            self.add(keys[first], owner[first], -sign[first])
+            live = np.flatnonzero(self.counts)
+        left = np.r_[0, np.cumsum((self.counts != 0) | (self.sums != 0) | (self.checks != 0))]
+        done = left[self.ends] == left[self.starts]
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        return *parts, done
+
+
+def differences(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The digests that only one text of a pair has, through the pairs' subtracted sketches: the digests, their pairs,
+    and 1 for the left, -1 for the right text. Pairs whose peeling gets stuck are tried again at twice the size."""
+    sizes = np.array([len(a) + len(b) for a, b in zip(left, right)], np.int64)
+    pairs, thirds, seed = np.arange(len(sizes)), 4 + sizes // 4, 0
+    out = []
+    while len(pairs):
+        both = Sketches(thirds[pairs], seed)
+        for side, times in ((left, 1), (right, -1)):
+            keys, owner = _flat([side[p] for p in pairs])
+            both.add(keys, owner, np.full(len(keys), times))
+        keys, owner, sign, done = both.peel()
+        out.append((keys[done[owner]], pairs[owner[done[owner]]], sign[done[owner]]))
+        pairs, seed = pairs[~done], seed + 1
+        thirds = 2 * thirds
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def likeness(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common share of the paragraphs of each pair of texts, 1 if neither has any."""
+    sizes = np.array([len(a) + len(b) for a, b in zip(left, right)], float)
+    apart = np.bincount(differences(left, right)[1], minlength=len(sizes))
+    return np.where(sizes > 0, (sizes - apart) / np.maximum(sizes + apart, 1), 1.0)
+
+
+def packed(texts: list[np.ndarray]) -> list[bytes]:
+    """The sketch that stands for each text: the number of its paragraphs and ``CELLS`` cells."""
+    s = Sketches(np.full(len(texts), CELLS // HASHES))
+    keys, owner = _flat(texts)
+    s.add(keys, owner, np.ones(len(keys), np.int64))
+    cells = np.stack([s.counts.astype(np.uint64), s.sums, s.checks]).reshape(3, -1, CELLS)
+    return [len(t).to_bytes(4, "little") + cells[:, i].tobytes() for i, t in enumerate(texts)]
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, sketch binary, edited_sketch binary, near_edited double, near_next double"
@@ -134,18 +156,19 @@ def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done = None  # the bucket that has met its closing row
     rows: list[tuple] = []
 
-    def finish(doc: tuple, after: tuple) -> tuple:
+    def version(doc: tuple, after: tuple) -> tuple:
         _, doc_id, text, keys = doc
         cut = len(text) // 3
         edited = text[: len(text) - cut] + after[2][:cut]
-        changed = digests(edited) if cut else keys
-        return (doc_id, len(text), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), packed(keys), packed(changed), likeness(keys, changed), likeness(keys, after[3]))
+        sha = hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest()
+        return doc_id, len(text), sha, keys, digests(edited) if cut else keys, after[3]
 
     def batch() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
-        out = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], [x.split()[0] for x in OUT.split(", ")])
+        doc_id, n, sha, own, edited, after = (list(x) for x in zip(*rows))
         rows.clear()
-        return out
+        values = (doc_id, n, sha, packed(own), packed(edited), likeness(own, edited), likeness(own, after))
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        return pa.record_batch([pa.array(x, t) for x, t in zip(values, kinds)], [x.split()[0] for x in OUT.split(", ")])
 
     for part in batches:
         for bucket, copy, doc_id, text in zip(*(part.column(i) for i in range(4))):
@@ -154,8 +177,8 @@ def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             doc = (bucket, doc_id.as_py(), text, digests(text))
             if held is not None:
-                rows.append(finish(held, doc))
-                if len(rows) >= 1000:
+                rows.append(version(held, doc))
+                if len(rows) >= 256:
                     yield batch()
             held, done = (None, bucket) if copy.as_py() else (doc, done)
     if rows:
