@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import fingerprint, html, mixing, quality, simhash, topk, toxicity, warc
+from gramlode.llm import bpe, fingerprint, html, mixing, quality, simhash, topk, toxicity, warc
 from gramlode.llm.common import held_out, table
 
 
@@ -17,6 +17,10 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.grouped(prints).select("doc_id", hexed, "component_id")
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded_digests(table(spark, folder, "documents"))
+
+
 def op4_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")
     return topk.top_k(rows, rows.where("vec_id % 50 = 0")).select(
@@ -79,6 +83,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_bpe": op3_bpe,
     "op4_topk": op4_topk,
     "op5_html": op5_html,
     "op6_fingerprint": op6_fingerprint,

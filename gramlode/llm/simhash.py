@@ -21,18 +21,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlode.llm.tokens import mixed
 from gramlode.session import stored
 
 SHINGLE, RADIUS = 4, 4
 BITS = 64
+#: The wide fingerprints of ``near_duplicates``.
+WIDE = 512
 #: Hashes unpacked at once.
 _CHUNK = 1 << 16
 #: Fingerprints of a shard that one search handles; a larger shard is dealt out as pairs of such parts.
 PART = 4096
 
 
-def fingerprint(text: bytes, words: int = SHINGLE) -> int:
-    """The fingerprint of one UTF-8 text, unsigned: A-Z lower-cased, words between ASCII white space."""
+def fingerprint(text: bytes, words: int = SHINGLE, bits: int = BITS) -> int:
+    """The fingerprint of one UTF-8 text, unsigned: A-Z lower-cased, words between ASCII white space. Bits beyond the
+    first 64 come from further hashes of the shingles' hashes."""
     tokens = text.lower().split()
     if not tokens:
         return 0
@@ -42,12 +46,14 @@ def fingerprint(text: bytes, words: int = SHINGLE) -> int:
     size = max(1, len(tokens) - words + 1)
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
     spans = zip(begin[:size], end[min(words, len(tokens)) - 1 :])
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros(bits, np.int64)
     while True:
         h = np.fromiter((hashed(joined[a:b]) for a, b in itertools.islice(spans, _CHUNK)), ">u8")
         if not len(h):
             break
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        for lane in range(bits // 64):
+            x = h if lane == 0 else mixed(h.astype(np.uint64) + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)).astype(">u8")
+            counts[64 * lane : 64 * lane + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > size).tobytes(), "big")
 
 
@@ -145,27 +151,26 @@ class Forest:
 
 def links(tree: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the distinct fingerprints ``tree`` and ``queries``, and inside ``tree``
-    when both are the same list."""
-    out = []
+    when both are the same list: positions in ``queries`` and in ``tree``."""
+    out, same = [], tree is queries
     if len(tree) <= 3 or len(queries) <= 1:  # too few for a tree to pay
         for i, a in enumerate(queries):
-            out += [(a, b) for b in (tree[i + 1 :] if tree is queries else tree) if a != b and (a ^ b).bit_count() <= radius]
+            out += [(i, j) for j in range(i + 1 if same else 0, len(tree)) if (a ^ tree[j]).bit_count() <= radius]
         return out
     bk = BKTree(tree[0])
     for v in tree[1:]:
         bk.add(v)
-    place = {v: i for i, v in enumerate(bk.values)}
-    forest = Forest(len(bk.values) + (0 if tree is queries else len(queries)))
+    forest = Forest(len(tree) + (0 if same else len(queries)))
     for i, v in enumerate(queries):
-        own = place[v] if tree is queries else len(bk.values) + i
-        for node in bk.within(v, radius):
-            if bk.values[node] != v and forest.join(own, node):
-                out.append((v, bk.values[node]))
+        own = i if same else len(tree) + i
+        for j in bk.within(v, radius):
+            if (not same or i != j) and forest.join(own, j):
+                out.append((i, j))
     return out
 
 
 def _link_shards(radius: int):
-    """Sorted rows ``choice, bits, part, other, side, fp``: groups of equal first four columns."""
+    """Sorted rows ``choice, bits, part, other, side, fp, wide``: groups of equal first four columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
@@ -173,22 +178,26 @@ def _link_shards(radius: int):
         found: list[tuple[int, int]] = []
 
         def close() -> None:
-            tree, queries = sides
-            if key is not None:
-                found.extend(links(tree, tree, radius) if key[2] == key[3] else links(tree, queries, radius))
+            if key is None or not sides[0]:
+                return
+            tree, queries = (sides[0], sides[0]) if key[2] == key[3] else sides
+            if len(tree) > 1 or tree is not queries:
+                values = [w for _, w in tree]
+                pairs = links(values, values if tree is queries else [w for _, w in queries], radius)
+                found.extend((queries[i][0], tree[j][0]) for i, j in pairs)
 
         def out() -> pa.RecordBatch:
-            pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            pairs = np.array(found, np.int64).reshape(-1, 2)
             found.clear()
             return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:5]] + [np.asarray(batch.column(5)).view(np.uint64).tolist()]
-            for choice, bits, part, other, side, fp in zip(*columns):
+            wide = [int.from_bytes(w, "big") for w in batch.column(6).to_pylist()]
+            for choice, bits, part, other, side, fp, w in zip(*(c.to_pylist() for c in batch.columns[:6]), wide):
                 if (choice, bits, part, other) != key:
                     close()
                     key, sides = (choice, bits, part, other), ([], [])
-                sides[side].append(fp)
+                sides[side].append((fp, w))
             if len(found) >= 1 << 16:
                 yield out()
         close()
@@ -198,27 +207,38 @@ def _link_shards(radius: int):
     return run
 
 
-def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links ``a, b`` of different fingerprints ``fp``, at least a spanning forest of every connected group."""
-    n = distinct.count()
-    shards = distinct.select("fp", F.explode(_shards(F.col("fp"), radius, n)).alias("s")).select("s.choice", "s.bits", "fp")
-    shards = stored(shards, "simhash-shards")
-    sizes = shards.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = shards.join(sizes, ["choice", "bits"]).withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+def _linked(shards: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` between the ``fp`` of rows ``choice, bits, fp, wide`` that share a shard (``choice, bits``) and
+    whose ``wide`` bits are within the radius: at least a spanning forest of every group that is connected so."""
+    # only shards above the size of a part need to be known by their size
+    large = stored(
+        shards.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART), "simhash-large"
+    )
+    parts = F.coalesce(F.ceil(F.col("n") / PART), F.lit(1)).cast("int")
+    sized = shards.join(large, ["choice", "bits"], "left").withColumn("parts", parts)
     # parts of a shard meet in pairs; the part that comes first brings the tree, the other one the queries
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     meetings = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(
             F.least(F.col("own"), o).alias("part"), F.greatest(F.col("own"), o).alias("other"), (F.col("own") > o).cast("int").alias("side")
         ),
     )
-    dealt = sized.withColumn("own", own).select("choice", "bits", F.explode(meetings).alias("m"), "fp")
-    dealt = dealt.select("choice", "bits", "m.part", "m.other", "m.side", "fp")
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select(
+        "choice", "bits", F.explode(meetings).alias("m"), "fp", "wide"
+    )
+    dealt = dealt.select("choice", "bits", "m.part", "m.other", "m.side", "fp", "wide")
     placed = dealt.repartition("choice", "bits", "part", "other").sortWithinPartitions("choice", "bits", "part", "other")
     return placed.mapInArrow(_link_shards(radius), "a long, b long").distinct()
 
 
+def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links of different fingerprints ``fp`` of 64 bits within the radius, none between groups that should be apart and
+    at least a spanning forest of every connected group."""
+    shards = distinct.select("fp", F.explode(_shards(F.col("fp"), radius, distinct.count())).alias("s"))
+    wide = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    return _linked(shards.select("s.choice", "s.bits", "fp", wide.alias("wide")), radius)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` of every node of ``edges (a, b)``, the root being the smallest node it is connected to.
 
@@ -251,3 +271,49 @@ def grouped(prints: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> Dat
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_print = named.join(ids, "root").select("fp", "component_id")
     return prints.join(of_print, "fp", "left").select(key, "fp", "component_id")
+
+
+def _wide_prints(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, WIDE).to_bytes(WIDE // 8, "big") for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], ["doc_id", "row", "wide"])
+
+    return run
+
+
+def bits_apart(similarity: float, bits: int = WIDE) -> int:
+    """How many bits two sets of the given Jaccard similarity differ in, expected plus one and a half deviations: sets
+    of equal size with that overlap meet at the angle whose cosine is 2 s / (1 + s)."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of each group of near-duplicates of ``docs``: that with the smallest ``doc_id``, null last, then by a
+    hash of the row.
+
+    Texts are near if their shingles are similar to the given degree as their wide fingerprints tell it. Candidates
+    share a band of bits. Bands get wider with the number of different texts, so that a shard stays small; a pair right
+    at the similarity shares one of the bands with about 0.95 probability at 200,000 texts, equal texts always. Texts
+    without words form one group. Columns and their order stay as they are; no rows give no rows.
+    """
+    rows = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    prints = stored(
+        rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
+        .mapInArrow(_wide_prints(words), "doc_id long, row long, wide binary")
+        .withColumn("fp", F.xxhash64("wide")),
+        "near-prints",
+    )
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+    lowest = stored(prints.groupBy("fp").agg(F.min(rank).alias("low"), F.first("wide").alias("wide")), "near-distinct")
+    width = min(20, max(8, math.ceil(math.log2(max(lowest.count(), 2))) - 3))
+    # a band is cut out of the hexadecimal or binary digits; bits that fill no band are left for the comparison
+    digits = F.concat(*(F.lpad(F.conv(F.hex(F.substring("wide", 1 + 7 * i, 7)), 16, 2), 56, "0") for i in range(WIDE // 56)))
+    bands = F.array(*(F.struct(F.lit(k).alias("choice"), F.conv(F.substring("digits", 1 + k * width, width), 2, 10).cast("long").alias("bits")) for k in range(WIDE // 56 * 56 // width)))
+    shards = lowest.select("fp", "wide", digits.alias("digits")).select("fp", "wide", F.explode(bands).alias("s"))
+    roots = components(_linked(shards.select("s.choice", "s.bits", "fp", "wide"), bits_apart(similarity)))
+    named = lowest.join(roots, lowest.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
+    kept = named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_row"))
+    # rows that are equal in every column share their hash; one of them stays
+    return rows.join(kept.distinct(), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
