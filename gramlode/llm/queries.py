@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import bpe, fingerprint, html, mixing, quality, simhash, topk, toxicity, warc
+from gramlode.llm import bpe, fingerprint, html, lm, mixing, quality, simhash, topk, toxicity, warc
 from gramlode.llm.common import held_out, table
+from gramlode.session import stored
 
 
-def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
-    from gramlode.session import stored
+def op1_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return lm.score(docs, held_out(F.col("doc_id"), 7, 2)).withColumnRenamed("key", "doc_id")
 
+
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     prints = stored(simhash.fingerprints(table(spark, folder, "documents")), "simhash")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return simhash.grouped(prints).select("doc_id", hexed, "component_id")
@@ -82,6 +86,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm": op1_lm,
     "op2_simhash": op2_simhash,
     "op3_bpe": op3_bpe,
     "op4_topk": op4_topk,
