@@ -23,6 +23,8 @@ from gramlode.session import scratch_path, stored
 #: A payload shorter than this is always stored.
 LEAST_REVISIT = 100
 SPLIT = 4 << 20
+#: Tasks that ranges are dealt to at most.
+RANGE_TASKS = 10_000
 #: Read at once while looking for members.
 WINDOW = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
@@ -191,7 +193,9 @@ def read_warc(files: DataFrame, split: int = SPLIT) -> DataFrame:
         .select("path", "length", begin.alias("begin"))
         .withColumn("end", F.least(F.col("begin") + split, F.col("length")))
     )
-    return ranges.repartition("path", "begin").mapInArrow(_scan, READ)
+    # a fixed number of partitions: ranges are tiny rows, and joining them by their size would leave all reading to one task
+    most = files.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split)), F.lit(0))).first()[0]
+    return ranges.repartition(max(1, min(int(most), RANGE_TASKS)), "path", "begin").mapInArrow(_scan, READ)
 
 
 def archived(spark: SparkSession, pages: DataFrame) -> DataFrame:
