@@ -15,19 +15,18 @@ from gramlode.session import scratch_path
 
 #: The lowest quality score that stays.
 LEAST_QUALITY = 0.3
-_LEARN = ~held_out(F.col("doc_id"), 5, 0)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that do not reach their language's threshold of toxicity."""
-    model = toxicity.fit(docs, table(spark, folder, "labels"), _LEARN)
+    model = toxicity.fit(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id"), 5, 0))
     scored = toxicity.score(docs, model, docs.columns)
     return scored.where(F.col("_score") < toxicity.threshold(model, F.col("lang"))).select(*docs.columns)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents of sufficient quality."""
-    machine = quality.fit(docs, table(spark, folder, "labels"), "quality", _LEARN)
+    machine = quality.fit(docs, table(spark, folder, "labels"), "quality", ~held_out(F.col("doc_id"), 5, 0))
     return quality.score(docs, machine, docs.columns).where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
 
 

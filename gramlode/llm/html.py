@@ -23,6 +23,8 @@ LABELLED = 4000
 #: Weights kept, the most frequent elements and tags first.
 MOST_WEIGHTS = 2000
 UNKNOWN_WORD, UNKNOWN_TAG = 0.5, 1.0
+#: What each word and tag inside an element that is not text counts against a stretch that crosses it.
+ASIDE_COST = 0.1
 
 _ITEM = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
@@ -154,9 +156,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     seq = list(items(page))
     scores = []
     for kind, value, zone, aside, _ in seq:
-        if kind == "text":
-            weight = weights.get("w" + zone, UNKNOWN_WORD)
-            scores.append(len(value.split()) * (min(weight, -0.5) if aside else weight))
+        if aside:  # left out of any stretch, so that it only has to keep two texts apart
+            scores.append(-ASIDE_COST * (len(value.split()) if kind == "text" else 1))
+        elif kind == "text":
+            scores.append(len(value.split()) * weights.get("w" + zone, UNKNOWN_WORD))
         else:
             scores.append(-weights.get("t" + value, UNKNOWN_TAG))
     begin, end = best_stretch(scores)
