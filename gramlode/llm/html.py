@@ -125,7 +125,9 @@ def learned(pages: DataFrame, labelled: int = LABELLED) -> dict[str, float]:
     """Weights by key, from at most ``labelled`` pages with an article element. Without such pages there are none, and
     the defaults for unknown words and tags hold."""
     marked = pages.where(F.col("html").rlike(r"(?i)<article[\s>]")).select("html", F.xxhash64("url", "html").alias("at"))
-    sample = marked.orderBy("at").limit(labelled).select("html")
+    # only hashes are ordered; equal pages count once
+    chosen = marked.select("at").distinct().orderBy("at").limit(labelled)
+    sample = marked.join(F.broadcast(chosen), "at").dropDuplicates(["at"]).select("html")
     counts = sample.mapInArrow(_count_pages, "key string, inside boolean, n long").groupBy("key").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("inside"), F.sum("n").alias("n")
     )
