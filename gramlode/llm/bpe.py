@@ -163,9 +163,12 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray):
     and the distinct words as ``merged`` takes them. ``byte_code``, ``pair_code``: characters of single bytes, and of
     what two bytes merge to."""
 
-    def strings(codes: np.ndarray, ends: np.ndarray) -> list[str]:
-        text = codes.astype("<u4").tobytes().decode("utf-32-le")
-        return [text[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    def strings(codes: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """Runs of characters that end at ``ends``, without an object for each."""
+        data = codes.astype("<u4").tobytes().decode("utf-32-le").encode()
+        sizes = np.cumsum(1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800), dtype=np.int32)
+        offsets = np.r_[np.int32(0), sizes[ends - 1]].astype(np.int32)
+        return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +192,8 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray):
                 neighbours = np.ones(len(data) - 1, bool)
                 neighbours[np.cumsum(sizes)[:-1] - 1] = False  # words meet, but do not merge
                 r[inner] = pair_code[data[:-1][neighbours], data[1:][neighbours]]
-            split = pa.StructArray.from_arrays([pa.array(strings(t, ends), pa.string()), pa.array(strings(r, r_ends), pa.string())], ["t", "r"])
+            split = pa.StructArray.from_arrays([strings(t, ends), strings(r, r_ends)], ["t", "r"])
+            del t, r, inner, data, words
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
