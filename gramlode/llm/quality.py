@@ -179,12 +179,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     return docs.join(F.broadcast(chosen), "doc_id").select(*columns, F.col("_label").alias(label))
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what is worked out for its words stays small."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def _inputs(batch: pa.RecordBatch, first: int = 0) -> Features:
     return features(batch.column(first), batch.column(first + 1).cast(pa.float64()).to_numpy(zero_copy_only=False))
 
 
 def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         f = _inputs(batch)
         cuts = np.searchsorted(f.row, np.arange(len(f.stats) + 1))
         lists = lambda x, t: pa.array([x[a:b] for a, b in zip(cuts[:-1], cuts[1:])], pa.list_(t))  # noqa: E731, B023
@@ -202,6 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machin
     f = Features(np.repeat(np.arange(len(lengths)), lengths), *lists, stats)
     # the sample comes in the order of the tasks; the same rows in another order would train another model
     y = np.asarray(rows["y"], np.float64) if len(rows) else np.zeros(0)
+    del rows, lists
     return train(*_ordered(f, y))
 
 
@@ -222,7 +228,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Machine(*shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             k = batch.num_columns - 2
             yield pa.record_batch([*batch.columns[:k], pa.array(scores(held, _inputs(batch, k)))], [*batch.schema.names[:k], "_score"])
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gramlode.llm.quality import labelled_sample
+from gramlode.llm.quality import labelled_sample, slices
 from gramlode.llm.tokens import NOT_LETTERS, Hasher, blocks
 
 TABLE, DIM = 1 << 16, 12
@@ -193,7 +193,7 @@ def calibrated(scores_: np.ndarray, y: np.ndarray, langs: list[str | None], leas
 
 
 def _collect_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         parts = list(word_ids(batch.column(0)))
         row = np.concatenate([r for r, _ in parts]) if parts else np.zeros(0, np.int64)
         ids = np.concatenate([x for _, x in parts]) if parts else np.zeros((0, 3), np.int32)
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     of_label = [labelled_sample(docs, labels.where(F.col(label) == v), label, learn, ["text", "lang"], bound) for v in (0, 1)]
     rows = of_label[0].unionByName(of_label[1]).mapInArrow(_collect_ids, "ids binary, lang string, y int").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["y"], r["lang"] or "", r["ids"]))  # tasks give their rows in any order
-    words = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 3).astype(np.int64) for r in rows]
+    words = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 3) for r in rows]
     y = np.array([r["y"] for r in rows], float)
     net = train(words, y)
     projected, seen = project(net), []
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, projected = Net(*shared.value[0]), shared.value[1]
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             k = batch.num_columns - 1
             yield pa.record_batch([*batch.columns[:k], pa.array(scores(net, projected, batch.column(k)))], [*batch.schema.names[:k], "_score"])
 
