@@ -40,11 +40,14 @@ def answers(symbols: DataFrame, values: DataFrame) -> DataFrame:
 def json_bodies(answered: DataFrame, key: str) -> DataFrame:
     """``(key, body)``: the symbols of a request with their values as one JSON object, in the order asked.
 
-    A group is one request and no longer than the payload it came in.
+    A symbol that occurs more than once, in one row of requests or in several with the same key, keeps its first place
+    and its last value. A group is one request and no longer than the payload it came in.
     """
-    entries = F.sort_array(F.collect_list(F.struct("pos", "symbol", "value")))
-    pairs = F.transform(entries, lambda e: F.struct(e["symbol"], e["value"]))
-    return answered.groupBy(key).agg(F.to_json(F.map_from_entries(pairs)).alias("body"))
+    asked = answered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "symbol", "value"))).alias("_asked"))
+    symbols = F.array_distinct(F.transform("_asked", lambda e: e["symbol"]))
+    last = lambda s: F.element_at(F.filter("_asked", lambda e: e["symbol"] == s), -1)["value"]
+    pairs = F.transform(symbols, lambda s: F.struct(s, last(s)))
+    return asked.select(key, F.to_json(F.map_from_entries(pairs)).alias("body"))
 
 
 def json_string(text: Column) -> Column:

@@ -101,14 +101,23 @@ def _batch(year: int | None, name: str, first: int, texts: list[str]) -> pa.Reco
 
 
 def list_archives(spark: SparkSession, folder: str, years: list[int] | None = None) -> DataFrame:
-    """``(year, path)`` of the ``*.zip`` files in ``folder`` or in its ``year=`` folders.
+    """``(year, path)`` of the ``*.zip`` files in ``folder``, in its ``year=2014`` or in its plain ``2014`` folders.
 
-    Only names are listed, no content is read; other years' folders are pruned.
+    Only names are listed, no content is read; other years' folders are pruned. When years are asked for, a folder with
+    archives of which none stands in a year's folder is an error, not an empty result.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
-    if "year" not in listing.columns:
-        listing = listing.withColumn("year", F.lit(None).cast("int"))
-    listing = listing.select(F.col("year").cast("int").alias("year"), "path")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip")
+    listing = files.load(folder)
+    if "year" in listing.columns:
+        listing = listing.select(F.col("year").cast("int").alias("year"), "path")
+    else:
+        named = F.regexp_extract("path", r"/(\d{4})/[^/]*$", 1)
+        year = F.when(named != "", named.cast("int")).alias("year")
+        listing = files.option("recursiveFileLookup", "true").load(folder).select(year, "path")
+        if years is not None:
+            archives, dated = listing.agg(F.count("path"), F.count("year")).first()
+            if archives and not dated:
+                raise ValueError(f"no year in the paths of the archives below {folder}")
     return listing if years is None else listing.where(F.col("year").isin(years))
 
 

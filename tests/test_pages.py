@@ -130,3 +130,10 @@ def test_pages_are_reduced_before_they_move(answered, explain):
     shown = explain(answered)
     exchanges = [line for line in shown.splitlines() if line.startswith("Arguments: hashpartitioning")]
     assert exchanges and "html" not in " ".join(exchanges)
+
+
+def test_json_bodies_keep_the_last_value_of_a_repeated_symbol(spark):
+    rows = [("k", 0, "a", "1"), ("k", 1, "b", "2"), ("k", 2, "a", "3"), ("k", 1, "b", "4"), ("l", 0, "a", "9")]
+    frame = spark.createDataFrame(rows, "key string, pos int, symbol string, value string")
+    bodies = {r.key: r.body for r in pg.json_bodies(frame, "key").collect()}
+    assert bodies == {"k": '{"a":"3","b":"4"}', "l": '{"a":"9"}'}

@@ -165,3 +165,16 @@ def test_lines(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo\n")
     assert [r.value for r in src.read_lines(spark, str(tmp_path / "a.txt")).collect()] == ["one", "", "two"]
     assert src.read_lines(spark, [str(tmp_path / "a.txt")] * 2).where(F.col("value") != "").count() == 4
+
+
+def test_archives_in_plain_year_folders(spark, tmp_path):
+    for year in (2013, 2014):
+        (tmp_path / "feed" / str(year)).mkdir(parents=True)
+        (tmp_path / "feed" / str(year) / "a.zip").write_bytes(b"x")
+    found = archives.list_archives(spark, str(tmp_path / "feed"), [2014]).collect()
+    assert [(r.year, r.path.rsplit("/", 2)[1]) for r in found] == [(2014, "2014")]
+    assert archives.list_archives(spark, str(tmp_path / "feed")).count() == 2
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "a.zip").write_bytes(b"x")
+    with pytest.raises(ValueError, match="no year"):
+        archives.list_archives(spark, str(tmp_path / "flat"), [2014])
