@@ -131,41 +131,60 @@ class BKTree:
         return out
 
 
-class Forest:
-    """Union-find over positions; ``join`` says whether two were still apart."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        a, b = self.root(i), self.root(j)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
+class Pool:
+    """Fingerprints that no link has reached yet, in a tree that is built anew when half of it is taken."""
+
+    def __init__(self, values: list[int]) -> None:
+        self.values, self.free, self.left = values, [True] * len(values), len(values)
+        self._grow(range(len(values)))
+
+    def _grow(self, places) -> None:
+        self.places = list(places)
+        self.tree = BKTree(self.values[self.places[0]]) if self.places else None
+        for i in self.places[1:]:
+            self.tree.add(self.values[i])
+
+    def take(self, i: int) -> None:
+        self.free[i] = False
+        self.left -= 1
+
+    def take_near(self, value: int, radius: int) -> list[int]:
+        """Take all within the radius."""
+        if not self.left:
+            return []
+        if 2 * self.left < len(self.places):
+            self._grow(i for i in self.places if self.free[i])
+        found = [i for i in (self.places[n] for n in self.tree.within(value, radius)) if self.free[i]]
+        for i in found:
+            self.take(i)
+        return found
 
 
 def links(tree: list[int], queries: list[int], radius: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the distinct fingerprints ``tree`` and ``queries``, and inside ``tree``
-    when both are the same list: positions in ``queries`` and in ``tree``."""
+    when both are the same list: positions in ``queries`` and in ``tree``.
+
+    Links are followed from one fingerprint to those that none has reached yet, so that a dense group is taken at once
+    instead of being searched once for each member.
+    """
     out, same = [], tree is queries
     if len(tree) <= 3 or len(queries) <= 1:  # too few for a tree to pay
         for i, a in enumerate(queries):
             out += [(i, j) for j in range(i + 1 if same else 0, len(tree)) if (a ^ tree[j]).bit_count() <= radius]
         return out
-    bk = BKTree(tree[0])
-    for v in tree[1:]:
-        bk.add(v)
-    forest = Forest(len(tree) + (0 if same else len(queries)))
-    for i, v in enumerate(queries):
-        own = i if same else len(tree) + i
-        for j in bk.within(v, radius):
-            if (not same or i != j) and forest.join(own, j):
-                out.append((i, j))
+    pools = [Pool(tree)]
+    pools.append(pools[0] if same else Pool(queries))
+    for start in range(len(tree)):
+        if not pools[0].free[start]:
+            continue
+        pools[0].take(start)
+        reached = [(0, start)]
+        while reached:
+            side, i = reached.pop()
+            other = 1 - side
+            for j in pools[other].take_near((tree, queries)[side][i], radius):
+                out.append((j, i) if side == 0 else (i, j))
+                reached.append((other, j))
     return out
 
 
