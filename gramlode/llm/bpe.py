@@ -108,35 +108,36 @@ def _literal_map(ranks: RankMap) -> Column:
     return F.struct(number(ranks.shift).alias("shift"), number(ranks.pair).alias("pair"), chars.alias("rank"))
 
 
-def _look_up(table: Column, a: Column, b: Column) -> Column:
-    """The character of two neighbours' merged token, ``NONE`` if they do not merge."""
-    group = (a * _MIX_GROUP[0] + b * _MIX_GROUP[1]) % _GROUPS
-    slot = (a * _MIX[0] + b * _MIX[1] + table["shift"][group]) % _SLOTS
-    return F.when(table["pair"][slot] == a * 65536 + b, table["rank"][slot]).otherwise(F.lit(NONE))
-
-
 def _with(value: Column, body) -> Column:
-    """Bind a value for use in several places of an expression."""
+    """Bind a value for use in several places of an expression, which would evaluate it at each."""
     return F.transform(F.array(value), body)[0]
 
 
+def _look_up(table: Column, a: Column, b: Column) -> Column:
+    """The character of two neighbours' merged token, ``NONE`` if they do not merge, as with an ``EDGE``."""
+    group = (a * _MIX_GROUP[0] + b * _MIX_GROUP[1]).bitwiseAND(_GROUPS - 1)
+    place = (a * _MIX[0] + b * _MIX[1] + table["shift"][group]).bitwiseAND(_SLOTS - 1)
+    return _with(place, lambda s: F.when(table["pair"][s] == a * 65536 + b, table["rank"][s]).otherwise(F.lit(NONE)))
+
+
 def merged(word: Column, table: Column) -> Column:
     """Fold the merges over one word ``struct(t, r)``: its tokens' characters between two edges, and the characters that
     its neighbours merge to, the edges' included. A step joins the first pair of lowest rank."""
 
     def code(t: Column, i: Column) -> Column:
-        return F.ascii(F.substring(t, i, F.lit(1)))
+        return F.ascii(F.substring(t, i, F.lit(1))).cast("long")
 
     def step(state: Column, _: Column) -> Column:
         t, r = state["t"], state["r"]
 
         def join(low: Column) -> Column:
             def at(i: Column) -> Column:
-                new = F.ascii(low).cast("long")
-                before, after = code(t, i - 1).cast("long"), code(t, i + 2).cast("long")
-                sides = F.concat(
-                    F.when(before == ord(EDGE), F.lit(NONE)).otherwise(_look_up(table, before, new)),
-                    F.when(after == ord(EDGE), F.lit(NONE)).otherwise(_look_up(table, new, after)),
+                codes = F.struct(
+                    code(t, i - 1).alias("before"), F.ascii(low).cast("long").alias("new"), code(t, i + 2).alias("after")
+                )
+                sides = _with(
+                    codes,
+                    lambda c: F.concat(_look_up(table, c["before"], c["new"]), _look_up(table, c["new"], c["after"])),
                 )
                 return F.struct(
                     F.overlay(t, low, i, F.lit(2)).alias("t"), F.overlay(r, sides, i - 1, F.lit(3)).alias("r")
@@ -158,10 +159,11 @@ def encoded_words(words: Column, ranks: RankMap) -> Column:
 BLOCK = "keys array<long>, sizes binary, places binary, words array<struct<t string, r string>>"
 
 
-def _gather(byte_code: np.ndarray, pair_code: np.ndarray):
+def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, codes: np.ndarray):
     """Rows ``key, words`` to one row per batch: keys, words a document, the place of every word among the distinct ones,
     and the distinct words as ``merged`` takes them. ``byte_code``, ``pair_code``: characters of single bytes, and of
-    what two bytes merge to."""
+    what two bytes merge to. A word that is one of ``tokens`` is that token, whatever its merges: ``codes`` has its
+    character."""
 
     def strings(codes: np.ndarray, ends: np.ndarray) -> pa.Array:
         """Runs of characters that end at ``ends``, without an object for each."""
@@ -179,21 +181,29 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray):
             offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1] if n else np.zeros(1, np.int64)
             data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
             sizes = np.diff(offsets)
-            ends = np.cumsum(sizes + 2)
-            t = np.full(len(data) + 2 * n, ord(EDGE), np.uint32)
+            whole = np.asarray(pc.fill_null(pc.index_in(words, tokens), -1))
+            begins = np.cumsum(sizes) - sizes
+            single = np.repeat(whole >= 0, sizes)  # bytes of words that are tokens: the first one stands for the word
+            chars = byte_code[data]
+            chars[begins[whole >= 0]] = codes[whole[whole >= 0]]
+            kept = ~single
+            kept[begins] = True
+            lengths = np.where(whole >= 0, 1, sizes)
+            ends = np.cumsum(lengths + 2)
+            t = np.full(kept.sum() + 2 * n, ord(EDGE), np.uint32)
             inner = np.ones(len(t), bool)
-            inner[ends - 1] = inner[ends - sizes - 2] = False
-            t[inner] = byte_code[data]
-            r_ends = np.cumsum(sizes + 1)
-            r = np.full(len(data) + n, ord(NONE), np.uint32)
+            inner[ends - 1] = inner[ends - lengths - 2] = False
+            t[inner] = chars[kept]
+            r_ends = np.cumsum(lengths + 1)
+            r = np.full(kept.sum() + n, ord(NONE), np.uint32)
             inner = np.ones(len(r), bool)
-            inner[r_ends - 1] = inner[r_ends - sizes - 1] = False
+            inner[r_ends - 1] = inner[r_ends - lengths - 1] = False
             if len(data) > 1:
-                neighbours = np.ones(len(data) - 1, bool)
-                neighbours[np.cumsum(sizes)[:-1] - 1] = False  # words meet, but do not merge
+                neighbours = ~single[:-1]
+                neighbours[begins[1:] - 1] = False  # words meet, but do not merge
                 r[inner] = pair_code[data[:-1][neighbours], data[1:][neighbours]]
             split = pa.StructArray.from_arrays([strings(t, ends), strings(r, r_ends)], ["t", "r"])
-            del t, r, inner, data, words
+            del t, r, inner, data, words, chars, single, kept
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
@@ -264,7 +274,9 @@ def encode(
     pieces = {chr(rank + 1): token for token, rank in ranks.items()}
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     split = docs.select(F.col(f"`{key}`").cast("long").alias("key"), words.alias("words"))
-    blocks = split.mapInArrow(_gather(byte_code, pair_code), BLOCK)
+    tokens = pa.array(ranks.keys(), pa.large_binary())
+    codes = np.fromiter(ranks.values(), np.uint32, len(ranks)) + 1
+    blocks = split.mapInArrow(_gather(byte_code, pair_code, tokens, codes), BLOCK)
     folded = blocks.select("keys", "sizes", "places", encoded_words(F.col("words"), rank_map(ranks)).alias("tokens"))
     kinds = ("string", "string") if digests else ("array<int>", "binary")
     return folded.mapInArrow(_spread(pieces, digests), f"key long, n_tokens long, ids {kinds[0]}, decoded {kinds[1]}")
