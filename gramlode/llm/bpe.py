@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with the ranks of a public vocabulary file.
 
-Texts are split by the tokenizer's pattern. The distinct words of a block of documents go through the merges once: Spark
+Texts are split by the tokenizer's pattern. The distinct words of a task's documents go through the merges once: Spark
 higher-order functions fold over a word's array of byte tokens, each step joining the first pair of lowest rank, until
-no pair has one. The ranks are a literal: every pair of tokens whose bytes together are a token, placed by a perfect
+no pair has one. Documents come in blocks of bounded size; a block brings the words that the ones before it had not. The ranks are a literal: every pair of tokens whose bytes together are a token, placed by a perfect
 hash, so that a look-up is two array accesses. Documents then take the ids of their words; decoding concatenates the
 binary pieces of the ids.
 """
@@ -156,12 +156,25 @@ def encoded_words(words: Column, ranks: RankMap) -> Column:
     return _with(_literal_map(ranks), lambda table: F.transform(words, lambda w: merged(w, table)))
 
 
-BLOCK = "keys array<long>, sizes binary, places binary, words array<struct<t string, r string>>"
+#: ``fresh``: the table of distinct words begins anew with this block.
+BLOCK = "fresh boolean, keys array<long>, sizes binary, places binary, words array<struct<t string, r string>>"
+#: Words of a block (one document may have more), and distinct words after which the table begins anew.
+BLOCK_WORDS, TABLE_WORDS = 1 << 20, 1 << 19
+
+
+def _block_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    ends = np.cumsum(pc.list_value_length(batch.column(1)).fill_null(0))
+    begin = 0
+    while begin < batch.num_rows:
+        held = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, held + BLOCK_WORDS, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
 
 
 def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, codes: np.ndarray):
-    """Rows ``key, words`` to one row per batch: keys, words a document, the place of every word among the distinct ones,
-    and the distinct words as ``merged`` takes them. ``byte_code``, ``pair_code``: characters of single bytes, and of
+    """Rows ``key, words`` to one row per block: keys, words a document, the place of every word among the distinct ones,
+    and the distinct words that are new, as ``merged`` takes them. ``byte_code``, ``pair_code``: characters of single bytes, and of
     what two bytes merge to. A word that is one of ``tokens`` is that token, whatever its merges: ``codes`` has its
     character."""
 
@@ -173,10 +186,20 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, code
         return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        seen = pa.array([], pa.large_binary())
+        for batch in (part for whole in batches for part in _block_slices(whole)):
             lists = batch.column(1)
             coded = pc.dictionary_encode(lists.flatten())
             words = coded.dictionary.cast(pa.large_binary())
+            if len(seen) > TABLE_WORDS:
+                seen = seen[:0]
+            fresh = not len(seen)
+            known = pc.index_in(words, seen)
+            new = np.asarray(known.is_null())
+            table_place = np.array(known.fill_null(0), np.int32)
+            table_place[new] = np.arange(len(seen), len(seen) + new.sum())
+            words = words.filter(pa.array(new))
+            seen = pa.concat_arrays([seen, words])
             n = len(words)
             offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1] if n else np.zeros(1, np.int64)
             data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if n else np.zeros(0, np.uint8)
@@ -206,17 +229,23 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, code
             del t, r, inner, data, words, chars, single, kept
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([fresh]),
                     pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0)),
                     pa.array([np.asarray(lists.value_lengths().fill_null(0), np.int64).tobytes()], pa.binary()),
-                    pa.array([np.asarray(coded.indices, np.int32).tobytes()], pa.binary()),
+                    pa.array([table_place[np.asarray(coded.indices)].tobytes()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), split),
                 ],
-                ["keys", "sizes", "places", "words"],
+                ["fresh", "keys", "sizes", "places", "words"],
             )
 
     return run
 
 
+def token_table(ranks: dict[bytes, int]) -> tuple[pa.Array, np.ndarray]:
+    """The tokens' bytes and, at the same places, their characters."""
+    return pa.array(ranks.keys(), pa.large_binary()), np.fromiter(ranks.values(), np.uint32, len(ranks)) + 1
+
+
 def decode(text: str, pieces: dict[str, bytes]) -> bytes:
     """The bytes of tokens written as characters: their binary pieces one after the other."""
     return b"".join([pieces[c] for c in text])
@@ -241,10 +270,12 @@ def _spread(pieces: dict[str, bytes], digests: bool):
         return pa.RecordBatch.from_arrays([keys, pa.array(list(map(len, texts)), pa.int64()), ids, back], ["key", "n_tokens", "ids", "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.array([], object)
         for batch in batches:
-            for keys, sizes, places, tokens in zip(*batch.columns):
+            for fresh, keys, sizes, places, tokens in zip(*batch.columns):
                 ends = np.cumsum(np.frombuffer(sizes.as_py(), np.int64))
-                words = np.array([*tokens.values.to_pylist(), None], object)[:-1]
+                new = np.array([*tokens.values.to_pylist(), None], object)[:-1]
+                words = new if fresh.as_py() else np.concatenate([words, new])
                 held = np.frombuffer(places.as_py(), np.int32)
                 for a in range(0, len(ends), 500):
                     yield rows(keys.values[a : a + 500], int(ends[a - 1]) if a else 0, ends[a : a + 500], held, words)
@@ -274,10 +305,8 @@ def encode(
     pieces = {chr(rank + 1): token for token, rank in ranks.items()}
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     split = docs.select(F.col(f"`{key}`").cast("long").alias("key"), words.alias("words"))
-    tokens = pa.array(ranks.keys(), pa.large_binary())
-    codes = np.fromiter(ranks.values(), np.uint32, len(ranks)) + 1
-    blocks = split.mapInArrow(_gather(byte_code, pair_code, tokens, codes), BLOCK)
-    folded = blocks.select("keys", "sizes", "places", encoded_words(F.col("words"), rank_map(ranks)).alias("tokens"))
+    blocks = split.mapInArrow(_gather(byte_code, pair_code, *token_table(ranks)), BLOCK)
+    folded = blocks.select("fresh", "keys", "sizes", "places", encoded_words(F.col("words"), rank_map(ranks)).alias("tokens"))
     kinds = ("string", "string") if digests else ("array<int>", "binary")
     return folded.mapInArrow(_spread(pieces, digests), f"key long, n_tokens long, ids {kinds[0]}, decoded {kinds[1]}")
 

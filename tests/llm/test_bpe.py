@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import tiktoken
 
 from gramlode.llm import bpe
@@ -20,3 +22,22 @@ def test_other_vocabulary(spark):
     library = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
     got = {r.key: list(r.ids) for r in bpe.encode(frame, ranks=ranks, pattern=r"\S+|\s+").collect()}
     assert got == {1: library.encode_ordinary("abc aaaa bcbc abab"), 2: []}
+
+
+def test_blocks_share_their_words(spark, docs, monkeypatch):
+    """Small blocks, whose table of words begins anew now and then, give the ids of one block."""
+    key = lambda r: (r.key is None, r.key or 0, list(r.ids))
+    whole = sorted(map(key, bpe.encode(docs.coalesce(1)).collect()))
+    ranks, pattern = bpe.default_ranks()
+    tokens, codes = bpe.token_table(ranks)
+    words = [["ab", "cd", "ab"], [], ["ef", "ab"], ["cd", "gh"]]
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(words)], ["key", "words"])
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", 2)
+    monkeypatch.setattr(bpe, "TABLE_WORDS", 2)
+    blank = np.full((256, 256), ord(bpe.NONE), np.uint32)
+    blocks = list(bpe._gather(np.arange(1, 257, dtype=np.uint32), blank, tokens, codes)([batch]))
+    rows = [r for b in blocks for r in b.to_pylist()]
+    assert [r["keys"] for r in rows] == [[0], [1, 2], [3]]
+    assert [r["fresh"] for r in rows] == [True, False, True]
+    assert [np.frombuffer(r["places"], np.int32).tolist() for r in rows] == [[0, 1, 0], [2, 0], [0, 1]]
+    assert whole == sorted(map(key, bpe.encode(docs.repartition(7)).collect()))
