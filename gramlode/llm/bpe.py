@@ -159,7 +159,7 @@ def encoded_words(words: Column, ranks: RankMap) -> Column:
 #: ``fresh``: the table of distinct words begins anew with this block.
 BLOCK = "fresh boolean, keys array<long>, sizes binary, places binary, words array<struct<t string, r string>>"
 #: Words of a block (one document may have more), and distinct words after which the table begins anew.
-BLOCK_WORDS, TABLE_WORDS = 1 << 20, 1 << 19
+BLOCK_WORDS, TABLE_WORDS = 1 << 19, 1 << 19
 
 
 def _block_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, code
                 neighbours[begins[1:] - 1] = False  # words meet, but do not merge
                 r[inner] = pair_code[data[:-1][neighbours], data[1:][neighbours]]
             split = pa.StructArray.from_arrays([strings(t, ends), strings(r, r_ends)], ["t", "r"])
-            del t, r, inner, data, words, chars, single, kept
+            del t, r, inner, data, chars, single, kept
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([fresh]),
@@ -237,6 +237,8 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, code
                 ],
                 ["fresh", "keys", "sizes", "places", "words"],
             )
+            del lists, coded, words, split, known, new, table_place
+            pa.default_memory_pool().release_unused()  # workers stay for the next task; so would what Arrow holds
 
     return run
 
@@ -279,6 +281,7 @@ def _spread(pieces: dict[str, bytes], digests: bool):
                 held = np.frombuffer(places.as_py(), np.int32)
                 for a in range(0, len(ends), 500):
                     yield rows(keys.values[a : a + 500], int(ends[a - 1]) if a else 0, ends[a : a + 500], held, words)
+            pa.default_memory_pool().release_unused()
 
     return run
 
