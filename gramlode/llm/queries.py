@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage and their SQL twins."""
+"""The registered queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gramlode.llm import bpe, fingerprint, html, lm, mixing, quality, simhash, topk, toxicity, warc
 from gramlode.llm.common import held_out, table
+from gramlode.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from gramlode.session import stored
 
 
@@ -97,4 +98,3 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
