@@ -22,25 +22,20 @@ def ingest_archives(
     end_year: int,
     skip: Sequence[int] = (),
     encoding: str = "ISO-8859-1",
-) -> list[str]:
+) -> DataFrame:
     """Unpack and parse the archives of the chosen years once, into a parquet table below ``year=/source_file=``.
 
     Everything later reads that table: columns are pruned, and no archive is unpacked twice. Malformed records are kept
-    with their text in ``_corrupt_record``. Running an archive again replaces its partition. Returns the archives' names.
+    with their text in ``_corrupt_record``. Running an archive again replaces its partition, also when no record is left.
+    Returns the stored list of archives, ``(year, source_file)``.
     """
     years = [y for y in range(start_year, end_year + 1) if y not in set(skip)]
-    listing = archives.list_archives(spark, feed, years).select("path")
-    names = sorted(row.path.rsplit("/", 1)[-1] for row in listing.toLocalIterator())
-    if names:
+    listing = archives.list_archives(spark, feed, years)
+    listed = stored(listing.select("year", F.substring_index("path", "/", -1).alias("source_file")), "archives")
+    if not listed.isEmpty():
         parsed = archives.read_archives(spark, feed, years, encoding)
-        (
-            parsed.hint("rebalance", F.col("year"), F.col("source_file"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("year", "source_file")
-            .parquet(table)
-        )
-    return names
+        sink.replace_archives(parsed, table, listed.columns, listed)
+    return listed
 
 
 def ingest_tally(spark: SparkSession, table: str) -> DataFrame:
@@ -62,20 +57,21 @@ def count_adverts(
     table: str,
     sheets: DataFrame,
     out: str,
-    archive_names: list[str],
+    listed: DataFrame,
     inflect: bool = True,
     snippet_share: float = 0.001,
 ) -> None:
     """Count files and snippet files of an ingested feed.
 
-    Below ``out``: ``counts/<technology>/source_file=…`` with one column per base word, ``snippets/tech=…/source_file=…``.
+    Below ``out``: ``counts/<technology>/year=…/source_file=…`` with one column per base word, ``snippets/tech=…/year=…/source_file=…``.
+    ``listed``: the ``(year, source_file)`` to count, as the ingest returns them.
     The long counts are stored once, by technology, and every technology's wide file reads its own part of them.
     """
     keywords, _, matches = build_dictionary(spark, sheets, inflect)
-    usable = adverts.usable(spark.read.parquet(table)).where(F.col("source_file").isin(archive_names))
+    usable = adverts.usable(spark.read.parquet(table)).join(listed, listed.columns, "left_semi")
     renamed = usable.withColumn("source_file", sink.output_name("source_file"))
-    outputs = sorted({row.o for row in _output_names(spark, archive_names).collect()})
-    key = adverts.RECORD_KEY
+    outputs = listed.withColumn("source_file", sink.output_name("source_file"))
+    key = adverts.ARCHIVE_KEY
 
     long = stored(counting.keyword_counts(renamed, matches, key, "JobText", carry=["JobID"]), "counts", by=["tech"])
     # one list of columns per technology: the sheets of a workbook, as wide as the files written from them
@@ -89,11 +85,6 @@ def count_adverts(
     sink.write_snippets(found.drop("record_no"), out, archives=outputs)
 
 
-def _output_names(spark: SparkSession, archive_names: list[str]) -> DataFrame:
-    names = F.explode(F.array(*[F.lit(n) for n in archive_names]))
-    return spark.range(1).select(names.alias("n")).select(sink.output_name("n").alias("o"))
-
-
 def explore_synonyms(
     spark: SparkSession,
     feed: str | list[str],

@@ -221,6 +221,10 @@ f AS (SELECT unnest([stem || '.zip', stem || '_zip.zip']) AS source_file FROM s)
 SELECT source_file, regexp_replace(source_file, '.zip', '.csv', 'g') AS output_file FROM f""",
     "counts_sink": f"""WITH {COUNTED}
 SELECT replace({ARCHIVE}, '.zip', '.csv') AS source_file, doc_id::VARCHAR AS job_id, tech, base, n FROM keyword_n""",
+    "job_keyword_counts": f"""WITH {COUNTED}
+SELECT {YEAR.replace("doc_id", "k.doc_id")} AS year, printf('US_%05d.csv', k.doc_id // 600) AS source_file,
+       k.doc_id::VARCHAR AS job_id, tech, base, n
+FROM keyword_n k JOIN documents d ON k.doc_id = d.doc_id WHERE d.lang <> 'de'""",
     "snippet_sink": f"""WITH {COUNTED}
 SELECT tech, replace({ARCHIVE.replace("doc_id", "k.doc_id")}, '.zip', '.csv') AS source_file,
        k.doc_id::VARCHAR AS job_id, base AS keyword, d.lang AS job_title, d.source AS occupation, {SNIPPET} AS jobtext

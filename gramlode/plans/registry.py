@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gramlode.functions import text as tx
 from gramlode.operators import bigrams, counting, dictionary, labels, pages
+from gramlode.plans import jobs
 from gramlode.plans import tables as tb
 from gramlode.session import scratch_path, stored
 from gramlode.sinks import files as sink
@@ -453,19 +454,35 @@ def counts_sink(spark, sf):
     counts = counting.keyword_counts(docs, matches, ["source_file", "doc_id"], "text")
     counts = stored(counts.withColumn("source_file", sink.output_name("source_file")), "counts")
     path = scratch_path(spark, "count_files")
-    read = None
     for tech, raws in [*tb.SHEETS.items(), next(iter(tb.SHEETS.items()))]:
         bases = sorted({raw.translate(str.maketrans("_", " ", "0123456789")) for raw in raws})
         own = counts.where(F.col("tech") == tech)
         wide = counting.wide_counts(own, bases, ["source_file", "doc_id"]).withColumnRenamed("doc_id", "job_id")
         sink.write_wide_counts(wide, path, tech)
+    return _read_counts(spark, path, {"source_file": "string"})
+
+
+def _read_counts(spark, path, partitions):
+    """The count files of the small workbook, turned back into one long table."""
+    read = None
     for tech, raws in tb.SHEETS.items():
         bases = sorted({raw.translate(str.maketrans("_", " ", "0123456789")) for raw in raws})
-        schema = ", ".join(["job_id string", *[f"`{b}` bigint" for b in bases], "source_file string"])
+        columns = {"job_id": "string", **dict.fromkeys(bases, "bigint"), **partitions}
+        schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
         back = spark.read.schema(schema).option("sep", "|").option("header", "true").csv(f"{path}/counts/{tech}")
-        long = counting.long_counts(back, bases, ["source_file", "job_id"]).withColumn("tech", F.lit(tech))
+        long = counting.long_counts(back, bases, [*partitions, "job_id"]).withColumn("tech", F.lit(tech))
         read = long if read is None else read.unionByName(long)
-    return read.select("source_file", "job_id", "tech", "base", "n")
+    return read.select(*partitions, "job_id", "tech", "base", "n")
+
+
+@query
+def job_keyword_counts(spark, sf):
+    """The whole job: archives in plain year folders, the same names in each, ingested and counted into files."""
+    feed = tb.write_zip_feed(spark, sf, broken=F.col("lang") == "de", plain=True)
+    table, out = scratch_path(spark, "adverts"), scratch_path(spark, "job_files")
+    listed = jobs.ingest_archives(spark, feed, table, tb.FIRST_YEAR, tb.FIRST_YEAR + tb.YEAR_FOLDERS - 1)
+    jobs.count_adverts(spark, table, dictionary.literal_sheets(spark, tb.SHEETS), out, listed)
+    return _read_counts(spark, out, {"year": "int", "source_file": "string"})
 
 
 @query

@@ -91,8 +91,8 @@ def archive_number() -> Column:
     return F.floor(F.col("doc_id") / ARCHIVE_DOCS)
 
 
-def archive_name() -> Column:
-    return F.format_string("US_%05d.zip", archive_number())
+def archive_name(share: int = 1) -> Column:
+    return F.format_string("US_%05d.zip", F.floor(archive_number() / share))
 
 
 def archive_year() -> Column:
@@ -117,22 +117,24 @@ def write_xml_feed(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def write_zip_feed(spark: SparkSession, sf_dir: str, broken: Column | None = None) -> str:
+def write_zip_feed(spark: SparkSession, sf_dir: str, broken: Column | None = None, plain: bool = False) -> str:
     """All documents as XML adverts in zip archives of ``ARCHIVE_DOCS`` records below ``year=`` folders.
 
-    Where ``broken`` holds, the record loses its text's closing tag. Each archive is streamed out by one task.
+    Where ``broken`` holds, the record loses its text's closing tag. With ``plain`` the folders are named by the year
+    alone, and each has archives of the same names. Each archive is streamed out by one task.
     """
     path = scratch_path(spark, "zip_feed")
     docs = documents(spark, sf_dir, "lang", "source", "text")
     record = F.to_xml(F.struct(*advert_fields()), {"rowTag": "Job"})
     if broken is not None:
         record = F.when(broken, F.replace(record, F.lit("</JobText>"), F.lit(""))).otherwise(record)
+    prefix, file = ("", archive_name(YEAR_FOLDERS)) if plain else ("year=", archive_name())
     rows = docs.select(
-        "doc_id", F.concat(F.lit("year="), archive_year(), F.lit("/"), archive_name()).alias("name"), record.alias("xml")
+        "doc_id", F.concat(F.lit(prefix), archive_year(), F.lit("/"), file).alias("name"), record.alias("xml")
     )
     placed = rows.repartition("name").sortWithinPartitions("name", "doc_id")
     for year in range(FIRST_YEAR, FIRST_YEAR + YEAR_FOLDERS):
-        _make_folder(spark, f"{path}/year={year}")
+        _make_folder(spark, f"{path}/{prefix}{year}")
     placed.select("name", "xml").mapInArrow(_archive_writer(path), "name string").count()
     return path
 

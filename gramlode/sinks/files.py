@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramlode.session import stored
+
 
 def write_new_parquet(df: DataFrame, path: str) -> None:
     """Parquet; fails when the target is there already."""
@@ -27,46 +29,73 @@ def output_name(source_file: Column | str) -> Column:
     return F.regexp_replace(source_file, ".zip", ".csv")
 
 
-def _drop_partitions(spark: SparkSession, path: str, names: list[str], column: str = "source_file") -> None:
-    """Remove the output of the named archives below ``path`` (one folder level above may be ``tech=``)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    doomed = {f"{column}={escape(name)}" for name in names}
-    for level in ("*", "*/*"):
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, level)) or []:
-            if status.isDirectory() and status.getPath().getName() in doomed:
-                fs.delete(status.getPath(), True)
+def _files(spark: SparkSession, path: str, archives: DataFrame) -> DataFrame | None:
+    """``(path)`` of the files below ``path`` in partitions of the listed archives; None when there is none. Only names
+    are listed."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+        return None
+    found = spark.read.format("binaryFile").load(path)
+    if not set(archives.columns) <= set(found.columns):
+        return None
+    as_text = [F.col(c).cast("string").alias(c) for c in archives.columns]
+    return found.select("path", *as_text).join(archives.select(*as_text), archives.columns, "left_semi").select("path")
 
 
-def _replace(df: DataFrame, path: str, partitions: list[str], archives: list[str] | None, **options: str) -> None:
+def replace_archives(
+    df: DataFrame, path: str, partitions: list[str], archives: DataFrame | None, form: str = "parquet", **options: str
+) -> None:
     """Write ``df`` below ``path``, replacing what an earlier run wrote for the same archives.
 
-    Partitions with new rows are overwritten. ``archives`` names all archives of this run: the output of those without
-    any rows this time is removed too. Rebalancing on the partition columns gives few files per archive, and splits an
-    archive that is much larger than the others over several tasks.
+    ``archives`` has a row for every archive of this run, its columns are among ``partitions``. Partitions with new rows
+    are overwritten; the old files that are still there afterwards belong to archives without rows this time, and go
+    last, so that a failed write loses nothing. Rebalancing on the partition columns gives few files per archive, and
+    splits an archive that is much larger than the others over several tasks.
     """
-    if archives:
-        _drop_partitions(df.sparkSession, path, archives)
+    spark = df.sparkSession
+    before = None if archives is None else _files(spark, path, archives)
+    if before is not None:
+        before = stored(before, "old-files")
     (
         df.hint("rebalance", *[F.col(c) for c in partitions])
         .write.mode("overwrite")
+        .format(form)
         .option("partitionOverwriteMode", "dynamic")
         .options(**options)
         .partitionBy(*partitions)
-        .csv(path)
+        .save(path)
     )
+    if before is None:
+        return
+    left = _files(spark, path, archives)
+    if left is None:
+        return
+    parent = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    stale = left.join(before, "path", "left_semi").select(parent).distinct()
+    jvm = spark.sparkContext._jvm
+    for row in stale.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(row.folder)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def folder_name(spark: SparkSession, name: str) -> str:
+    """``name`` as one level of a path."""
+    return spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(name)
+
+
+def _by_archive(df: DataFrame) -> list[str]:
+    return [c for c in ("tech", "year", "source_file") if c in df.columns]
 
 
-def write_wide_counts(wide: DataFrame, path: str, tech: str, archives: list[str] | None = None) -> None:
-    """One folder per technology, one partition per archive: ``job_id|word|word|…``, blank where there was no hit."""
-    _replace(wide, f"{path}/counts/{tech}", ["source_file"], archives, sep="|", header="true")
+def write_wide_counts(wide: DataFrame, path: str, tech: str, archives: DataFrame | None = None) -> None:
+    """One folder per technology, one partition per archive (below its year, if ``wide`` has one):
+    ``job_id|word|word|…``, blank where there was no hit. Files of technologies that left the dictionary stay."""
+    to = f"{path}/counts/{folder_name(wide.sparkSession, tech)}"
+    replace_archives(wide, to, _by_archive(wide), archives, "csv", sep="|", header="true")
 
 
-def write_snippets(snippets: DataFrame, path: str, archives: list[str] | None = None) -> None:
+def write_snippets(snippets: DataFrame, path: str, archives: DataFrame | None = None) -> None:
     """``job_id,keyword,job_title,occupation,jobtext``, quoted where needed, per technology and archive."""
     spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}  # they are part of the text
-    _replace(snippets, f"{path}/snippets", ["tech", "source_file"], archives, header="true", escape='"', **spaces)
+    to = f"{path}/snippets"
+    replace_archives(snippets, to, _by_archive(snippets), archives, "csv", header="true", escape='"', **spaces)

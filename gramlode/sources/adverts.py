@@ -17,6 +17,8 @@ FIELDS = ["JobID", "CanonJobTitle", "BGTOcc", "JobText"]
 ADVERT = T.StructType([T.StructField(name, T.StringType()) for name in FIELDS])
 CORRUPT = "_corrupt_record"
 RECORD_KEY = ["source_file", "record_no"]
+#: Archives of two years may have the same name.
+ARCHIVE_KEY = ["year", *RECORD_KEY]
 
 
 def _paths(paths: str | list[str]) -> list[str]:

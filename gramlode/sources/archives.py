@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.sources.adverts import RECORD_KEY, ROW_TAG, parse_records
+from gramlode.sources.adverts import ARCHIVE_KEY, ROW_TAG, parse_records
 
 CHUNK = 1 << 20
 BATCH_BYTES = 4 << 20
@@ -51,7 +51,9 @@ def frame(chunks: Iterable[bytes], row_tag: str = ROW_TAG) -> Iterator[bytes]:
             if start >= 0:
                 yield rest[start:stop]
             done = stop
-        rest = rest[done:]
+        # what stands before the last opening tag belongs to no record; without one, a tag may be cut at the end
+        last = rest.rfind(opening, done)
+        rest = rest[last if last >= 0 else max(done, len(rest) - len(closing)) :]
 
 
 def _only_member(archive: zipfile.ZipFile, path: str) -> str:
@@ -136,5 +138,5 @@ def read_archives(
     spark: SparkSession, folder: str, years: list[int] | None = None, encoding: str = "ISO-8859-1"
 ) -> DataFrame:
     """Parsed adverts of all archives, malformed records marked in ``_corrupt_record``."""
-    records = read_archive_records(spark, folder, years, encoding).repartition(*RECORD_KEY)
-    return parse_records(records, keep=["year", *RECORD_KEY])
+    records = read_archive_records(spark, folder, years, encoding).repartition(*ARCHIVE_KEY)
+    return parse_records(records, keep=ARCHIVE_KEY)

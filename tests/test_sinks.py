@@ -14,6 +14,10 @@ def wide(spark, rows, bases=("b", "a")):
     return wide_counts(spark.createDataFrame(rows, COUNTS), list(bases), ["source_file", "job_id"])
 
 
+def archives(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "source_file string")
+
+
 def lines(folder):
     out = []
     for path in sorted(glob.glob(f"{folder}/*.csv")):
@@ -30,11 +34,11 @@ def test_wide_files(spark, tmp_path):
     first = lines(f"{path}/counts/green/source_file=w1.csv")
     assert len(first) == 1 and first[0][0] == "job_id|a|b" and sorted(first[0][1:]) == ["1|2|", "2||3"]
     # w2 and w3 are run again: w2 has other hits now, w1 stays
-    sink.write_wide_counts(wide(spark, [("w2.csv", "9", "b", 5)]), path, "green", archives=["w2.csv", "w3.csv"])
+    sink.write_wide_counts(wide(spark, [("w2.csv", "9", "b", 5)]), path, "green", archives=archives(spark, "w2.csv", "w3.csv"))
     assert lines(f"{path}/counts/green/source_file=w2.csv") == [["job_id|a|b", "9||5"]]
     assert lines(f"{path}/counts/green/source_file=w1.csv") == first
     # now w2 has no hits at all: nothing of the earlier run may stay
-    sink.write_wide_counts(wide(spark, [("w3.csv", "1", "b", 5)]), path, "green", archives=["w2.csv", "w3.csv"])
+    sink.write_wide_counts(wide(spark, [("w3.csv", "1", "b", 5)]), path, "green", archives=archives(spark, "w2.csv", "w3.csv"))
     assert sorted(d for d in os.listdir(f"{path}/counts/green") if d.startswith("source")) == [
         "source_file=w1.csv",
         "source_file=w3.csv",
@@ -55,7 +59,7 @@ def test_snippet_files(spark, tmp_path):
     )
     path = str(tmp_path / "out")
     for _ in range(2):
-        sink.write_snippets(df, path, archives=["w1.csv"])
+        sink.write_snippets(df, path, archives=archives(spark, "w1.csv"))
     (file,) = glob.glob(f"{path}/snippets/tech=green/source_file=w1.csv/*.csv")
     with open(file, newline="") as f:
         assert list(csv.reader(f)) == [["job_id", "keyword", "job_title", "occupation", "jobtext"], list(row[2:])]
