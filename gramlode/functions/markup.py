@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Named character references that are decoded; ``&amp;`` comes last so nothing is decoded twice.
-ENTITIES = {
-    "&lt;": "<",
-    "&gt;": ">",
-    "&quot;": '"',
-    "&apos;": "'",
-    "&nbsp;": " ",
-    "&copy;": "©",
-    "&reg;": "®",
-    "&euro;": "€",
-    "&pound;": "£",
-    "&middot;": "·",
-    "&hellip;": "…",
-    "&ndash;": "–",
-    "&mdash;": "—",
-    "&lsquo;": "‘",
-    "&rsquo;": "’",
-    "&ldquo;": "“",
-    "&rdquo;": "”",
-    "&amp;": "&",
-}
+#: Named character references, as the standard library lists them.
+NAMES = {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
 
 
 # The rest of a tag, and a whole tag; a ``>`` inside a quoted value does not end it. Groups are repeated possessively:
@@ -59,31 +42,34 @@ def _open_tag(tag: str, attr: str, value: str) -> str:
 
 
 def decode_entities(text: Column) -> Column:
-    def numeric(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits)
-        char = F.decode(F.unhex(F.lpad(F.hex(code.try_cast("bigint")), 8, "0")), "UTF-32")
-        known = (digits != "") & (code.try_cast("bigint") <= 0x10FFFF)
-        return F.when(known, F.concat(char, F.regexp_replace(piece, "^[0-9a-fA-FxX]+;", ""))).otherwise(
-            F.concat(F.lit("&#"), piece)
+    """Character references decoded, each once: all named ones that end in a semicolon, and numbers of any length. What
+    is no character (zero, half a surrogate pair, beyond Unicode) becomes U+FFFD; anything else stays."""
+    names = F.from_json(F.lit(json.dumps(NAMES)), "map<string,string>")  # folded into one literal
+    reference = r"(?s)^(?:#0*+([0-9]*+)|#[xX]0*+([0-9a-fA-F]*+)|([a-zA-Z][a-zA-Z0-9]*+));.*$"
+
+    def part(piece: Column, group: int) -> Column:
+        return F.regexp_extract(piece, reference, group)
+
+    def char(code: Column) -> Column:
+        scalar = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        # kept in range, as the other branch may be evaluated too
+        fine = F.when(scalar, code).otherwise(F.lit(0xFFFD))
+        return F.decode(F.unhex(F.lpad(F.hex(fine.cast("bigint")), 8, "0")), "UTF-32")
+
+    def decoded(piece: Column) -> Column:
+        hexed = F.when(F.length(part(piece, 2)) <= 6, F.conv(part(piece, 2), 16, 10).try_cast("bigint"))
+        code = F.coalesce(part(piece, 1).try_cast("bigint"), hexed, F.lit(0))
+        new = F.when(piece.rlike("^#([0-9]+|[xX][0-9a-fA-F]+);"), char(code)).otherwise(
+            F.try_element_at(names, part(piece, 3))
         )
+        rest = F.regexp_replace(piece, r"^[^;]*+;", "")
+        return F.coalesce(F.concat(new, rest), F.concat(F.lit("&"), piece))
 
-    def with_numbers(value: Column) -> Column:
-        return _let(
-            F.split(value, "&#"),
-            lambda parts: F.concat(
-                F.element_at(parts, 1),
-                F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), numeric), ""),
-            ),
-        )
-
-    def with_names(value: Column) -> Column:
-        out = F.when(F.contains(value, F.lit("&#")), with_numbers(value)).otherwise(value)
-        for entity, char in ENTITIES.items():
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        return out
+    def joined(parts: Column) -> Column:
+        later = F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded)
+        return F.concat(F.element_at(parts, 1), F.array_join(later, ""))
 
-    return _let(text, lambda t: F.when(F.contains(t, F.lit("&")), with_names(t)).otherwise(t))
+    return _let(text, lambda t: F.when(F.contains(t, F.lit("&")), _let(F.split(t, "&"), joined)).otherwise(t))
 
 
 def element_text(html: Column | str, tag: str, attr: str, value: str) -> Column:

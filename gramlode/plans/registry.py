@@ -341,8 +341,8 @@ def xml_scan(spark, sf):
 
 @query
 def xml_framed_scan(spark, sf):
-    """The same feed cut into records by the text source."""
-    parsed = adverts.read_framed_xml(spark, tb.write_xml_feed(spark, sf), encoding="UTF-8")
+    """The same feed, with attributes on some records, cut into records by the text source."""
+    parsed = adverts.read_framed_xml(spark, tb.write_xml_feed(spark, sf, attributes=True), encoding="UTF-8")
     return adverts.usable(parsed).select(*adverts.FIELDS)
 
 

@@ -109,10 +109,13 @@ def advert_fields() -> list[Column]:
     ]
 
 
-def write_xml_feed(spark: SparkSession, sf_dir: str) -> str:
-    """All documents as XML adverts in the scratch folder."""
+def write_xml_feed(spark: SparkSession, sf_dir: str, attributes: bool = False) -> str:
+    """All documents as XML adverts in the scratch folder; with ``attributes`` every other record's tag has one."""
     path = scratch_path(spark, "xml_feed")
-    docs = documents(spark, sf_dir, "lang", "source", "text").select(*advert_fields())
+    docs = documents(spark, sf_dir, "lang", "source", "text").select(
+        *([F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("a>"), F.col("doc_id"))).alias("_ref")] if attributes else []),
+        *advert_fields(),
+    )
     docs.write.format("xml").option("rootTag", "Jobs").option("rowTag", "Job").save(path)
     return path
 

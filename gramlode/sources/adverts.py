@@ -71,22 +71,25 @@ def read_framed_xml(spark: SparkSession, paths: str | list[str], encoding: str =
     """Advert records from ``*.xml`` files, cut at the closing tag by the text source.
 
     Unlike the row-tag reader this splits large files, decodes single-byte encodings and keeps a bad record to itself.
-    A record starts at the last opening tag before its closing tag, so a record cut short is dropped and text in front
-    of a record is ignored.
+    A record starts at the last opening tag before its closing tag, with or without attributes; text in front of a
+    record is ignored. A record without closing tag at the end of a file, or with a broken opening tag, is malformed.
     """
-    opening, closing = f"<{ROW_TAG}>", f"</{ROW_TAG}>"
+    closing = f"</{ROW_TAG}>"
+    opens = rf"<{ROW_TAG}[\s>]"
+    record = rf"(?s)^.*(<{ROW_TAG}(?:\s(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)?>.*)$"
     raw = spark.read.option("lineSep", closing).option("pathGlobFilter", "*.xml").text(_paths(paths))
     # the text source hands over the bytes as they are, which is right for UTF-8 only
     unicode = encoding.upper().replace("-", "") == "UTF8"
     text = F.col("value") if unicode else F.decode(F.col("value").cast("binary"), encoding)
-    framed = raw.where(F.contains("value", F.lit(opening))).select(
+    framed = raw.where(F.col("value").rlike(opens)).select(
         file_name().alias("source_file"),
         # taken directly on the scan, whose splits are fixed for the run: a recomputed task numbers its rows alike
         F.monotonically_increasing_id().alias("record_no"),
         text.alias("piece"),
     )
-    body = F.substring_index("piece", opening, -1)
-    return parse_records(framed.select(*RECORD_KEY, F.concat(F.lit(opening), body, F.lit(closing)).alias("job_xml")))
+    found = framed.select(*RECORD_KEY, F.array("piece", F.regexp_extract("piece", record, 1)).alias("found"))
+    whole = F.when(F.col("found")[1] == "", F.col("found")[0]).otherwise(F.col("found")[1])
+    return parse_records(found.select(*RECORD_KEY, F.concat(whole, F.lit(closing)).alias("job_xml")))
 
 
 def rejected(parsed: DataFrame) -> DataFrame:

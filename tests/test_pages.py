@@ -2,8 +2,9 @@ import json
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
-from gramlode.functions.markup import element_text
+from gramlode.functions.markup import decode_entities, element_text
 from gramlode.operators import pages as pg
 
 
@@ -137,3 +138,19 @@ def test_json_bodies_keep_the_last_value_of_a_repeated_symbol(spark):
     frame = spark.createDataFrame(rows, "key string, pos int, symbol string, value string")
     bodies = {r.key: r.body for r in pg.json_bodies(frame, "key").collect()}
     assert bodies == {"k": '{"a":"3","b":"4"}', "l": '{"a":"9"}'}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("&eacute;&uuml;&deg;&trade;&yen;&cent;", "éü°™¥¢"),
+        ("&#00000065;&#x0000041;&#x1F600;", "AA😀"),
+        ("&#xD800;&#0;&#99999999999999999999;&#x110000;", "\ufffd" * 4),
+        ("&#38;lt;&amp;lt;", "&lt;&lt;"),
+        ("a & b &unknown; &#x; &;&lt", "a & b &unknown; &#x; &;&lt"),
+        ("", ""),
+    ],
+)
+def test_references(spark, text, want):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(decode_entities(F.col("t")).alias("t")).first().t == want

@@ -66,6 +66,13 @@ def test_framed_feed_in_utf8(spark, tmp_path):
     assert fields(adverts.usable(adverts.read_framed_xml(spark, str(tmp_path), "utf-8"))) == USABLE
 
 
+def test_framed_records_with_attributes(spark, tmp_path):
+    fine = "<JobID>1</JobID><CanonJobTitle/><BGTOcc/><JobText>a</JobText></Job>"
+    (tmp_path / "u.xml").write_text(f"""<Jobs><Job id='1'>{fine}<Job a="x>y"\n>{fine}<Job id="{fine}<Job>{fine}</Jobs>""")
+    parsed = adverts.read_framed_xml(spark, str(tmp_path), "UTF-8")
+    assert adverts.tally(parsed).first()[1:] == (4, 1) and adverts.usable(parsed).count() == 3
+
+
 def test_framed_feed_in_small_splits(spark, feed):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
