@@ -70,7 +70,8 @@ def file_name() -> Column:
 def read_framed_xml(spark: SparkSession, paths: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:
     """Advert records from ``*.xml`` files, cut at the closing tag by the text source.
 
-    Unlike the row-tag reader this splits large files, decodes single-byte encodings and keeps a bad record to itself.
+    Unlike the row-tag reader this splits large files, takes the charsets that Spark's `decode` knows and keeps a bad record
+    to itself.
     A record starts at the last opening tag before its closing tag, with or without attributes; text in front of a
     record is ignored. A record without closing tag at the end of a file, or with a broken opening tag, is malformed.
     """
