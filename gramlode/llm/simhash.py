@@ -13,7 +13,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlode.llm.quality import slices
 from gramlode.llm.tokens import mixed
 from gramlode.session import stored
 
@@ -28,6 +29,11 @@ SHINGLE, RADIUS = 4, 4
 BITS = 64
 #: The wide fingerprints of ``near_duplicates``.
 WIDE = 512
+#: Sets of fewer shingles meet through their shingles. What the share of bits that differ may be larger for longer sets
+#: than for very large ones, because counts are whole numbers (at most 0.1582 for 16 or more shingles in two sets at 0.8).
+SHORT, SHARE_MORE = 16, 0.0085
+#: The probability that two texts right at the similarity share a band.
+RECALL = 0.98
 #: Hashes unpacked at once.
 _CHUNK = 1 << 16
 #: Fingerprints of a shard that one search handles; a larger shard is dealt out as pairs of such parts.
@@ -292,19 +298,110 @@ def grouped(prints: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> Dat
     return prints.join(of_print, "fp", "left").select(key, "fp", "component_id")
 
 
-def _wide_prints(words: int):
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; words as in ``fingerprint``."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    hashed = partial(xxhash.xxh64_intdigest, seed=42)
+    size = max(1, len(tokens) - words + 1)
+    return np.unique(np.fromiter((hashed(b" ".join(tokens[i : i + words])) for i in range(size)), np.uint64, size))
+
+
+def set_print(shingles: np.ndarray) -> bytes:
+    """The wide fingerprint of a set of shingles: each counts once, as in Jaccard similarity."""
+    counts = np.zeros(WIDE, np.int64)
+    for a in range(0, len(shingles), _CHUNK):
+        h = shingles[a : a + _CHUNK]
+        for lane in range(WIDE // 64):
+            x = mixed(h + np.uint64(lane * 0x9E3779B97F4A7C15 % 2**64)).astype(">u8")
+            counts[64 * lane : 64 * lane + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(shingles)).tobytes()
+
+
+def prefix(shingles: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of the first shingles of a short set that any two short sets with the similarity share one of them; none
+    of a longer set."""
+    n = len(shingles)
+    return shingles[: n - math.ceil(similarity * n - 1e-9) + 1] if 0 < n < SHORT else shingles[:0]
+
+
+def _wide_prints(words: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words, WIDE).to_bytes(WIDE // 8, "big") for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(wide, pa.binary())], ["doc_id", "row", "wide"])
+            fp, wide, few = [], [], []
+            for t in batch.column(2):
+                x = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words)
+                fp.append(xxhash.xxh64_intdigest(x.tobytes()))
+                wide.append(set_print(x))
+                few.append(prefix(x, similarity).view(np.int64))
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(wide, pa.binary()), pa.array(few, pa.list_(pa.int64()))],
+                ["doc_id", "row", "fp", "wide", "few"],
+            )
+
+    return run
+
+
+@lru_cache
+def found_share(share: float, width: int, bands: int) -> float:
+    """How probably two prints that differ in each bit with probability ``share`` agree on one of so many bands, each of
+    ``width`` random bits."""
+    log = [math.lgamma(i + 1) for i in range(WIDE + 1)]
+    out = 0.0
+    for d in range(WIDE + 1):
+        of_d = math.exp(log[WIDE] - log[d] - log[WIDE - d] + d * math.log(share) + (WIDE - d) * math.log(1 - share))
+        one = math.exp(log[WIDE - d] - log[WIDE - d - width] - log[WIDE] + log[WIDE - width]) if WIDE - d >= width else 0.0
+        out += of_d * (1 - (1 - one) ** bands)
+    return out
+
+
+def band_plan(distinct: int, similarity: float) -> np.ndarray:
+    """The bits of every band, a row each. Bands get wider with the number of texts, so that a shard stays small, and
+    more with their width, so that a pair right at the similarity is found with a probability of ``RECALL`` at any size."""
+    width = max(8, math.ceil(math.log2(max(distinct, 2))) - 9)
+    share = share_apart(similarity) + SHARE_MORE
+    bands = 1
+    while found_share(share, width, bands) < RECALL:
+        bands += 1
+    rng = np.random.default_rng(17)
+    # each permutation of the bits gives bands without a common bit
+    cuts = [rng.permutation(WIDE)[: WIDE // width * width].reshape(-1, width) for _ in range(-(-bands // (WIDE // width)))]
+    return np.concatenate(cuts)[:bands]
+
+
+def band_keys(wide: np.ndarray, plan: np.ndarray) -> np.ndarray:
+    """The bits of each band (column) of prints in rows of ``WIDE // 8`` bytes."""
+    bits = np.unpackbits(wide, axis=1)
+    powers = 1 << np.arange(plan.shape[1], dtype=np.int64)
+    return np.stack([bits[:, band] @ powers for band in plan], axis=1)
+
+
+def _shard_rows(plan: np.ndarray):
+    """Rows ``fp, wide, few`` to their shards: one a band, and one for each prefix shingle of a short set (choice -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            fp, few = np.asarray(batch.column(0)), batch.column(2)
+            wide = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, WIDE // 8)
+            lengths = np.asarray(few.value_lengths()).astype(np.int64)
+            row = np.r_[np.repeat(np.arange(len(fp)), len(plan)), np.repeat(np.arange(len(fp)), lengths)]
+            choice = np.r_[np.tile(np.arange(len(plan)), len(fp)), np.full(lengths.sum(), -1)].astype(np.int32)
+            bits = np.r_[band_keys(wide, plan).ravel(), np.asarray(few.flatten())]
+            yield pa.record_batch([pa.array(choice), pa.array(bits), pa.array(fp[row]), batch.column(1).take(pa.array(row))], ["choice", "bits", "fp", "wide"])
 
     return run
 
 
+def share_apart(similarity: float) -> float:
+    """The share of bits in which two large sets of the given Jaccard similarity differ, at most: sets of equal size
+    with that overlap meet at the angle whose cosine is 2 s / (1 + s)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 def bits_apart(similarity: float, bits: int = WIDE) -> int:
-    """How many bits two sets of the given Jaccard similarity differ in, expected plus one and a half deviations: sets
-    of equal size with that overlap meet at the angle whose cosine is 2 s / (1 + s)."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """How many bits two sets of the given Jaccard similarity differ in, expected plus one and a half deviations."""
+    share = share_apart(similarity)
     return int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
 
 
@@ -312,26 +409,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """One row of each group of near-duplicates of ``docs``: that with the smallest ``doc_id``, null last, then by a
     hash of the row.
 
-    Texts are near if their shingles are similar to the given degree as their wide fingerprints tell it. Candidates
-    share a band of bits. Bands get wider with the number of different texts, so that a shard stays small; a pair right
-    at the similarity shares one of the bands with about 0.95 probability at 200,000 texts, equal texts always. Texts
-    without words form one group. Columns and their order stay as they are; no rows give no rows.
+    Texts are near if their sets of shingles are similar to the given degree as their wide fingerprints tell it.
+    Candidates share a band of bits, which a pair right at the similarity does with a probability of ``RECALL`` whatever
+    the number of texts; texts with equal shingles always meet, short texts through their shingles. Texts without words
+    form one group. Columns and their order stay as they are; no rows give no rows.
     """
     rows = docs.withColumn("_row", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     prints = stored(
         rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_row").alias("row"), F.col("text").cast("string").alias("text"))
-        .mapInArrow(_wide_prints(words), "doc_id long, row long, wide binary")
-        .withColumn("fp", F.xxhash64("wide")),
+        .mapInArrow(_wide_prints(words, similarity), "doc_id long, row long, fp long, wide binary, few array<long>"),
         "near-prints",
     )
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
-    lowest = stored(prints.groupBy("fp").agg(F.min(rank).alias("low"), F.first("wide").alias("wide")), "near-distinct")
-    width = min(20, max(8, math.ceil(math.log2(max(lowest.count(), 2))) - 3))
-    # a band is cut out of the hexadecimal or binary digits; bits that fill no band are left for the comparison
-    digits = F.concat(*(F.lpad(F.conv(F.hex(F.substring("wide", 1 + 7 * i, 7)), 16, 2), 56, "0") for i in range(WIDE // 56)))
-    bands = F.array(*(F.struct(F.lit(k).alias("choice"), F.conv(F.substring("digits", 1 + k * width, width), 2, 10).cast("long").alias("bits")) for k in range(WIDE // 56 * 56 // width)))
-    shards = lowest.select("fp", "wide", digits.alias("digits")).select("fp", "wide", F.explode(bands).alias("s"))
-    roots = components(_linked(shards.select("s.choice", "s.bits", "fp", "wide"), bits_apart(similarity)))
+    lowest = stored(prints.groupBy("fp").agg(F.min(rank).alias("low"), F.first("wide").alias("wide"), F.first("few").alias("few")), "near-distinct")
+    plan = band_plan(lowest.count(), similarity)
+    shards = lowest.select("fp", "wide", "few").mapInArrow(_shard_rows(plan), "choice int, bits long, fp long, wide binary")
+    roots = components(_linked(shards, bits_apart(similarity)))
     named = lowest.join(roots, lowest.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
     kept = named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_row"))
     # rows that are equal in every column share their hash; one of them stays

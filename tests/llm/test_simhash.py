@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from gramlode.llm import simhash
@@ -72,3 +73,30 @@ def test_near_duplicates_keep_one_of_each(docs, no_docs):
     assert long_ones <= set(ids)
     assert simhash.near_duplicates(no_docs).count() == 0
     assert simhash.grouped(simhash.fingerprints(no_docs)).count() == 0
+
+
+def near_sets(rng, union, common):
+    """Two sets at the similarity common / union."""
+    x = rng.integers(0, 2**63, union).astype(np.uint64)
+    cut = common + int(rng.integers(0, union - common + 1))
+    return x[:cut], np.r_[x[:common], x[cut:]]
+
+
+def test_recall_of_bands_does_not_depend_on_the_number_of_texts():
+    rng = np.random.default_rng(4)
+    for texts in (50_000, 15_000_000):
+        plan = simhash.band_plan(texts, 0.8)
+        assert 2 ** plan.shape[1] * 1024 > texts  # shards stay small
+        for union, common in ((25, 20), (300, 240)):
+            pairs = [near_sets(rng, union, common) for _ in range(1200)]
+            assert all(len(np.intersect1d(a, b)) == 0.8 * len(np.union1d(a, b)) for a, b in pairs)
+            keys = [simhash.band_keys(np.frombuffer(b"".join(simhash.set_print(p[k]) for p in pairs), np.uint8).reshape(len(pairs), -1), plan) for k in (0, 1)]
+            assert (keys[0] == keys[1]).any(axis=1).mean() > 0.965
+
+
+def test_short_sets_at_the_similarity_always_share_a_prefix_shingle():
+    rng = np.random.default_rng(5)
+    for union in range(1, 16):
+        for _ in range(50):
+            a, b = (np.sort(x) for x in near_sets(rng, union, -(-union * 4 // 5)))
+            assert set(simhash.prefix(a, 0.8)) & set(simhash.prefix(b, 0.8))
