@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -32,6 +32,8 @@ WIDE = 512
 #: Sets of fewer shingles meet through their shingles. What the share of bits that differ may be larger for longer sets
 #: than for very large ones, because counts are whole numbers (at most 0.1582 for 16 or more shingles in two sets at 0.8).
 SHORT, SHARE_MORE = 16, 0.0085
+#: The same share for two short sets at 0.8, at most (a set of 4 and the same with one more).
+SHORT_SHARE = 0.1875
 #: The probability that two texts right at the similarity share a band.
 RECALL = 0.98
 #: Hashes unpacked at once.
@@ -232,9 +234,9 @@ def _link_shards(radius: int):
     return run
 
 
-def _linked(shards: DataFrame, radius: int) -> DataFrame:
-    """Links ``a, b`` between the ``fp`` of rows ``choice, bits, fp, wide`` that share a shard (``choice, bits``) and
-    whose ``wide`` bits are within the radius: at least a spanning forest of every group that is connected so."""
+def _dealt(shards: DataFrame) -> DataFrame:
+    """Rows ``choice, bits, fp, ...`` with the parts of their shard that meet: ``choice, bits, part, other, side, fp, ...``,
+    equal first four columns together."""
     # only shards above the size of a part need to be known by their size
     large = stored(
         shards.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART), "simhash-large"
@@ -248,12 +250,16 @@ def _linked(shards: DataFrame, radius: int) -> DataFrame:
             F.least(F.col("own"), o).alias("part"), F.greatest(F.col("own"), o).alias("other"), (F.col("own") > o).cast("int").alias("side")
         ),
     )
-    dealt = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select(
-        "choice", "bits", F.explode(meetings).alias("m"), "fp", "wide"
-    )
-    dealt = dealt.select("choice", "bits", "m.part", "m.other", "m.side", "fp", "wide")
-    placed = dealt.repartition("choice", "bits", "part", "other").sortWithinPartitions("choice", "bits", "part", "other")
-    return placed.mapInArrow(_link_shards(radius), "a long, b long").distinct()
+    rest = shards.columns[2:]
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).select("choice", "bits", F.explode(meetings).alias("m"), *rest)
+    dealt = dealt.select("choice", "bits", "m.part", "m.other", "m.side", *rest)
+    return dealt.repartition("choice", "bits", "part", "other").sortWithinPartitions("choice", "bits", "part", "other")
+
+
+def _linked(shards: DataFrame, radius: int) -> DataFrame:
+    """Links ``a, b`` between the ``fp`` of rows ``choice, bits, fp, wide`` that share a shard (``choice, bits``) and
+    whose ``wide`` bits are within the radius: at least a spanning forest of every group that is connected so."""
+    return _dealt(shards).mapInArrow(_link_shards(radius), "a long, b long").distinct()
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -399,17 +405,161 @@ def share_apart(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def bits_apart(similarity: float, bits: int = WIDE) -> int:
-    """How many bits two sets of the given Jaccard similarity differ in, expected plus one and a half deviations."""
+def bits_apart(share: float, bits: int = WIDE) -> int:
+    """How many bits two prints differ in that differ in each with probability ``share``: expected plus three deviations."""
+    return int(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+
+
+def forest(ids: list[int], wide: np.ndarray, side: np.ndarray | None, root: np.ndarray, refused: dict[int, set[int]], radius: int, times: int) -> list[tuple[int, int]]:
+    """Pairs of ``ids`` whose prints are within the radius (and, with ``side``, on different sides), that connect all
+    that such pairs connect; rows of equal ``root`` are connected already. Refused pairs are left out. ``times``: so
+    often, each time without the pairs found before."""
+    n, out, seen = len(ids), [], set()
+    if n < 2:
+        return out
+    if n <= 64:  # most shards hold no pair at all
+        apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(2, dtype=np.int64)
+        if (apart <= radius).sum() == n:
+            return out
+    members: dict[int, list[int]] = {}
+    for i, r in enumerate(root.tolist()):
+        members.setdefault(r, []).append(i)
+    for _ in range(times):
+        left, before = np.ones(n, bool), len(out)
+        for start in range(n):
+            if not left[start]:
+                continue
+            open_ = list(members[int(root[start])])
+            left[open_] = False
+            while open_:
+                i = open_.pop()
+                rest = np.flatnonzero(left if side is None else left & (side != side[i]))
+                if not len(rest):
+                    continue
+                near = rest[np.bitwise_count(wide[rest] ^ wide[i]).sum(1, dtype=np.int64) <= radius]
+                for j in near.tolist():
+                    pair = (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+                    if not left[j] or pair in seen or pair[1] in refused.get(pair[0], ()):
+                        continue
+                    seen.add(pair)
+                    out.append(pair)
+                    reached = members[int(root[j])]
+                    left[reached] = False
+                    open_ += reached
+        if len(out) == before:
+            break
+    return out
+
+
+def _candidates(radii: tuple[int, int], times: int):
+    """Rows ``choice, bits, part, other, side, fp, wide, root, refused`` in groups of equal first four columns to the
+    pairs of ``forest``; the first radius is that of short sets, which meet in choice -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        rows: list[tuple] = []
+        found: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(rows) < 2:
+                return
+            sides, ids, wide, roots, refused = zip(*rows)
+            prints = np.frombuffer(b"".join(wide), np.uint64).reshape(len(ids), -1)
+            not_ = {i: set(x) for i, x in zip(ids, refused) if x}
+            side = None if key[2] == key[3] else np.array(sides)
+            found.extend(forest(ids, prints, side, np.array(roots, np.int64), not_, radii[key[0] >= 0], times))
+
+        def out() -> pa.RecordBatch:
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for *at, side, fp, wide, root, refused in zip(*(c.to_pylist() for c in batch.columns)):
+                if tuple(at) != key:
+                    close()
+                    key, rows = tuple(at), []
+                rows.append((side, fp, wide, root, refused))
+            if len(found) >= 1 << 16:
+                yield out()
+        close()
+        if found:
+            yield out()
+
+    return run
+
+
+def _sets(words: int):
+    """Rows ``fp, text`` to ``fp`` and the text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in slices(whole)):
+            sets = [shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", words).tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["fp", "shingles"])
+
+    return run
+
+
+def _check_pairs(similarity: float):
+    """Rows ``a, b`` and their sets of shingles to ``a, b, near``, by exact Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                least = similarity * (len(x) + len(y)) / (1 + similarity) - 1e-9  # common shingles, for the similarity
+                near.append(min(len(x), len(y)) >= least and len(np.intersect1d(x, y, assume_unique=True)) >= least)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
+
+    return run
+
+
+def near_roots(lowest: DataFrame, texts: Callable[[DataFrame], DataFrame], words: int, similarity: float) -> DataFrame:
+    """``node, root`` of the ``fp`` of ``lowest (fp, wide, few)`` that are connected by pairs of texts with the similarity.
+    ``texts`` gives ``fp, text`` for some ``fp``.
+
+    Prints give candidates, the texts' shingles decide. A refused pair may have stood for others that it would have
+    connected, so the search goes on without it, for more pairs each time, until no candidate is left between groups.
+    """
+    plan = band_plan(lowest.count(), similarity)
     share = share_apart(similarity)
-    return int(bits * share + 1.5 * math.sqrt(bits * share * (1 - share)))
+    radii = bits_apart(SHORT_SHARE), bits_apart(share + SHARE_MORE)
+    kind = "choice int, bits long, fp long, wide binary"
+    one = lambda frame: frame.select("fp", "wide", "few").mapInArrow(_shard_rows(plan), kind)
+    nodes = lowest
+    shards = one(lowest).withColumns({"root": F.col("fp"), "refused": F.array().cast("array<long>")})
+    sets = checked = roots = None
+    times = 1
+    while True:
+        pairs = stored(_dealt(shards).mapInArrow(_candidates(radii, times), "a long, b long").distinct(), "near-pairs")
+        if sets is None:  # whatever comes later has an end in these pairs
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+            nodes = stored(lowest.join(ends, "fp", "left_semi"), "near-nodes")
+            sets = stored(texts(nodes).mapInArrow(_sets(words), "fp long, shingles binary").dropDuplicates(["fp"]), "near-sets")
+        of = lambda name: sets.select(F.col("fp").alias(name), F.col("shingles").alias(f"of_{name}"))
+        new = stored(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_check_pairs(similarity), "a long, b long, near boolean"), "near-checked")
+        checked = new if checked is None else checked.unionByName(new)
+        if roots is None or not new.where("near").isEmpty():
+            roots = components(checked.where("near").select("a", "b"))
+        if new.where("not near").isEmpty():
+            return roots
+        no = checked.where("not near")
+        refused = no.select("a", "b").groupBy("a").agg(F.collect_list("b").alias("refused"))
+        shards = (
+            one(nodes)
+            .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+            .join(refused.withColumnRenamed("a", "fp"), "fp", "left")
+            .select("choice", "bits", "fp", "wide", F.coalesce("root", "fp").alias("root"), F.coalesce("refused", F.array().cast("array<long>")).alias("refused"))
+        )
+        times *= 4
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates of ``docs``: that with the smallest ``doc_id``, null last, then by a
     hash of the row.
 
-    Texts are near if their sets of shingles are similar to the given degree as their wide fingerprints tell it.
+    Texts are near if the Jaccard similarity of their sets of shingles is as given or more, counted over whole texts.
     Candidates share a band of bits, which a pair right at the similarity does with a probability of ``RECALL`` whatever
     the number of texts; texts with equal shingles always meet, short texts through their shingles. Texts without words
     form one group. Columns and their order stay as they are; no rows give no rows.
@@ -422,9 +572,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     )
     rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
     lowest = stored(prints.groupBy("fp").agg(F.min(rank).alias("low"), F.first("wide").alias("wide"), F.first("few").alias("few")), "near-distinct")
-    plan = band_plan(lowest.count(), similarity)
-    shards = lowest.select("fp", "wide", "few").mapInArrow(_shard_rows(plan), "choice int, bits long, fp long, wide binary")
-    roots = components(_linked(shards, bits_apart(similarity)))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        of_row = nodes.select(F.col("low.row").alias("_row"), F.col("fp").alias("_fp"))
+        return rows.select("_row", F.col("text").cast("string").alias("text")).join(of_row, "_row").select(F.col("_fp").alias("fp"), "text")
+
+    roots = near_roots(lowest, texts, words, similarity)
     named = lowest.join(roots, lowest.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
     kept = named.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.row").alias("_row"))
     # rows that are equal in every column share their hash; one of them stays

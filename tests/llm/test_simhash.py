@@ -100,3 +100,50 @@ def test_short_sets_at_the_similarity_always_share_a_prefix_shingle():
         for _ in range(50):
             a, b = (np.sort(x) for x in near_sets(rng, union, -(-union * 4 // 5)))
             assert set(simhash.prefix(a, 0.8)) & set(simhash.prefix(b, 0.8))
+
+
+def jaccard_groups(texts, words=5, similarity=0.8):
+    sets = [set(simhash.shingle_set(t.encode(), words).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_only_texts_at_the_similarity_are_linked(spark):
+    """Templated texts of one source at 0.7 to 0.76, their true near copies, and repeated words with little else."""
+    rng = random.Random(8)
+    word = lambda: "w%06d" % rng.randrange(10**6)
+    texts = []
+    for n in (12, 60, 200):
+        frame = [word() for _ in range(6 * n)]
+        for _ in range(12):
+            own = frame + [word() for _ in range(n)]
+            texts.append(" ".join(own))
+            if rng.random() < 0.4:
+                texts.append(" ".join(own[:-2] + [word()]))
+    texts += ["spam " * 400 + " ".join(word() for _ in range(20)) for _ in range(3)]
+    root = jaccard_groups(texts)
+    assert 36 < len(set(root)) < len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.near_duplicates(frame).collect()) == sorted(set(root))
+
+
+def test_another_link_is_found_when_one_is_refused():
+    """All five are within the radius of each other; the first one is near none, the others are near each other."""
+    wide = np.zeros((5, 8), np.uint64)
+    root, refused, times = np.arange(5), {}, 1
+    while True:
+        new = simhash.forest([0, 1, 2, 3, 4], wide, None, root, refused, 3, times)
+        for a, b in new:
+            if a == 0:
+                refused.setdefault(a, set()).add(b)
+            else:
+                root[root == root[b]] = root[a]
+        if all(a for a, _ in new):
+            break
+        times *= 4
+    assert root[0] == 0 and len(set(root[1:].tolist())) == 1 and refused == {0: {1, 2, 3, 4}}
