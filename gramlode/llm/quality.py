@@ -169,13 +169,23 @@ def train(f: Features, y: np.ndarray, seed: int = 7) -> Machine:
     return Machine(bias, w, v, mean, scale)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, columns: list[str], bound: int = SAMPLE) -> DataFrame:
-    """``columns`` and ``label`` of at most ``bound`` rows of ``docs`` whose id has exactly one known label and for which
-    ``learn`` holds, the first by a hash of the id. A text that occurs under several ids counts each time."""
+def labelled_ids(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """``doc_id, _label`` of the ids that have exactly one known label and for which ``learn`` holds."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(
         F.min(label).alias("_low"), F.max(label).alias("_high")
     )
-    chosen = known.where("_low = _high").select("doc_id", F.col("_low").alias("_label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return known.where("_low = _high").select("doc_id", F.col("_low").alias("_label"))
+
+
+def first_ids(known: DataFrame, bound: int) -> DataFrame:
+    """At most ``bound`` of them, the first by a hash of the id."""
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, columns: list[str], bound: int = SAMPLE) -> DataFrame:
+    """``columns`` and ``label`` of at most ``bound`` rows of ``docs`` whose id has exactly one known label and for which
+    ``learn`` holds, the first by a hash of the id. A text that occurs under several ids counts each time."""
+    chosen = first_ids(labelled_ids(labels, label, learn), bound)
     return docs.join(F.broadcast(chosen), "doc_id").select(*columns, F.col("_label").alias(label))
 
 

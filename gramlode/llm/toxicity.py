@@ -4,11 +4,13 @@ A word (run of letters and digits, lower-cased) is embedded as the sum of three
 itself and of its first four and five bytes, so that inflected forms share what they have in common. Filters of several
 widths slide over the words, the largest response of each goes to a logistic output. Everything is numpy: training by
 back propagation through the maxima on a bounded sample of labelled rows, scoring in Arrow batches over whole texts.
-The score does not know the language; the thresholds of the decision are calibrated for each language.
+The score does not know the language; the thresholds of the decision are calibrated for each language, over all
+labelled rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,8 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gramlode.llm.quality import labelled_sample, slices
+from gramlode.llm.quality import first_ids, labelled_ids, labelled_sample, slices
 from gramlode.llm.tokens import NOT_LETTERS, Hasher, blocks
+from gramlode.session import stored
 
 TABLE, DIM = 1 << 16, 12
 WIDTHS, FILTERS = (1, 2, 3), 6
@@ -27,6 +30,8 @@ WIDTHS, FILTERS = (1, 2, 3), 6
 SAMPLE = 2500
 EPOCHS, BATCH, RATE = 8, 32, 0.02
 PREFIXES = (4, 5)
+#: Score bins to a unit of log odds; most labelled ids that are sent to every task.
+BINS, MOST_BROADCAST = 100, 1 << 20
 _CHUNK = 1 << 16
 #: (width index, offset) of every slice of every filter.
 _SLICES = [(k, j) for k, w in enumerate(WIDTHS) for j in range(w)]
@@ -171,27 +176,39 @@ class Model(NamedTuple):
     thresholds: dict[str, float]
 
 
-def calibrated(scores_: np.ndarray, y: np.ndarray, langs: list[str | None], least: int = 20) -> dict[str, float]:
-    """For each language with at least ``least`` rows of either label, the threshold with the fewest mistakes on the
-    rows given, in the middle between neighbouring scores and as near to one half as possible."""
+def score_bins(scores_: np.ndarray) -> np.ndarray:
+    """The bin of each score: ``BINS`` to a unit of log odds, one half at an edge."""
+    return np.floor(np.log(scores_ / (1 - scores_)) * BINS).astype(np.int64)
+
+
+def thresholds(langs: list[str], bins: np.ndarray, y: np.ndarray, n: np.ndarray, least: int = 20) -> dict[str, float]:
+    """For each language with at least ``least`` rows of either label, the threshold with the fewest mistakes over the
+    counts ``n`` of rows by language, bin and label, in the middle between neighbouring bins and as near to one half as
+    possible."""
     out = {}
-    for lang in sorted({x for x in langs if x is not None}):
-        at = np.array([x == lang for x in langs])
-        s, t = scores_[at], y[at]
-        if min(t.sum(), len(t) - t.sum()) < least:
+    of = np.array(langs, object)
+    for lang in sorted(set(langs)):
+        at = of == lang
+        if min(n[at & (y == v)].sum() for v in (0, 1)) < least:
             continue
-        order = np.argsort(s, kind="stable")
-        s, t = s[order], t[order]
-        wrong = np.r_[0, np.cumsum(t)] + np.r_[np.cumsum((1 - t)[::-1])[::-1], 0]
-        edges = np.r_[0.0, s, 1.0]
-        cuts = np.clip(0.5, edges[:-1], edges[1:])
-        inside = (edges[:-1] < 0.5) & (0.5 < edges[1:])
-        cuts = np.where(inside, 0.5, (edges[:-1] + edges[1:]) / 2)
+        found, place = np.unique(bins[at], return_inverse=True)
+        ones, zeros = (np.bincount(place, np.where(y[at] == v, n[at], 0), minlength=len(found)) for v in (1, 0))
+        wrong = np.r_[0, np.cumsum(ones)] + np.r_[np.cumsum(zeros[::-1])[::-1], 0]
+        edges = np.r_[found[0] - 0.5, found + 0.5, found[-1] + 1.5]
+        inside = (edges[:-1] < 0) & (0 < edges[1:])
+        cuts = np.where(inside, 0.0, (edges[:-1] + edges[1:]) / 2)
+        cuts = 1 / (1 + np.exp(-cuts / BINS))
         best = np.flatnonzero(wrong == wrong.min())
         out[lang] = float(cuts[best[np.argmin(np.abs(cuts[best] - 0.5))]])
     return out
 
 
+def calibrated(scores_: np.ndarray, y: np.ndarray, langs: list[str | None], least: int = 20) -> dict[str, float]:
+    """The thresholds over the rows given, each counted once."""
+    known = np.array([x is not None for x in langs], bool)
+    return thresholds([x for x in langs if x is not None], score_bins(scores_[known]), y[known], np.ones(known.sum(), np.int64), least)
+
+
 def _collect_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (part for whole in batches for part in slices(whole)):
         parts = list(word_ids(batch.column(0)))
@@ -201,21 +218,51 @@ def _collect_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([x.tobytes() for x in np.split(ids.astype(np.uint16), cuts[1:-1])] if batch.num_rows else [], pa.binary()), batch.column(1), batch.column(2).cast(pa.int32())], ["ids", "lang", "y"])
 
 
+def _seen(net: Net, words: list[np.ndarray]) -> np.ndarray:
+    projected = project(net)
+    z = np.array([_pooled(net, projected, x, np.zeros(1, int))[0] @ net.out + net.bias if len(x) else net.bias for x in words])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """Train and calibrate on at most ``bound`` labelled rows of either label for which ``learn`` holds; without rows, or
-    with one label only, every text gets the same score."""
+    """Train on at most ``bound`` labelled rows of either label for which ``learn`` holds, and calibrate on all of them;
+    without rows, or with one label only, every text gets the same score.
+
+    No row is scored by a net that was trained on it: those of the sample by one that was trained on the other half of
+    it, all others by the model's own.
+    """
     of_label = [labelled_sample(docs, labels.where(F.col(label) == v), label, learn, ["text", "lang"], bound) for v in (0, 1)]
     rows = of_label[0].unionByName(of_label[1]).mapInArrow(_collect_ids, "ids binary, lang string, y int").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["y"], r["lang"] or "", r["ids"]))  # tasks give their rows in any order
     words = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 3) for r in rows]
     y = np.array([r["y"] for r in rows], float)
     net = train(words, y)
-    projected, seen = project(net), []
-    for x in words:
-        pooled = _pooled(net, projected, x, np.zeros(1, int))[0] if len(x) else np.maximum(net.shift, 0) * 0
-        seen.append(pooled @ net.out + net.bias)
-    seen = 1 / (1 + np.exp(-np.clip(np.array(seen), -30, 30)))
-    return Model(net, calibrated(seen, y, [r["lang"] for r in rows]))
+    seen, half = np.full(len(y), 0.5), np.arange(len(y)) % 2
+    for k in (0, 1):
+        other = train([x for x, h in zip(words, half) if h != k], y[half != k])
+        seen[half == k] = _seen(other, [x for x, h in zip(words, half) if h == k])
+    counts = Counter((r["lang"], int(b), r["y"]) for r, b in zip(rows, score_bins(seen)) if r["lang"] is not None)
+    for r in _counted(docs, labels, learn, label, Model(net, {}), bound).collect():  # a few thousand rows a language
+        counts[r.lang, r.bin, r.y] += r.n
+    keys = list(counts)
+    column = lambda i: np.array([k[i] for k in keys], np.int64)
+    return Model(net, thresholds([k[0] for k in keys], column(1), column(2), np.array([counts[k] for k in keys], np.int64)))
+
+
+def _counted(docs: DataFrame, labels: DataFrame, learn: Column, label: str, model: Model, bound: int) -> DataFrame:
+    """``lang, bin, y, n`` of all labelled rows for which ``learn`` holds, but those of the sample."""
+    known = [labelled_ids(labels.where(F.col(label) == v), label, learn) for v in (0, 1)]
+    rest = known[0].unionByName(known[1])
+    for ids in known:
+        rest = rest.join(F.broadcast(first_ids(ids, bound).select("doc_id")), "doc_id", "left_anti")
+    rest = stored(rest, "toxicity-labelled")
+    usable = docs.where(F.col("lang").isNotNull() & learn)
+    if rest.count() <= MOST_BROADCAST:
+        scored = score(usable.join(F.broadcast(rest), "doc_id"), model, ["lang", "_label"])
+    else:  # scores are moved, not texts
+        scored = score(usable, model, ["doc_id", "lang"]).join(rest, "doc_id")
+    bin_ = F.floor(F.log(F.col("_score") / (1 - F.col("_score"))) * BINS)
+    return scored.groupBy("lang", bin_.alias("bin"), F.col("_label").cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -100,3 +100,28 @@ def test_thresholds_by_language():
     out = toxicity.calibrated(s, y, ["de"] * 120)
     assert 0.2 < out["de"] <= 0.3
     assert toxicity.calibrated(s[:4], y[:4], ["de"] * 4) == {}
+
+
+def test_thresholds_count_all_labelled_rows(spark, words):
+    """One toxic text in ten says what clean ones say too: over all rows the fewest mistakes are to let the word pass,
+    in a sample of as many toxic as clean rows they are not. The rare language has too few rows in the sample."""
+    rng = random.Random(9)
+    docs, labels = [], []
+    for i in range(1500):
+        toxic = i % 10 == 0
+        said = "scumbag" if toxic or rng.random() < 0.3 else ""
+        docs.append((i, " ".join([rng.choice(words), said, rng.choice(words)]), "de" if i % 25 in (0, 1) else "en"))
+        labels.append((i, int(toxic)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), bound=60)
+    flagged = toxicity.score(frame, model, ["lang"]).where(F.col("_score") >= toxicity.threshold(model, F.col("lang")))
+    assert flagged.where("lang = 'en'").count() < 150
+    assert set(model.thresholds) == {"de", "en"}
+    counted = toxicity._counted(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), "toxic", model, 60)
+    assert sum(r.n for r in counted.collect()) == 1500 - 120
+    toxicity_most, toxicity.MOST_BROADCAST = toxicity.MOST_BROADCAST, 0
+    try:
+        again = toxicity._counted(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True), "toxic", model, 60)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, counted.collect()))
+    finally:
+        toxicity.MOST_BROADCAST = toxicity_most
