@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,6 +45,20 @@ ASIDE_WORDS = re.compile(
 )
 
 
+#: Elements that an opening tag ends (innermost of each name), unless one of the others was opened since.
+_BARS = BLOCKS - {"address", "div", "p", "dt", "dd", "li"}
+_SECTIONS = frozenset("tbody thead tfoot caption colgroup".split())
+ENDS = {
+    "li": (("li",), _BARS),
+    "dt": (("dt", "dd"), _BARS),
+    "dd": (("dt", "dd"), _BARS),
+    "td": (("td", "th"), frozenset({"tr", "table"})),
+    "th": (("td", "th"), frozenset({"tr", "table"})),
+    "tr": (("td", "th", "tr", "caption", "colgroup"), frozenset({"table", "tbody", "thead", "tfoot"})),
+    **{x: (("td", "th", "tr", *sorted(_SECTIONS)), frozenset({"table"})) for x in ("tbody", "thead", "tfoot")},
+}
+
+
 def _zone(name: str, attrs: str) -> str | None:
     """What an element says about its words: its name, with the words of its class, id and role; None if nothing."""
     if "=" in attrs:
@@ -64,10 +78,22 @@ def items(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """``kind, value, zone, aside, article`` of each word run (kind "text") and tag ("open", "close") in page order.
 
     ``zone`` is that of the innermost element that has one; ``aside`` and ``article`` say whether any open element is of
-    that kind. Closing tags close up to the element they name, or nothing. Scripts, styles and the like are one tag.
+    that kind. Closing tags close up to the element they name, or nothing; cells, rows and list entries end as HTML implies. Scripts, styles and the like are one tag.
     """
     open_: list[tuple[str, str, bool, bool]] = []
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of a name, the innermost last
     zone, aside, article = "", False, False
+
+    def close(i: int) -> tuple[str, bool, bool]:
+        for x in open_[i:]:
+            places[x[0]].pop()
+        state = open_[i][1:]
+        del open_[i:]
+        return state
+
+    def last(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
     for m in _ITEM.finditer(page):
         text = m["text"]
         if text is not None:
@@ -81,19 +107,23 @@ def items(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             yield "open", name, zone, aside, article
             if name in VOID or m["attrs"].endswith("/"):
                 continue
-            if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and open_ and open_[-1][0] == name:
-                zone, aside, article = open_.pop()[1:]
+            if name in ENDS and open_:
+                ended, bars = ENDS[name]
+                bar = max(map(last, bars))
+                found = [i for i in map(last, ended) if i > bar]
+                if found:
+                    zone, aside, article = close(min(found))
+            elif name in ("p", "option") and open_ and open_[-1][0] == name:
+                zone, aside, article = close(len(open_) - 1)
             own = _zone(name, m["attrs"])
+            places[name].append(len(open_))
             open_.append((name, zone, aside, article))
             aside = aside or _is_aside(name, own, article)
             zone, article = own if own is not None else zone, article or name == "article"
         else:
             yield "close", name, zone, aside, article
-            for i in range(len(open_) - 1, max(-1, len(open_) - 64), -1):
-                if open_[i][0] == name:
-                    zone, aside, article = open_[i][1:]
-                    del open_[i:]
-                    break
+            if last(name) >= 0:
+                zone, aside, article = close(last(name))
 
 
 def counted(page: str) -> Counter:

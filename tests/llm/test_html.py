@@ -41,3 +41,17 @@ def test_best_stretch_is_the_maximum():
         sums = [sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1)]
         a, b = html.best_stretch(scores)
         assert sum(scores[a:b]) == max([0, *sums])
+
+
+def test_elements_close_over_any_number_of_omitted_end_tags():
+    after = "<article><p>" + "many good words " * 20 + "</p></article>"
+    want = " ".join(["many good words"] * 20)
+    for inside in ("<dt>a<dd>b" * 200, "<table>" + "<tr><td>a<td>b" * 200 + "</table>", "<b>x" * 200, "<ul>" + "<li><i>x" * 200 + "</ul>"):
+        for name in ("nav", "aside", "form"):
+            assert html.main_text(f"<div><{name}>{inside}</{name}></div>{after}", {}) == want
+
+
+def test_implied_ends_stay_inside_their_table_or_list():
+    zones = lambda page: {v: z for kind, v, z, _, _ in html.items(page) if kind == "text"}
+    assert zones("<table><tr><td class=o>a<table><tr><td class=i>b<td>c</table>d<td>e</table>f") == {"a": "td o", "b": "td i", "c": "td o", "d": "td o", "e": "", "f": ""}
+    assert zones("<dl><dt class=t>a<dd>b<dl><dt class=u>c</dl>d<dt>e</dl>") == {"a": "dt t", "b": "", "c": "dt u", "d": "", "e": ""}
