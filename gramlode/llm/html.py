@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ LABELLED = 4000
 #: Weights kept, the most frequent elements and tags first.
 MOST_WEIGHTS = 2000
 UNKNOWN_WORD, UNKNOWN_TAG = 0.5, 1.0
+#: Characters of a zone that stay as they are.
+LONG_ZONE = 80
 #: What each word and tag inside an element that is not text counts against a stretch that crosses it.
 ASIDE_COST = 0.1
 
@@ -60,14 +63,19 @@ ENDS = {
 
 
 def _zone(name: str, attrs: str) -> str | None:
-    """What an element says about its words: its name, with the words of its class, id and role; None if nothing."""
+    """What an element says about its words: its name, with all words of its class, id and role; None if nothing."""
     if "=" in attrs:
         words = " ".join(sorted({w.lower() for m in _NAMED.findall(attrs) for w in "".join(m).split()}))
         if words:
-            return f"{name} {words}"[:80]
+            return f"{name} {words}"
     return name if name in ASIDE or name in ("header", "article", "main") else None
 
 
+def _key(zone: str) -> str:
+    """A zone as the weights know it: a long one by its hash."""
+    return zone if len(zone) <= LONG_ZONE else f"{zone.split()[0]} #{xxhash.xxh64_hexdigest(zone.encode('utf-8', 'replace'))}"
+
+
 def _is_aside(name: str, zone: str | None, in_article: bool) -> bool:
     if name in ASIDE or (name == "header" and not in_article):
         return True
@@ -119,7 +127,7 @@ def items(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             places[name].append(len(open_))
             open_.append((name, zone, aside, article))
             aside = aside or _is_aside(name, own, article)
-            zone, article = own if own is not None else zone, article or name == "article"
+            zone, article = _key(own) if own is not None else zone, article or name == "article"
         else:
             yield "close", name, zone, aside, article
             if last(name) >= 0:

@@ -55,3 +55,12 @@ def test_implied_ends_stay_inside_their_table_or_list():
     zones = lambda page: {v: z for kind, v, z, _, _ in html.items(page) if kind == "text"}
     assert zones("<table><tr><td class=o>a<table><tr><td class=i>b<td>c</table>d<td>e</table>f") == {"a": "td o", "b": "td i", "c": "td o", "d": "td o", "e": "", "f": ""}
     assert zones("<dl><dt class=t>a<dd>b<dl><dt class=u>c</dl>d<dt>e</dl>") == {"a": "dt t", "b": "", "c": "dt u", "d": "", "e": ""}
+
+
+def test_long_class_lists_are_read_whole():
+    many = " ".join(f"a{i}-utility" for i in range(30))
+    after = "<p>" + "many good words " * 20 + "</p>"
+    for word in ("widget", "sidebar", "related", "subscribe"):
+        assert html.main_text(f"<div class='{many} {word}'>" + "buy this now " * 3 + f"</div>{after}", {}) == " ".join(["many good words"] * 20)
+    keys = {z for page in (f"<div class='{many} x'>a", f"<div class='{many} y'>a") for _, v, z, _, _ in html.items(page) if v == "a"}
+    assert len(keys) == 2 and all(len(k) <= html.LONG_ZONE for k in keys)
