@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import bpe, fingerprint, html, lm, mixing, quality, simhash, topk, toxicity, warc
+from gramlode.llm import alignment, bpe, fingerprint, html, lm, mixing, quality, simhash, topk, toxicity, warc
 from gramlode.llm.common import held_out, table
 from gramlode.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from gramlode.session import stored
@@ -86,6 +86,13 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = alignment.linked_corpus(table(spark, folder, "documents"))
+    return found.select(
+        F.col("key").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256")
+    )
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_simhash": op2_simhash,
@@ -97,4 +104,5 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_alignment": op12_alignment,
 }
