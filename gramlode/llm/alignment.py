@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlode.llm.common import byte_slices
 from gramlode.session import scratch_path
 
 SPACE = "▁"
@@ -258,23 +259,12 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
     return Aligner(path_a, path_b)
 
 
-def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    sizes = np.fromiter((len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column)), np.int64, batch.num_rows)
-    ends = np.cumsum(sizes)
-    begin = 0
-    while begin < batch.num_rows:
-        limit = (ends[begin - 1] if begin else 0) + SLICE_BYTES
-        end = max(begin + 1, int(np.searchsorted(ends, limit, "right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
-
-
 def _align_rows(paths: tuple[str, str], digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import sha256
 
         aligner = _aligner(*paths)
-        for part in (part for batch in batches for part in _slices(batch, 1)):
+        for part in (part for batch in batches for part in byte_slices(batch, 1, SLICE_BYTES)):
             n_a, n_b, groups, links, ends = aligner.align(part.column(1).to_pylist())
             n_groups = [g.count("|") for g in groups]
             if digests:

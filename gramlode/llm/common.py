@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,3 +25,15 @@ def id_bucket(key: Column, buckets: int) -> Column:
 def held_out(key: Column, buckets: int, fold: int) -> Column:
     """Whether a row belongs to the held-out fold; a row without id never does."""
     return F.coalesce(id_bucket(key, buckets) == fold, F.lit(False))
+
+
+def byte_slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts in ``column`` take about ``size`` bytes; one row may take more."""
+    sizes = np.fromiter((len(v.as_buffer()) if v.is_valid else 0 for v in batch.column(column)), np.int64, batch.num_rows)
+    ends = np.cumsum(sizes)
+    begin = 0
+    while begin < batch.num_rows:
+        limit = (ends[begin - 1] if begin else 0) + size
+        end = max(begin + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end

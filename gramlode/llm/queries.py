@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import alignment, bpe, fingerprint, html, lm, mixing, quality, simhash, topk, toxicity, warc
+from gramlode.llm import alignment, bpe, fingerprint, html, lm, mixing, quality, secrets, simhash, topk, toxicity, warc
 from gramlode.llm.common import held_out, table
 from gramlode.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from gramlode.session import stored
@@ -93,6 +93,19 @@ def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.KINDS[: secrets.BASE]))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    return found.select(
+        F.col("key").alias("doc_id"),
+        *(number(kind) for kind in secrets.KINDS[: secrets.BASE]),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_lm": op1_lm,
     "op2_simhash": op2_simhash,
@@ -105,4 +118,5 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op12_alignment": op12_alignment,
+    "op13_secrets": op13_secrets,
 }
