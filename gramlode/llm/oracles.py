@@ -62,5 +62,28 @@ SELECT doc_id, size, source_size, target, size * (
   (start + size / 2 < target)::BIGINT + (source_size + start + size / 2 < target)::BIGINT
     + (2 * source_size + start + size / 2 < target)::BIGINT) AS taken
 FROM b
+""",
+    "op11_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.rid, a.vec_id AS anchor_id, c.rid AS other, c.vec_id, a.label = c.label AS same,
+    CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.rid <> a.rid AND len(a.v) = len(c.v)
+), p AS (
+  SELECT rid, anchor_id, vec_id AS positive_id, score AS positive_score,
+    row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id, other) AS place
+  FROM s WHERE same QUALIFY place <= 5
+)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.rid, place ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.rid = p.rid AND NOT s.same
+  AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score
+QUALIFY rank <= 5
 """,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramlode.llm import alignment, bpe, fingerprint, html, lm, mixing, quality, secrets, simhash, topk, toxicity, warc
+from gramlode.llm import alignment, bpe, fingerprint, html, lm, mixing, negatives, quality, secrets, simhash, topk, toxicity, warc
 from gramlode.llm.common import held_out, table
 from gramlode.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from gramlode.session import stored
@@ -86,6 +86,11 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, folder, "embeddings").withColumn("label", changed))
+
+
 def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
     found = alignment.linked_corpus(table(spark, folder, "documents"))
     return found.select(
@@ -117,6 +122,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
     "op12_alignment": op12_alignment,
     "op13_secrets": op13_secrets,
 }
