@@ -32,9 +32,9 @@ _NEXT_TO_WHITE = re.compile(f"[{_WHITE}] | [{_WHITE}]")
 _CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 #: Characters of words, and bytes of windows' ids and groups, after which a worker's memory begins anew; words encoded by
 #: one call.
-MEMO_CHARS, MEMO_BYTES, TOGETHER = 3_000_000, 32 << 20, 1000
+MEMO_CHARS, MEMO_BYTES, TOGETHER = 1_500_000, 12 << 20, 1000
 #: Bytes of text handled at once (one text may have more).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -275,6 +275,7 @@ def _align_rows(paths: tuple[str, str], digests: bool):
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(links))],
                 ["key", "n_a", "n_b", "n_groups", "groups", "links"],
             )
+            pa.default_memory_pool().release_unused()  # workers stay for the next task; so would what Arrow holds
 
     return run
 
