@@ -11,10 +11,15 @@ from pyspark.sql import functions as F
 
 from gramlode.functions.sampling import hash_sample
 from gramlode.functions.text import explode_rows, gram_rows, snippet_text, with_trimmed_tokens
-from gramlode.operators.sizing import fits_broadcast, lookup_join
+from gramlode.operators.membership import Forms, bloom_filter, hashed_forms
+from gramlode.operators.sizing import fits_broadcast, heavy_hitters, lookup_join
+from gramlode.session import stored
 
-# A dictionary up to this many surface forms may be written into the plan as a hash set.
-INLINE_FORMS = 5_000
+# A dictionary up to this many surface forms, of this many bytes, may be written into the plan as a hash table.
+INLINE_FORMS, INLINE_BYTES = 250_000, 8 << 20
+
+# One advert in so many is looked at to find the grams that are hot. That decides how rows are joined, not which.
+HOT_SAMPLE = 64
 
 # Up to this many base words the wide counts are plain conditional sums.
 FEW_COLUMNS = 64
@@ -42,22 +47,23 @@ def hits(
     text: str,
     carry: list[str] | None = None,
     small: bool | None = None,
-    **join,
 ) -> DataFrame:
-    """One row per gram found in ``dictionary`` (a table with a ``surface`` column) and per row it has there.
+    """One row per gram found in ``dictionary`` (a stored table with a ``surface`` column) and per row it has there.
 
-    Words with which no surface form begins are dropped before any gram is built. Also a dictionary too large to be
-    broadcast often has few first words; then most grams are dropped before the shuffle.
+    With a dictionary within the broadcast bound, words with which no surface form begins are dropped before any gram is
+    built. With a larger one, grams that a filter of all forms rules out are dropped before the shuffle, and the hot
+    grams are joined where they are made.
     """
     keep = [*key, *(carry or [])]
     if small is None:
         small = fits_broadcast(dictionary)
-    starts = first_words(dictionary)
-    if not small:
-        starts = starts.distinct()
-        starts = starts if fits_broadcast(starts) else None
-    grams = gram_rows(adverts, keep, text, starts)
-    return lookup_join(grams, dictionary, "gram", "surface", salt_by=key, small=small, **join)
+    if small:
+        return lookup_join(gram_rows(adverts, keep, text, first_words(dictionary)), dictionary, "gram", "surface", small=True)
+    looked_at = adverts.where(F.pmod(F.xxhash64(*key), F.lit(HOT_SAMPLE)) == 0)
+    hot = heavy_hitters(gram_rows(looked_at, key, text), "gram")
+    bloom = bloom_filter(dictionary, "surface")
+    grams = gram_rows(adverts, keep, text)
+    return lookup_join(grams, dictionary, "gram", "surface", small=False, hot=hot, may_hold=bloom and bloom.may_hold)
 
 
 def surface_counts(adverts: DataFrame, surfaces: DataFrame, key: list[str], text: str, **join) -> DataFrame:
@@ -101,36 +107,44 @@ def advert_techs(found: DataFrame, key: list[str]) -> DataFrame:
     return found.groupBy(*key).agg(F.sort_array(F.collect_set("tech")).alias("techs"))
 
 
-def _in_dictionary(surfaces: DataFrame) -> list[str] | None:
-    """The surface forms as a list when there are few; None when they must stay a table."""
+def _in_dictionary(surfaces: DataFrame) -> Forms | None:
+    """The surface forms as a table inside the plan; None when they must stay a table of their own."""
     forms = surfaces.select("surface").distinct()
-    if not fits_broadcast(forms, rows=INLINE_FORMS):
+    if not fits_broadcast(forms, rows=INLINE_FORMS, size=INLINE_BYTES):
         return None
-    return sorted(row["surface"] for row in forms.collect())
+    return hashed_forms(forms, "surface")
 
 
-def found_forms(tokens: str, forms: list[str]) -> Column:
+def found_forms(tokens: str, forms: Forms) -> Column:
     """The grams of a token column that are among ``forms``, duplicates kept.
 
-    A hash look-up per word finds the possible starts; grams are built for those only.
+    A hash look-up per word and per pair of words, at the same cost for any number of forms.
     """
-    starts = sorted({form.split(" ")[0] for form in forms})
     pairs = F.arrays_zip(F.col(tokens).alias("a"), F.slice(tokens, F.lit(2), F.size(tokens)).alias("b"))
-    possible = F.filter(pairs, lambda p: p["a"].isin(starts))
-    grams = F.flatten(F.transform(possible, lambda p: F.array(p["a"], F.concat(p["a"], F.lit(" "), p["b"]))))
-    return F.when(F.size(tokens) > 0, F.filter(grams, lambda gram: gram.isin(forms)))
+    grams = F.flatten(F.transform(pairs, lambda p: F.array(p["a"], F.concat(p["a"], F.lit(" "), p["b"]))))
+    return F.when(F.size(tokens) > 0, F.filter(grams, lambda gram: gram.isNotNull() & forms.holds(gram)))
+
+
+def _by_key(adverts: DataFrame, keys: DataFrame, key: list[str], how: str) -> DataFrame:
+    """``adverts`` joined with a stored table of keys. Few keys are broadcast; with many, adverts that a filter of the keys
+    rules out are dropped in the scan, so that hardly any other text moves."""
+    if fits_broadcast(keys):
+        return adverts.join(F.broadcast(keys), key, how)
+    bloom = bloom_filter(keys, *key)
+    kept = adverts if bloom is None else adverts.where(bloom.may_hold(*key))
+    return kept.join(keys.hint("merge"), key, how)
 
 
 def adverts_with_hits(adverts: DataFrame, surfaces: DataFrame, key: list[str], text: str) -> DataFrame:
     """The adverts with at least one dictionary hit.
 
-    A small dictionary is looked up inside the advert's row: nothing is exploded and nothing moves. A large one gives
-    the set of keys with a hit first.
+    A dictionary that can be part of the plan is looked up inside the advert's row: nothing is exploded and nothing moves.
+    A larger one gives the set of keys with a hit first.
     """
     forms = _in_dictionary(surfaces)
     if forms is None:
-        keys = hits(adverts, surfaces.select("surface"), key, text).select(*key).distinct()
-        return adverts.join(keys, key, "left_semi")
+        keys = stored(hits(adverts, surfaces.select("surface"), key, text).select(*key).distinct(), "hit-keys")
+        return _by_key(adverts, keys, key, "left_semi")
     trimmed = with_trimmed_tokens(adverts, adverts.columns, text)
     # the first hit stands for all; as a generator it keeps the test from being pushed into the tokenizer
     first = F.slice(found_forms("tokens", forms), 1, 1)
@@ -146,25 +160,25 @@ def snippets(
     title: str,
     occupation: str,
     p: float = 0.001,
-    forms: list[str] | None = None,
+    forms: Forms | None = None,
 ) -> DataFrame:
     """A repeatable sample of the (advert, technology, base word) hits with the advert's whole cleaned text.
 
-    Columns ``(key…, tech, job_id, keyword, job_title, occupation, jobtext)``. With a small dictionary the hits are
-    found inside the advert's row and sampled right there, so only sampled texts are ever moved. With a large one the
-    sampled keys are joined back to the adverts. ``forms`` skips the size check.
+    Columns ``(key…, tech, job_id, keyword, job_title, occupation, jobtext)``. With a dictionary that can be part of the plan
+    the hits are found inside the advert's row and sampled right there, so only sampled texts are ever moved. With a
+    larger one the sampled keys fetch their texts. ``forms`` skips the size check.
     """
     forms = _in_dictionary(matches) if forms is None else forms
     attributes = list(dict.fromkeys([job_id, title, occupation, text]))
     wanted = [*key, *(a for a in attributes if a not in key)]
     one = [*key, "tech", "base"]
     if forms is None:
-        sampled = hits(adverts, matches, key, text, small=fits_broadcast(matches)).where(hash_sample(p, *one))
-        rows = sampled.select(*one).distinct().join(adverts.select(*wanted), key)
+        sampled = hits(adverts, matches, key, text).where(hash_sample(p, *one))
+        rows = _by_key(adverts.select(*wanted), stored(sampled.select(*one).distinct(), "sampled-keys"), key, "inner")
     else:
         trimmed = with_trimmed_tokens(adverts, wanted, text)
         found = explode_rows(trimmed, wanted, F.array_distinct(found_forms("tokens", forms)), "gram")
-        matched = lookup_join(found, matches, "gram", "surface", salt_by=key, small=True)
+        matched = lookup_join(found, matches, "gram", "surface")
         # two forms of one base word in an advert are one hit
         rows = matched.where(hash_sample(p, *one)).dropDuplicates(one)
     return rows.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
+#: A value with this share of all rows is hot; counters that a task keeps to find them.
+HOT_SHARE, TRACKED = 0.001, 16_384
 
 
 def _row_bytes(df: DataFrame) -> Column:
@@ -31,30 +33,42 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
     return n <= rows and total <= size
 
 
+def heavy_hitters(rows: DataFrame, column: str, share: float = HOT_SHARE) -> list:
+    """The values that hold at least ``share`` of the ``rows``, by a frequent-items summary that every task makes of its
+    own rows and that are merged: a bounded number of counters and, at most ``1 / share`` values as result."""
+    most = int(1 / share)
+    n, top = rows.agg(F.count(column), F.expr(f"approx_top_k(`{column}`, {most}, {TRACKED})")).first()
+    return [x["item"] for x in top or [] if x["item"] is not None and x["count"] >= n * share]
+
+
 def lookup_join(
     rows: DataFrame,
     table: DataFrame,
     left: str,
     right: str,
-    salt_by: list[str],
     small: bool | None = None,
-    salts: int = SALTS,
+    hot: Sequence = (),
+    may_hold: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Inner join of many ``rows`` with a look-up ``table`` on ``rows.left = table.right``; the key of the table is kept
     under the name of the rows' column.
 
-    A table within the checked bound is broadcast, so the rows do not move. A larger one is joined by a shuffle on the
-    key and a salt taken from the columns ``salt_by``: a key that holds a third of all rows is then spread over
-    ``salts`` partitions, and the table is repeated once per salt.
+    A table within the checked bound is broadcast, so the rows do not move. A larger one is split by ``hot``, the values
+    that hold a large share of the rows: their part of the table is broadcast, if it is within the bound, and these rows do not move
+    either; the others are joined by sort-merge, where no value has more than a small share of the rows left. ``may_hold``
+    tells which values can be in the table at all; others are dropped before they move. Nothing of the table is repeated.
     """
     if small is None:
         small = fits_broadcast(table)
+    named = table.withColumnRenamed(right, left)
     if small:
-        return rows.join(F.broadcast(table.withColumnRenamed(right, left)), left)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
-    repeated = table.withColumnRenamed(right, left).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    # sort-merge on purpose: it spills, splits skewed partitions, and cannot be planned as a broadcast of the exploded
-    # rows, whose size the planner takes to be that of the compressed files they come from
-    return salted.join(repeated.hint("merge"), [left, "_salt"]).drop("_salt")
+        return rows.join(F.broadcast(named), left)
+    is_hot = F.col(left).isin(list(hot)) if hot else F.lit(False)
+    if hot and not fits_broadcast(named.where(is_hot)):
+        hot, is_hot = (), F.lit(False)
+    rest = rows.where(~is_hot)
+    if may_hold is not None:
+        rest = rest.where(may_hold(left))
+    # sort-merge on purpose: it spills and splits skewed partitions
+    joined = rest.join(named.where(~is_hot).hint("merge"), left)
+    return rows.where(is_hot).join(F.broadcast(named.where(is_hot)), left).unionByName(joined) if hot else joined

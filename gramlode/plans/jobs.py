@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gramlode.operators import bigrams, counting, dictionary, labels, pages
 from gramlode.session import stored
 from gramlode.sinks import files as sink
+from gramlode.sinks import versions
 from gramlode.sources import adverts, archives
 from gramlode.sources import tables as src
 
@@ -22,25 +23,50 @@ def ingest_archives(
     end_year: int,
     skip: Sequence[int] = (),
     encoding: str = "ISO-8859-1",
+    undated: str = "error",
 ) -> DataFrame:
-    """Unpack and parse the archives of the chosen years once, into a parquet table below ``year=/source_file=``.
+    """Unpack and parse the archives of the chosen years once, into the versioned table ``table``, by year and archive.
 
-    Everything later reads that table: columns are pruned, and no archive is unpacked twice. Malformed records are kept
-    with their text in ``_corrupt_record``. Running an archive again replaces its partition, also when no record is left.
-    Returns the stored list of archives, ``(year, source_file)``.
+    Everything later reads that table (``versions.read``): columns are pruned, and no archive is unpacked twice. Malformed
+    records are kept with their text in ``_corrupt_record``. Running an archive again replaces its rows, also when no
+    record is left; readers see all of a run or nothing. An archive without a year in its path is an error, or with
+    ``undated="leave"`` left out (``archives.left_out`` lists those). Returns the stored list of archives,
+    ``(year, source_file)``.
     """
     years = [y for y in range(start_year, end_year + 1) if y not in set(skip)]
-    listing = archives.list_archives(spark, feed, years)
-    listed = stored(listing.select("year", F.substring_index("path", "/", -1).alias("source_file")), "archives")
+    listing = archives.list_archives(spark, feed, years, undated)
+    listed = stored(listing.select("year", "source_file"), "archives")
     if not listed.isEmpty():
-        parsed = archives.read_archives(spark, feed, years, encoding)
-        sink.replace_archives(parsed, table, listed.columns, listed)
+        versions.replace(archives.read_archives(spark, feed, years, encoding, undated), table, listed)
     return listed
 
 
+def ingest_new_archives(spark: SparkSession, feed: str, table: str, state: str, encoding: str = "ISO-8859-1") -> None:
+    """Ingest the archives that came into ``feed`` since the last call with the same ``state`` folder, then return.
+
+    A file stream remembers which archives it has seen. Each of its batches is published as one version named after the
+    batch, so a batch that is repeated after a failure replaces itself. Archives without a year in their path fail the
+    batch. An archive that is written anew under its old name counts as seen; ingest its year to replace it.
+    """
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    listing = files.option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(feed).select("path")
+
+    def ingest(batch: DataFrame, number: int) -> None:
+        listed = stored(archives.named(batch, feed), "new-archives")
+        undated = [row.path for row in listed.where(F.col("year").isNull()).limit(5).collect()]
+        if undated:
+            raise ValueError(f"no year in the paths of {', '.join(undated)}")
+        if not listed.isEmpty():
+            parsed = archives.unpack_listed(listed, encoding)
+            versions.replace(parsed, table, listed.select("year", "source_file"), f"batch-{number:09d}")
+
+    writer = listing.writeStream.foreachBatch(ingest).option("checkpointLocation", state).trigger(availableNow=True)
+    writer.start().awaitTermination()
+
+
 def ingest_tally(spark: SparkSession, table: str) -> DataFrame:
     """Processed and rejected records per year and archive."""
-    return adverts.tally(spark.read.parquet(table), "year", "source_file")
+    return adverts.tally(versions.read(spark, table), "year", "source_file")
 
 
 def build_dictionary(
@@ -68,7 +94,7 @@ def count_adverts(
     The long counts are stored once, by technology, and every technology's wide file reads its own part of them.
     """
     keywords, _, matches = build_dictionary(spark, sheets, inflect)
-    usable = adverts.usable(spark.read.parquet(table)).join(listed, listed.columns, "left_semi")
+    usable = adverts.usable(versions.read(spark, table)).join(listed, listed.columns, "left_semi")
     renamed = usable.withColumn("source_file", sink.output_name("source_file"))
     outputs = listed.withColumn("source_file", sink.output_name("source_file"))
     key = adverts.ARCHIVE_KEY

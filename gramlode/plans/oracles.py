@@ -30,7 +30,7 @@ RAW_TOKENS = f"r AS (SELECT doc_id, regexp_extract_all(text, '{TOKEN_RE}') k FRO
 
 BIGRAMS = f"""{RAW_TOKENS},
 b AS (SELECT unnest({PAIRS.format("k")}) bigram FROM r),
-counts AS (SELECT bigram, count(*) AS "count" FROM b GROUP BY bigram)"""
+counts AS MATERIALIZED (SELECT bigram, count(*) AS "count" FROM b GROUP BY bigram)"""
 
 
 def _singular(w: str) -> str:
@@ -73,9 +73,18 @@ cg AS (SELECT role, unnest(k) gram FROM c UNION ALL SELECT role, unnest({PAIRS.f
 sheets AS (SELECT role AS tech, list_position(['assistant', 'system', 'user'], role)::INTEGER tech_pos,
                   replace(gram, ' ', '_') || (length(gram) % 10) raw FROM cg)"""
 
-HITS = f"""{LITERAL_SHEETS}, {SURFACES}, {GRAMS},
+
+
+def _hits(sheets: str) -> str:
+    return f"""{sheets}, {SURFACES}, {GRAMS},
 hits AS (SELECT doc_id, tech, sd.base FROM grams JOIN sd ON gram = surface JOIN kd ON sd.base = kd.base)"""
-COUNTED = f"{HITS}, keyword_n AS (SELECT doc_id, tech, base, count(*) n FROM hits GROUP BY ALL)"
+
+
+def _counted(sheets: str) -> str:
+    return f"{_hits(sheets)}, keyword_n AS (SELECT doc_id, tech, base, count(*) n FROM hits GROUP BY ALL)"
+
+
+HITS, COUNTED = _hits(LITERAL_SHEETS), _counted(LITERAL_SHEETS)
 
 _BASES = sorted({raw.translate(str.maketrans("_", " ", "0123456789")) for raws in SHEETS.values() for raw in raws})
 _WIDE = ", ".join(f"sum(CASE WHEN base = {_str(b)} THEN 1 END)::BIGINT AS \"{b}\"" for b in _BASES)
@@ -83,9 +92,9 @@ _WIDE = ", ".join(f"sum(CASE WHEN base = {_str(b)} THEN 1 END)::BIGINT AS \"{b}\
 SNIPPET = "regexp_replace(lower(text), '[^a-zA-Z ]', ' ', 'g')"
 
 
-def _snippets(bound: str | None) -> str:
+def _snippets(bound: str | None, counted: str = COUNTED) -> str:
     chosen = f"WHERE md5(concat_ws('|', k.doc_id, tech, base))[1:8] < '{bound}'" if bound else ""
-    return f"""WITH {COUNTED}
+    return f"""WITH {counted}
 SELECT tech, k.doc_id::VARCHAR AS job_id, base AS keyword, d.lang AS job_title, d.source AS occupation,
        {SNIPPET} AS jobtext
 FROM keyword_n k JOIN documents d ON k.doc_id = d.doc_id {chosen}"""
@@ -151,9 +160,14 @@ SELECT doc_id, gram, count(*) AS n FROM grams JOIN sd ON gram = surface GROUP BY
     "keyword_counts_short": f"""WITH {LITERAL_SHEETS}, {SHORT_SURFACES}, {GRAMS}
 SELECT doc_id, tech, sd.base AS base, count(*) AS n
 FROM grams JOIN sd ON gram = surface JOIN kd ON sd.base = kd.base GROUP BY ALL""",
-    "keyword_counts_large": f"""WITH {DERIVED_SHEETS}, {SURFACES}, {GRAMS}
-SELECT doc_id, tech, sd.base AS base, count(*) AS n
-FROM grams JOIN sd ON gram = surface JOIN kd ON sd.base = kd.base GROUP BY ALL""",
+    "keyword_counts_large": f"WITH {_counted(DERIVED_SHEETS)} SELECT doc_id, tech, base, n FROM keyword_n",
+    "keyword_counts_shuffled": f"WITH {_counted(DERIVED_SHEETS)} SELECT doc_id, tech, base, n FROM keyword_n",
+    "job_semi_large": f"""WITH {_hits(DERIVED_SHEETS)} SELECT doc_id, lang, source FROM documents d
+WHERE EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id)""",
+    "job_semi_words": f"""WITH words AS (SELECT DISTINCT unnest({CLEAN.format("text")}) w FROM conversations), {GRAMS}
+SELECT doc_id, lang, source FROM documents d
+WHERE EXISTS (SELECT 1 FROM grams g JOIN words ON gram = w WHERE g.doc_id = d.doc_id)""",
+    "snippet_sample_large": _snippets("00418937", _counted(DERIVED_SHEETS)),
     "job_semi": f"""WITH {HITS} SELECT doc_id, lang, source FROM documents d
 WHERE EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = d.doc_id)""",
     "job_techs": f"""WITH {HITS}, one AS (SELECT DISTINCT doc_id, tech FROM hits)
@@ -201,6 +215,17 @@ FROM documents""",
        lang AS "CanonJobTitle", source AS "BGTOcc", text AS "JobText" FROM documents WHERE text <> ''""",
     "zip_years": f"""SELECT {YEAR} AS year, {ARCHIVE} AS source_file, doc_id::VARCHAR AS "JobID",
        length(text)::INTEGER AS n_chars FROM documents WHERE text <> '' AND {YEAR} <> 2011""",
+    "archives_nested": f"""SELECT {YEAR} AS year,
+       CASE WHEN (doc_id // 200) % 2 = 0 THEN 'US/east/' ELSE '' END || {ARCHIVE} AS source_file,
+       doc_id::VARCHAR AS "JobID", length(text)::INTEGER AS n_chars
+FROM documents WHERE text <> '' AND (doc_id // 200) % 5 <> 4 AND {YEAR} IN (2010, 2012)""",
+    "archives_left_out": f"""WITH a AS (SELECT DISTINCT {ARCHIVE} AS archive, {YEAR} AS year, (doc_id // 200) % 5 AS k FROM documents)
+SELECT archive, CASE WHEN k = 4 THEN 'no year' ELSE 'other year' END AS reason FROM a WHERE k = 4 OR year = 2011""",
+    "archives_incremental": f"""SELECT {YEAR} AS year, {ARCHIVE} AS source_file, doc_id::VARCHAR AS "JobID",
+       lang AS "CanonJobTitle", source AS "BGTOcc", text AS "JobText" FROM documents WHERE text <> ''""",
+    "archives_replaced": f"""WITH d AS (SELECT {YEAR} AS year, {ARCHIVE} AS source_file, (doc_id // 200) % 4 AS k FROM documents),
+s AS (SELECT unnest(['first', 'failed', 'done']) AS step)
+SELECT step, year, source_file, count(*) AS n FROM d, s WHERE step <> 'done' OR k <> 1 GROUP BY ALL""",
     "xml_reject": f"SELECT {ARCHIVE} AS source_file, doc_id::VARCHAR AS job_id FROM documents WHERE lang = 'de'",
     "ingest_tally": f"""SELECT {ARCHIVE} AS source_file, count(*) AS processed,
        sum(CASE WHEN lang = 'de' THEN 1 ELSE 0 END)::BIGINT AS rejected FROM documents GROUP BY 1""",

@@ -13,6 +13,7 @@ from gramlode.plans import jobs
 from gramlode.plans import tables as tb
 from gramlode.session import scratch_path, stored
 from gramlode.sinks import files as sink
+from gramlode.sinks import versions
 from gramlode.sources import adverts, archives
 from gramlode.sources import tables as src
 
@@ -145,13 +146,21 @@ def keyword_counts_short(spark, sf):
     return counting.keyword_counts(tb.documents(spark, sf, "text"), matches, KEY, "text")
 
 
+def _derived_matches(spark, sf):
+    keywords = stored(dictionary.keyword_dict(tb.derived_sheets(spark, sf)), "keywords")
+    return stored(dictionary.matcher(dictionary.surface_dict(keywords), keywords), "matches")
+
+
 @query
 def keyword_counts_large(spark, sf):
-    """A dictionary that grows with the data, joined by salted shuffle."""
-    keywords = stored(dictionary.keyword_dict(tb.derived_sheets(spark, sf)), "keywords")
-    matches = stored(dictionary.matcher(dictionary.surface_dict(keywords), keywords), "matches")
-    docs = tb.documents(spark, sf, "text")
-    return counting.keyword_counts(docs, matches, KEY, "text", small=False, salts=8)
+    """A dictionary that grows with the data, joined as its size asks for."""
+    return counting.keyword_counts(tb.documents(spark, sf, "text"), _derived_matches(spark, sf), KEY, "text")
+
+
+@query
+def keyword_counts_shuffled(spark, sf):
+    """The same, joined as a dictionary beyond every bound: hot grams where they are made, the others by sort-merge."""
+    return counting.keyword_counts(tb.documents(spark, sf, "text"), _derived_matches(spark, sf), KEY, "text", small=False)
 
 
 @query
@@ -161,6 +170,21 @@ def job_semi(spark, sf):
     return counting.adverts_with_hits(docs, surfaces, KEY, "text").select("doc_id", "lang", "source")
 
 
+@query
+def job_semi_words(spark, sf):
+    """Every single word of the conversations is a form, looked up inside the advert's row like the few of `job_semi`."""
+    forms = tb.derived_sheets(spark, sf).select(F.regexp_extract("raw", "^([a-z]+)[0-9]$", 1).alias("surface"))
+    surfaces = stored(forms.where("surface <> ''").distinct(), "surfaces")
+    docs = tb.documents(spark, sf, "text", "lang", "source")
+    return counting.adverts_with_hits(docs, surfaces, KEY, "text").select("doc_id", "lang", "source")
+
+
+@query
+def job_semi_large(spark, sf):
+    docs = tb.documents(spark, sf, "text", "lang", "source")
+    return counting.adverts_with_hits(docs, _derived_matches(spark, sf), KEY, "text").select("doc_id", "lang", "source")
+
+
 @query
 def job_techs(spark, sf):
     _, _, matches = tb.literal_dictionary(spark)
@@ -196,8 +220,13 @@ def snippet_sample_rare(spark, sf):
     return _snippets(spark, sf, 0.001)
 
 
-def _snippets(spark, sf, p):
-    _, _, matches = tb.literal_dictionary(spark)
+@query
+def snippet_sample_large(spark, sf):
+    return _snippets(spark, sf, 0.001, _derived_matches(spark, sf))
+
+
+def _snippets(spark, sf, p, matches=None):
+    matches = tb.literal_dictionary(spark)[2] if matches is None else matches
     docs = tb.documents(spark, sf, "text", "lang", "source")
     found = counting.snippets(docs, matches, KEY, "text", "doc_id", "lang", "source", p)
     return found.select("tech", "job_id", "keyword", "job_title", "occupation", "jobtext")
@@ -366,6 +395,66 @@ def zip_years(spark, sf):
     return adverts.usable(parsed).select("year", "source_file", "JobID", F.length("JobText").alias("n_chars"))
 
 
+def _scattered_name():
+    """Paths of archives: below a year at two depths, every fifth without a year."""
+    year = tb.archive_year()
+    folder = (
+        F.when(tb.archive_number() % 5 == 4, "old/")
+        .when(tb.archive_number() % 2 == 0, F.concat(year, F.lit("/US/east/")))
+        .otherwise(F.concat(F.lit("year="), year, F.lit("/")))
+    )
+    return F.concat(folder, tb.archive_name())
+
+
+CHOSEN_YEARS = [tb.FIRST_YEAR, tb.FIRST_YEAR + 2]
+
+
+@query
+def archives_nested(spark, sf):
+    """Archives at several depths; those without a year are left out."""
+    feed = tb.write_zip_feed(spark, sf, name=_scattered_name())
+    parsed = archives.read_archives(spark, feed, CHOSEN_YEARS, undated="leave")
+    return adverts.usable(parsed).select("year", "source_file", "JobID", F.length("JobText").alias("n_chars"))
+
+
+@query
+def archives_left_out(spark, sf):
+    """What a run over the same archives does not read, and why."""
+    out = archives.left_out(spark, tb.write_zip_feed(spark, sf, name=_scattered_name()), CHOSEN_YEARS)
+    return out.select(F.substring_index("path", "/", -1).alias("archive"), "reason")
+
+
+@query
+def archives_incremental(spark, sf):
+    """A folder that grows between two calls, each of which takes what is new."""
+    feed, table, state = (scratch_path(spark, name) for name in ("feed", "adverts", "state"))
+    early = tb.archive_number() % 2 == 0
+    for chosen in (early, ~early):
+        tb.write_zip_feed(spark, sf, path=feed, chosen=chosen)
+        jobs.ingest_new_archives(spark, feed, table, state)
+    return adverts.usable(versions.read(spark, table)).select("year", "source_file", *adverts.FIELDS)
+
+
+@query
+def archives_replaced(spark, sf):
+    """Ingested; written anew with some archives emptied, but failing before the end; done again. What a reader sees after
+    each step."""
+    table, last = scratch_path(spark, "adverts"), tb.FIRST_YEAR + tb.YEAR_FOLDERS - 1
+    emptied = tb.archive_number() % 4 == 1
+
+    def seen(step):
+        rows = versions.read(spark, table).groupBy("year", "source_file").agg(F.count(F.lit(1)).alias("n"))
+        return stored(rows.select(F.lit(step).alias("step"), "*"), "seen")
+
+    jobs.ingest_archives(spark, tb.write_zip_feed(spark, sf), table, tb.FIRST_YEAR, last)
+    steps = [seen("first")]
+    again = tb.write_zip_feed(spark, sf, blank=emptied)
+    versions.stage(archives.read_archives(spark, again), table, ["year", "source_file"], "failed")
+    steps.append(seen("failed"))
+    jobs.ingest_archives(spark, again, table, tb.FIRST_YEAR, last)
+    return steps[0].union(steps[1]).union(seen("done"))
+
+
 def _broken_archives(spark, sf):
     return archives.read_archives(spark, tb.write_zip_feed(spark, sf, broken=F.col("lang") == "de"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gramlode.functions.text import token_gram_rows, with_clean_tokens
 from gramlode.operators import dictionary
 from gramlode.session import scratch_path, spread, stored
-from gramlode.sources.archives import open_stream
+from gramlode.sources.archives import make_folder, open_stream
 
 # A small keyword workbook with a hit in every branch.
 SHEETS = {
@@ -120,34 +120,39 @@ def write_xml_feed(spark: SparkSession, sf_dir: str, attributes: bool = False) -
     return path
 
 
-def write_zip_feed(spark: SparkSession, sf_dir: str, broken: Column | None = None, plain: bool = False) -> str:
+def write_zip_feed(
+    spark: SparkSession,
+    sf_dir: str,
+    broken: Column | None = None,
+    plain: bool = False,
+    path: str | None = None,
+    chosen: Column | None = None,
+    blank: Column | None = None,
+    name: Column | None = None,
+) -> str:
     """All documents as XML adverts in zip archives of ``ARCHIVE_DOCS`` records below ``year=`` folders.
 
-    Where ``broken`` holds, the record loses its text's closing tag. With ``plain`` the folders are named by the year
-    alone, and each has archives of the same names. Each archive is streamed out by one task.
+    Where ``broken`` holds, the record loses its text's closing tag, where ``blank`` holds it is left out, though not its
+    archive. With ``plain`` the folders are named by the year alone, and each has archives of the same names; ``name`` gives
+    the archives other paths. ``chosen`` documents only, into ``path``. Each archive is streamed out by one task.
     """
-    path = scratch_path(spark, "zip_feed")
+    path = path or scratch_path(spark, "zip_feed")
     docs = documents(spark, sf_dir, "lang", "source", "text")
+    docs = docs if chosen is None else docs.where(chosen)
     record = F.to_xml(F.struct(*advert_fields()), {"rowTag": "Job"})
     if broken is not None:
         record = F.when(broken, F.replace(record, F.lit("</JobText>"), F.lit(""))).otherwise(record)
-    prefix, file = ("", archive_name(YEAR_FOLDERS)) if plain else ("year=", archive_name())
-    rows = docs.select(
-        "doc_id", F.concat(F.lit(prefix), archive_year(), F.lit("/"), file).alias("name"), record.alias("xml")
-    )
+    if blank is not None:
+        record = F.when(~blank, record).otherwise("")
+    if name is None:
+        prefix, file = ("", archive_name(YEAR_FOLDERS)) if plain else ("year=", archive_name())
+        name = F.concat(F.lit(prefix), archive_year(), F.lit("/"), file)
+    rows = docs.select("doc_id", name.alias("name"), record.alias("xml"))
     placed = rows.repartition("name").sortWithinPartitions("name", "doc_id")
-    for year in range(FIRST_YEAR, FIRST_YEAR + YEAR_FOLDERS):
-        _make_folder(spark, f"{path}/{prefix}{year}")
     placed.select("name", "xml").mapInArrow(_archive_writer(path), "name string").count()
     return path
 
 
-def _make_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
-
-
 def _archive_writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, stack, member = None, None, None
@@ -165,6 +170,7 @@ def _archive_writer(folder: str):
                     if name is not None:
                         close()
                     name = row["name"]
+                    make_folder(f"{folder}/{name}".rsplit("/", 1)[0])
                     raw = open_stream(f"{folder}/{name}.{suffix}", "w")
                     archive = zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED)
                     member = archive.open(name.rsplit("/", 1)[-1][:-4] + ".xml", "w", force_zip64=True)

@@ -3,8 +3,9 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from gramlode.operators import counting, sizing
+from gramlode.operators import counting, membership, sizing
 from gramlode.operators import dictionary as d
 from gramlode.session import stored
 
@@ -63,7 +64,7 @@ def as_counter(df):
     return Counter({(r.source_file, r.record_no, r.tech, r.base): r.n for r in df.collect()})
 
 
-@pytest.mark.parametrize("join", [{"small": True}, {"small": False, "salts": 3}, {}])
+@pytest.mark.parametrize("join", [{"small": True}, {"small": False}, {}])
 def test_keyword_counts(spark, dims, adverts, join):
     want = plain_counts(dims)
     assert want[("a.zip", 0, "green", "wind power")] == 2
@@ -76,25 +77,74 @@ def test_same_id_stays_apart(dims, adverts):
     assert {(r.source_file, r.record_no) for r in rows} == {("a.zip", 0), ("a.zip", 1)}
 
 
-def test_hot_gram_is_salted(spark, dims, explain):
-    words = advert(*["solar"] * 40)
-    many = spark.createDataFrame([(i, words) for i in range(200)], "id int, JobText string")
-    rows = counting.keyword_counts(many, dims[2], ["id"], "JobText", small=False, salts=8)
-    assert {(r.tech, r.base, r.n) for r in rows.collect()} == {("green", "solar", 40), ("other", "solar", 40)}
-    assert rows.count() == 400
-    shown = explain(rows)
-    assert "SortMergeJoin Inner" in shown and "_salt" in shown
-    assert "BroadcastHashJoin Inner" not in shown  # only the few first words are broadcast
-    assert "BroadcastHashJoin LeftSemi" in shown
+@pytest.fixture
+def every_advert_looked_at(monkeypatch):
+    monkeypatch.setattr(counting, "HOT_SAMPLE", 1)
 
 
-def test_many_first_words_are_not_broadcast(dims, adverts, explain, monkeypatch):
-    monkeypatch.setattr(counting, "fits_broadcast", lambda df, **_: False)
-    rows = counting.keyword_counts(adverts, dims[2], KEY, "JobText", salts=2)
+def test_hot_grams_do_not_move(spark, dims, explain, every_advert_looked_at):
+    rare = ["reactors", "heat pump"]
+    rows = [(i, advert(*["solar"] * 40, *([rare[i // 50 % 2]] if i % 50 == 0 else []))) for i in range(300)]
+    many = spark.createDataFrame(rows, "id int, JobText string")
+    counted = counting.keyword_counts(many, dims[2], ["id"], "JobText", small=False)
+    want = Counter({(tech, "solar", 40): 300 for tech in ("green", "other")})
+    want.update({("green", "reactor", 1): 3, ("other", "heat pump unit", 1): 3})
+    assert Counter((r.tech, r.base, r.n) for r in counted.collect()) == want
+    shown = explain(counted)
+    assert "Union" in shown and "SortMergeJoin Inner" in shown and "BroadcastHashJoin Inner" in shown
+    assert "explode(sequence" not in shown  # nothing of the dictionary is repeated
+    # the hot part is counted before it moves: no exchange between its join and the partial count
+    hot, cold = shown.split("(1)")[0].split("BroadcastHashJoin")[0], shown.split("(1)")[0].split("SortMergeJoin")[0]
+    assert hot.count("Exchange") == 1 < 1 + cold.count("Exchange")
+
+
+def test_no_hot_gram_and_no_filter(dims, adverts, explain, monkeypatch):
+    monkeypatch.setattr(counting, "heavy_hitters", lambda *_: [])
+    monkeypatch.setattr(counting, "bloom_filter", lambda *_: None)
+    rows = counting.keyword_counts(adverts, dims[2], KEY, "JobText", small=False)
     assert as_counter(rows) == plain_counts(dims)
     assert "BroadcastExchange" not in explain(rows)
 
 
+def test_heavy_hitters(spark):
+    df = spark.range(100_000).selectExpr("case when id % 3 = 0 then 'hot' when id % 500 = 1 then 'warm' else 'x' || id end as v")
+    assert sorted(sizing.heavy_hitters(df, "v")) == ["hot", "warm"]
+    assert sizing.heavy_hitters(df, "v", 0.01) == ["hot"]
+    assert sizing.heavy_hitters(df.where("false"), "v") == []
+
+
+def test_bloom_filter(spark, monkeypatch):
+    keys = spark.range(0, 20_000, 2).selectExpr("id as a", "'k' || id as b")
+    bloom = membership.bloom_filter(keys, "a", "b")
+    held = spark.range(20_000).selectExpr("id as a", "'k' || id as b").where(bloom.may_hold("a", "b"))
+    assert held.where("a % 2 = 0").count() == 10_000 and held.count() < 11_000
+    assert spark.range(9).where(membership.bloom_filter(keys.where("false"), "a").may_hold("id")).count() == 0
+    monkeypatch.setattr(membership, "MOST_WORDS", 16)
+    assert membership.bloom_filter(keys, "a") is None
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_hashed_forms(spark, n):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in str(i)) + (" tail" if i % 3 == 0 else "")
+    forms = [name(i) for i in range(n)]
+    table = spark.createDataFrame([(f,) for f in [*forms, *forms[:5], "No form", "a,b", "x|y", ""]], "form string")
+    held = membership.hashed_forms(table, "form")
+    asked = [*forms, "zz", "tail", "No form", "", None] + [name(i) for i in range(n, n + 500)]
+    rows = spark.createDataFrame([(a,) for a in asked], "asked string").where(held.holds(F.col("asked"))).collect()
+    assert sorted(r.asked for r in rows) == sorted(forms)
+
+
+def test_keys_fetch_texts_through_a_filter(dims, adverts, explain, monkeypatch):
+    monkeypatch.setattr(counting, "INLINE_FORMS", 0)
+    want = {(r.source_file, r.record_no) for r in counting.adverts_with_hits(adverts, dims[1], KEY, "JobText").collect()}
+    monkeypatch.setattr(counting, "fits_broadcast", lambda df, **_: False)
+    rows = counting.adverts_with_hits(adverts, dims[1], KEY, "JobText")
+    assert {(r.source_file, r.record_no) for r in rows.collect()} == want
+    tree = explain(rows)
+    assert "scalar-subquery" in tree.lower() or "Subquery" in tree
+    assert "BroadcastExchange" not in tree
+
+
 def test_size_check(spark):
     df = spark.range(1000).selectExpr("repeat('x', 100) as surface", "id")
     assert sizing.fits_broadcast(df)

@@ -126,12 +126,48 @@ def test_archives(spark, tmp_path):
     assert {(r.year, r.source_file) for r in only.collect()} == {(2010, "a.zip")}
 
 
-def test_year_folders_are_pruned(spark, tmp_path, explain):
+def test_listing_reads_names_only(spark, tmp_path, explain):
     put_zip(tmp_path / "z" / "year=2010" / "a.zip", b"")
     put_zip(tmp_path / "z" / "year=2011" / "b.zip", b"")
-    shown = explain(archives.list_archives(spark, str(tmp_path / "z"), [2010]))
-    assert "content" not in shown.split("ReadSchema")[1]
-    assert "PartitionFilters: [" in shown and "2010" in shown
+    listing = archives.list_archives(spark, str(tmp_path / "z"), [2010])
+    assert "content" not in explain(listing).split("ReadSchema")[1]
+    assert [(r.year, r.source_file) for r in listing.collect()] == [(2010, "a.zip")]
+
+
+@pytest.fixture(scope="module")
+def scattered(tmp_path_factory):
+    """Archives at several depths, of the same name, and two without a year. The feed's own path has a year as well."""
+    root = tmp_path_factory.mktemp("scattered") / "2009" / "feed"
+    one = b"<Jobs><Job><JobID>%d</JobID><CanonJobTitle/><BGTOcc/><JobText>x</JobText></Job></Jobs>"
+    for i, name in enumerate(["2014/a.zip", "2014/US/a.zip", "2015/2014/b.zip", "year=2015/CA/q/c.zip", "old/a.zip", "d.zip", "2014b/e.zip"]):
+        put_zip(root / name, one % i)
+    put_zip(root / "2014" / "note.txt", b"")
+    return str(root)
+
+
+def test_scattered_archives(spark, scattered):
+    with pytest.raises(Exception, match="no year in the paths of 3 archives"):
+        archives.read_archives(spark, scattered, [2014]).collect()
+    with pytest.raises(ValueError, match="no year in the paths"):
+        archives.list_archives(spark, scattered, [2014])
+    want = {(2014, "a.zip", "0"), (2014, "US/a.zip", "1"), (2014, "b.zip", "2")}
+    read = lambda *a, **k: {(r.year, r.source_file, r.JobID) for r in archives.read_archives(spark, scattered, *a, **k).collect()}
+    assert read([2014], undated="leave") == want
+    listed = archives.list_archives(spark, scattered, [2014], undated="leave").collect()
+    assert {(r.year, r.source_file) for r in listed} == {w[:2] for w in want}
+    every = want | {(2015, "CA/q/c.zip", "3"), (None, "old/a.zip", "4"), (None, "d.zip", "5"), (None, "2014b/e.zip", "6")}
+    assert read() == every
+    assert {(r.year, r.source_file) for r in archives.list_archives(spark, scattered).collect()} == {w[:2] for w in every}
+    gone = {(r.path.split("/feed/")[1], r.reason) for r in archives.left_out(spark, scattered, [2014]).collect()}
+    assert gone == {("year=2015/CA/q/c.zip", "other year"), ("old/a.zip", "no year"), ("d.zip", "no year"), ("2014b/e.zip", "no year")}
+    assert read([1999], undated="leave") == set()
+
+
+def test_tasks_have_about_the_same_size():
+    found = [(f"p{i}", 2014, f"n{i}", size) for i, size in enumerate([10, 200, 60, 60, 60, 5])]
+    tasks = [[a[0] for a in t.archives] for t in archives.planned([(p, y, n, s << 20) for p, y, n, s in found])]
+    assert tasks == [["p1"], ["p2", "p3"], ["p4", "p0", "p5"]]
+    assert len(archives.planned([("p", 1, "n", 0)] * 2500)) == 3 and archives.planned([]) == []
 
 
 def test_archive_with_two_members_fails(spark, tmp_path):
@@ -179,7 +215,7 @@ def test_archives_in_plain_year_folders(spark, tmp_path):
         (tmp_path / "feed" / str(year)).mkdir(parents=True)
         (tmp_path / "feed" / str(year) / "a.zip").write_bytes(b"x")
     found = archives.list_archives(spark, str(tmp_path / "feed"), [2014]).collect()
-    assert [(r.year, r.path.rsplit("/", 2)[1]) for r in found] == [(2014, "2014")]
+    assert [(r.year, r.source_file, r.path.rsplit("/", 2)[1]) for r in found] == [(2014, "a.zip", "2014")]
     assert archives.list_archives(spark, str(tmp_path / "feed")).count() == 2
     (tmp_path / "flat").mkdir()
     (tmp_path / "flat" / "a.zip").write_bytes(b"x")
