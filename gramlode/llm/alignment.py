@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramlode.llm.common import byte_slices
+from gramlode.llm.common import byte_slices, give_back
 from gramlode.session import scratch_path
 
 SPACE = "▁"
@@ -275,7 +275,8 @@ def _align_rows(paths: tuple[str, str], digests: bool):
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(links))],
                 ["key", "n_a", "n_b", "n_groups", "groups", "links"],
             )
-            pa.default_memory_pool().release_unused()  # workers stay for the next task; so would what Arrow holds
+            pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 

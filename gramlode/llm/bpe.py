@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlode.llm.common import give_back
+
 #: White space as Unicode has it; Java's own class knows the ASCII ones only.
 _SPACE = r"\t-\r \u0085   -     　"
 #: Tokens are written as characters: id plus one as the code point, below the surrogates for vocabularies up to 55,000.
@@ -238,7 +240,7 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, code
                 ["fresh", "keys", "sizes", "places", "words"],
             )
             del lists, coded, words, split, known, new, table_place
-            pa.default_memory_pool().release_unused()  # workers stay for the next task; so would what Arrow holds
+            give_back()
 
     return run
 
@@ -254,34 +256,51 @@ def decode(text: str, pieces: dict[str, bytes]) -> bytes:
 
 
 def _spread(pieces: dict[str, bytes], digests: bool):
-    """The ids of every document of a block, and what they decode to; or the digests of both."""
+    """The ids of every document of a block, and what they decode to; or the digests of both. Each distinct word's ids are
+    written out, and its pieces put together, once."""
     names = {c: str(ord(c) - 1) for c in pieces}
 
-    def rows(keys: pa.Array, begin: int, ends: np.ndarray, places: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
-        texts = []
-        for end in ends:
-            texts.append("".join(words[places[begin:end]]))
-            begin = int(end)
+    def objects(values: list) -> np.ndarray:
+        return np.array([*values, None], object)[:-1]
+
+    def known(tokens: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, decoded bytes and number of tokens of words."""
         if digests:
-            sha = lambda data: hashlib.sha256(data).hexdigest()
-            ids = pa.array([sha(" ".join([names[c] for c in t]).encode()) for t in texts], pa.string())
-            back = pa.array([sha(decode(t, pieces)) for t in texts], pa.string())
+            ids = [names[t] if len(t) == 1 else " ".join([names[c] for c in t]) for t in tokens]
         else:
-            ids = pa.array([np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.int32) - 1 for t in texts], pa.list_(pa.int32()))
-            back = pa.array([decode(t, pieces) for t in texts], pa.binary())
-        return pa.RecordBatch.from_arrays([keys, pa.array(list(map(len, texts)), pa.int64()), ids, back], ["key", "n_tokens", "ids", "decoded"])
+            ids = tokens
+        back = [pieces[t] if len(t) == 1 else decode(t, pieces) for t in tokens]
+        return objects(ids), objects(back), np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+    def rows(keys: pa.Array, begin: int, ends: np.ndarray, places: np.ndarray, table: tuple) -> pa.RecordBatch:
+        all_ids, all_back, n, at = [], [], [], begin
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        for end in ends.tolist():
+            own = places[at:end]
+            at = end
+            ids, back = (" " if digests else "").join(table[0][own]), b"".join(table[1][own])
+            n.append(int(table[2][own].sum()))
+            all_ids.append(sha(ids.encode()) if digests else np.frombuffer(ids.encode("utf-32-le"), "<u4").astype(np.int32) - 1)
+            all_back.append(sha(back) if digests else back)
+        kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(n, pa.int64()), *(pa.array(x, t) for x, t in zip((all_ids, all_back), kinds))],
+            ["key", "n_tokens", "ids", "decoded"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.array([], object)
+        table = known([])
         for batch in batches:
             for fresh, keys, sizes, places, tokens in zip(*batch.columns):
                 ends = np.cumsum(np.frombuffer(sizes.as_py(), np.int64))
-                new = np.array([*tokens.values.to_pylist(), None], object)[:-1]
-                words = new if fresh.as_py() else np.concatenate([words, new])
+                new = known(tokens.values.to_pylist())
+                table = new if fresh.as_py() else tuple(np.concatenate(x) for x in zip(table, new))
                 held = np.frombuffer(places.as_py(), np.int32)
                 for a in range(0, len(ends), 500):
-                    yield rows(keys.values[a : a + 500], int(ends[a - 1]) if a else 0, ends[a : a + 500], held, words)
-            pa.default_memory_pool().release_unused()
+                    yield rows(keys.values[a : a + 500], int(ends[a - 1]) if a else 0, ends[a : a + 500], held, table)
+            give_back()
+        table = None
+        give_back()
 
     return run
 

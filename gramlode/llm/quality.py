@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gramlode.llm.common import give_back
 from gramlode.llm.tokens import LOWER, Hasher, blocks
 
 #: Buckets of hashed words, rank of the interactions, labelled rows that a model is fitted on at most.
@@ -241,6 +242,7 @@ def score(docs: DataFrame, machine: Machine, keep: list[str]) -> DataFrame:
         for batch in (part for whole in batches for part in slices(whole)):
             k = batch.num_columns - 2
             yield pa.record_batch([*batch.columns[:k], pa.array(scores(held, _inputs(batch, k)))], [*batch.schema.names[:k], "_score"])
+        give_back()
 
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text"), F.col("n_chars").cast("double").alias("_chars"))
     kept = rows.select(*(F.col(f"`{c}`") for c in keep))

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramlode.llm.common import give_back
 from gramlode.llm.quality import slices
 from gramlode.llm.tokens import mixed
 from gramlode.session import stored
@@ -71,6 +72,7 @@ def _fingerprints(words: int):
             column = batch.column(batch.num_columns - 1)
             fp = np.fromiter((fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in column), np.uint64, len(column))
             yield pa.record_batch([*batch.columns[:-1], pa.array(fp.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+        give_back()
 
     return run
 
@@ -304,6 +306,25 @@ def grouped(prints: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> Dat
     return prints.join(of_print, "fp", "left").select(key, "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, words: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of ``docs``: that with the smallest ``doc_id``, null last, then by a hash of the row.
+
+    Groups are those of ``grouped``: fingerprints of shingles of ``words`` words, linked at ``radius`` or fewer differing
+    bits. A null, empty or blank text has fingerprint zero and is linked like any other. Of rows that are equal in every
+    column one stays. Columns, whatever their names, and their order stay as they are; no rows give no rows.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*columns).alias("doc"), F.xxhash64(*columns).alias("row"))
+    named = rows.select(F.col("doc.doc_id").cast("long").alias("doc_id"), "row", F.col("doc.text").cast("string").alias("text"))
+    prints = stored(named.mapInArrow(_fingerprints(words), "doc_id long, row long, fp long"), "simhash")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    lowest = stored(prints.groupBy("fp").agg(F.min(rank).alias("low")), "simhash-distinct")
+    roots = components(linked(lowest.select("fp"), radius))
+    groups = lowest.join(roots, lowest.fp == roots.node, "left").select("low", F.coalesce("root", "fp").alias("root"))
+    kept = groups.groupBy("root").agg(F.min("low").alias("low")).select("low.row").distinct()
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("doc.*")
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """The distinct hashes of a text's shingles, sorted; words as in ``fingerprint``."""
     tokens = text.lower().split()

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gramlode.llm.common import give_back
 from gramlode.llm.quality import first_ids, labelled_ids, labelled_sample, slices
 from gramlode.llm.tokens import NOT_LETTERS, Hasher, blocks
 from gramlode.session import stored
@@ -275,6 +276,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         for batch in (part for whole in batches for part in slices(whole)):
             k = batch.num_columns - 1
             yield pa.record_batch([*batch.columns[:k], pa.array(scores(net, projected, batch.column(k)))], [*batch.schema.names[:k], "_score"])
+        give_back()
 
     kept = docs.select(*(F.col(f"`{c}`") for c in keep))
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").cast("string").alias("_text"))
