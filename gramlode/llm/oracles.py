@@ -39,7 +39,8 @@ WITH d AS (
   SELECT src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY src) - 1 AS k FROM d GROUP BY src
 ), w AS (
   SELECT src, source_size, CAST(source_size * 3 AS DOUBLE) AS most,
-    CASE k % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBLE ELSE 1::DOUBLE END AS weight
+    CASE k % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBLE ELSE 1::DOUBLE END AS weight,
+    CASE k % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0::DOUBLE ELSE -0.5::DOUBLE END AS slope
   FROM s
 ), l AS (
   SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(weight) OVER () AS weights,
@@ -49,19 +50,27 @@ WITH d AS (
 ), f AS (
   SELECT *, most / weight <= (total - most_before) / (weights - weight_before) AS is_full FROM l
 ), t AS (
-  SELECT src, source_size, CASE WHEN is_full THEN most ELSE
+  SELECT src, source_size, slope, CASE WHEN is_full THEN most ELSE
     (total - sum(CASE WHEN is_full THEN most ELSE 0 END) OVER ())
       / (weights - sum(CASE WHEN is_full THEN weight ELSE 0 END) OVER ()) * weight END AS target
   FROM f
 ), b AS (
-  SELECT doc_id, size, source_size, target, CAST(coalesce(sum(size) OVER (
+  SELECT doc_id, size, source_size, target, slope, CAST(coalesce(sum(size) OVER (
     PARTITION BY src ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM d JOIN t USING (src)
+), n AS (
+  SELECT *, CASE WHEN size = 0 THEN 0 ELSE (start + size / 2 < target)::BIGINT + (source_size + start + size / 2 < target)::BIGINT
+    + (2 * source_size + start + size / 2 < target)::BIGINT END AS n
+  FROM b
+), p AS (
+  SELECT *, start / target AS first_share, ((n - 1) * source_size + start) / target AS last_share FROM n
 )
-SELECT doc_id, size, source_size, target, size * (
-  (start + size / 2 < target)::BIGINT + (source_size + start + size / 2 < target)::BIGINT
-    + (2 * source_size + start + size / 2 < target)::BIGINT) AS taken
-FROM b
+SELECT doc_id, size, source_size, target, size * n AS taken,
+  CASE WHEN n = 0 THEN NULL WHEN slope = 0 THEN round(first_share, 9)
+    ELSE round((sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * first_share, 0)) - (1 - slope)) / (2 * slope), 9) + 0.0 END AS first_position,
+  CASE WHEN n = 0 THEN NULL WHEN slope = 0 THEN round(last_share, 9)
+    ELSE round((sqrt(greatest((1 - slope) * (1 - slope) + 4 * slope * last_share, 0)) - (1 - slope)) / (2 * slope), 9) + 0.0 END AS last_position
+FROM p
 """,
     "op11_negatives": """
 WITH v AS (

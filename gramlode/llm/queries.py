@@ -58,9 +58,12 @@ def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents")).select(
-        "doc.doc_id", "size", "source_size", "target", "taken"
-    )
+    mixed = mixing.mix(table(spark, folder, "documents"))
+    first, last = F.get("positions", F.lit(0)), F.try_element_at("positions", F.lit(-1))
+    return mixed.select(
+        "doc.doc_id", "size", "source_size", "target", "taken",
+        F.round(first, 9).alias("first_position"), F.round(last, 9).alias("last_position"),
+    )
 
 
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
