@@ -32,9 +32,9 @@ _NEXT_TO_WHITE = re.compile(f"[{_WHITE}] | [{_WHITE}]")
 _CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 #: Characters of words, and bytes of windows' ids and groups, after which a worker's memory begins anew; words encoded by
 #: one call.
-MEMO_CHARS, MEMO_BYTES, TOGETHER = 1_500_000, 12 << 20, 1000
-#: Bytes of text handled at once (one text may have more).
-SLICE_BYTES = 1 << 20
+MEMO_CHARS, MEMO_BYTES, TOGETHER = 2_500_000, 24 << 20, 1000
+#: Bytes of text, and links, handled at once (one text may have more).
+SLICE_BYTES, SLICE_LINKS = 1 << 20, 1 << 18
 
 
 def byte_letters() -> dict[str, int]:
@@ -300,9 +300,20 @@ def align(
     )
 
 
+def _link_slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``SLICE_LINKS`` links; one row may have more."""
+    ends = np.cumsum(np.asarray(batch.column(column).value_lengths()).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        limit = (ends[begin - 1] if begin else 0) + SLICE_LINKS
+        end = max(begin + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _count_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
-    for batch in batches:
+    for batch in (part for whole in batches for part in _link_slices(whole, 0)):
         n = np.bincount(np.asarray(batch.column(0).flatten()))
         total = np.pad(total, (0, max(len(n) - len(total), 0)))
         total[: len(n)] += n
@@ -336,7 +347,7 @@ def with_counts(alignments: DataFrame, paths: tuple[str, str] | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, best = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _link_slices(whole, 5)):
             links = batch.column(5)
             sizes = np.asarray(links.value_lengths()).astype(np.int64)
             flat, ends = np.asarray(links.flatten()), np.r_[0, np.cumsum(sizes)]
