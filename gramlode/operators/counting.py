@@ -102,6 +102,32 @@ def long_counts(wide: DataFrame, bases: list[str], key: list[str]) -> DataFrame:
     return wide.unpivot(key, bases, "base", "n").where(F.col("n").isNotNull())
 
 
+def _field(value: Column) -> Column:
+    """A value as a field of a ``|``-separated line, quoted where needed."""
+    plain = value.rlike(r"""^[^|"\r\n\\]+$""")
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.when(plain, value).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+
+
+def count_lines(counts: DataFrame, keywords: DataFrame, key: list[str], file: list[str], job_id: str) -> DataFrame:
+    """The long counts of all technologies as ready lines ``(tech, file…, part, line)``, a header for every technology and
+    file: ``job_id|word|word|…`` with the technology's words in sorted order, blank where there was no hit.
+
+    ``file`` names the columns among ``key`` that make up an output file. A header has part 0 and comes first. The words
+    come from the stored table ``keywords`` by join, so the number of jobs does not depend on the number of technologies, and no
+    list of words is read into the program.
+    """
+    words = keywords.groupBy("tech").agg(F.sort_array(F.collect_set("base")).alias("bases"))
+    words = F.broadcast(words) if fits_broadcast(keywords) else words
+    rows = counts.groupBy("tech", *key, job_id).agg(F.map_from_entries(F.collect_list(F.struct("base", "n"))).alias("found"))
+    cells = F.transform("bases", lambda base: F.coalesce(F.try_element_at("found", base).cast("string"), F.lit("")))
+    line = F.concat(_field(F.col(job_id).cast("string")), F.lit("|"), F.array_join(cells, "|"))
+    body = rows.join(words, "tech").select("tech", *file, F.lit(1).alias("part"), line.alias("line"))
+    names = F.concat(F.lit("job_id|"), F.array_join(F.transform("bases", _field), "|"))
+    heads = counts.select("tech", *file).distinct().join(words, "tech")
+    return heads.select("tech", *file, F.lit(0).alias("part"), names.alias("line")).unionByName(body)
+
+
 def advert_techs(found: DataFrame, key: list[str]) -> DataFrame:
     """Technologies hit per advert, from hits or counts."""
     return found.groupBy(*key).agg(F.sort_array(F.collect_set("tech")).alias("techs"))

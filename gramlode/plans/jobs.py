@@ -89,9 +89,9 @@ def count_adverts(
 ) -> None:
     """Count files and snippet files of an ingested feed.
 
-    Below ``out``: ``counts/<technology>/year=…/source_file=…`` with one column per base word, ``snippets/tech=…/year=…/source_file=…``.
+    Below ``out``: ``counts/tech=…/year=…/source_file=…`` with one column per base word, ``snippets/tech=…/year=…/source_file=…``.
     ``listed``: the ``(year, source_file)`` to count, as the ingest returns them.
-    The long counts are stored once, by technology, and every technology's wide file reads its own part of them.
+    The long counts are stored once; all technologies' wide files are one write of ready lines.
     """
     keywords, _, matches = build_dictionary(spark, sheets, inflect)
     usable = adverts.usable(versions.read(spark, table)).join(listed, listed.columns, "left_semi")
@@ -99,14 +99,9 @@ def count_adverts(
     outputs = listed.withColumn("source_file", sink.output_name("source_file"))
     key = adverts.ARCHIVE_KEY
 
-    long = stored(counting.keyword_counts(renamed, matches, key, "JobText", carry=["JobID"]), "counts", by=["tech"])
-    # one list of columns per technology: the sheets of a workbook, as wide as the files written from them
-    words = keywords.groupBy("tech").agg(F.sort_array(F.collect_set("base")).alias("bases"))
-    for row in words.orderBy("tech").toLocalIterator():
-        wide = counting.wide_counts(long.where(F.col("tech") == row.tech), row.bases, [*key, "JobID"])
-        sink.write_wide_counts(
-            wide.drop("record_no").withColumnRenamed("JobID", "job_id"), out, row.tech, archives=outputs
-        )
+    long = stored(counting.keyword_counts(renamed, matches, key, "JobText", carry=["JobID"]), "counts")
+    lines = counting.count_lines(long, keywords, key, ["year", "source_file"], "JobID")
+    sink.write_count_lines(lines, out, archives=outputs)
     found = counting.snippets(renamed, matches, key, "JobText", "JobID", "CanonJobTitle", "BGTOcc", p=snippet_share)
     sink.write_snippets(found.drop("record_no"), out, archives=outputs)
 

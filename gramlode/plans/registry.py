@@ -537,17 +537,15 @@ def _archive_counts(spark, sf, carry=()):
 
 @query
 def counts_sink(spark, sf):
-    """Wide count files per technology, read back as one table. The long counts are stored once; the second write of
-    the first technology replaces the first."""
+    """Wide count files per technology, read back as one table. The long counts are stored once; the second write replaces
+    the first."""
     docs, matches = _archive_counts(spark, sf)
     counts = counting.keyword_counts(docs, matches, ["source_file", "doc_id"], "text")
     counts = stored(counts.withColumn("source_file", sink.output_name("source_file")), "counts")
-    path = scratch_path(spark, "count_files")
-    for tech, raws in [*tb.SHEETS.items(), next(iter(tb.SHEETS.items()))]:
-        bases = sorted({raw.translate(str.maketrans("_", " ", "0123456789")) for raw in raws})
-        own = counts.where(F.col("tech") == tech)
-        wide = counting.wide_counts(own, bases, ["source_file", "doc_id"]).withColumnRenamed("doc_id", "job_id")
-        sink.write_wide_counts(wide, path, tech)
+    keywords, path = tb.literal_dictionary(spark)[0], scratch_path(spark, "count_files")
+    lines = counting.count_lines(counts, keywords, ["source_file", "doc_id"], ["source_file"], "doc_id")
+    for _ in range(2):
+        sink.write_count_lines(lines, path, counts.select("source_file").distinct())
     return _read_counts(spark, path, {"source_file": "string"})
 
 
@@ -558,7 +556,7 @@ def _read_counts(spark, path, partitions):
         bases = sorted({raw.translate(str.maketrans("_", " ", "0123456789")) for raw in raws})
         columns = {"job_id": "string", **dict.fromkeys(bases, "bigint"), **partitions}
         schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
-        back = spark.read.schema(schema).option("sep", "|").option("header", "true").csv(f"{path}/counts/{tech}")
+        back = spark.read.schema(schema).option("sep", "|").option("header", "true").csv(f"{path}/counts/tech={tech}")
         long = counting.long_counts(back, bases, [*partitions, "job_id"]).withColumn("tech", F.lit(tech))
         read = long if read is None else read.unionByName(long)
     return read.select(*partitions, "job_id", "tech", "base", "n")

@@ -14,10 +14,12 @@ def write_new_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_bigram_counts(counts: DataFrame, path: str) -> None:
-    """The count table as it is queried later: sorted by count inside each file, so that a band of counts reads few row
-    groups, and with a bloom filter on the bigram for single look-ups."""
+    """The count table as it is queried later: in ranges of counts, so that a band of counts reads few files and row
+    groups, and with a bloom filter on the bigram for single look-ups. Most bigrams have the same few counts; the bigram is
+    part of the range, so that they are spread over many files too."""
     (
-        counts.sortWithinPartitions("count")
+        counts.repartitionByRange("count", "bigram")
+        .sortWithinPartitions("count", "bigram")
         .write.mode("errorifexists")
         .option("parquet.bloom.filter.enabled#bigram", "true")
         .parquet(path)
@@ -43,21 +45,27 @@ def _files(spark: SparkSession, path: str, archives: DataFrame) -> DataFrame | N
 
 
 def replace_archives(
-    df: DataFrame, path: str, partitions: list[str], archives: DataFrame | None, form: str = "parquet", **options: str
+    df: DataFrame,
+    path: str,
+    partitions: list[str],
+    archives: DataFrame | None,
+    form: str = "parquet",
+    placed: bool = False,
+    **options: str,
 ) -> None:
     """Write ``df`` below ``path``, replacing what an earlier run wrote for the same archives.
 
     ``archives`` has a row for every archive of this run, its columns are among ``partitions``. Partitions with new rows
     are overwritten; the old files that are still there afterwards belong to archives without rows this time, and go
     last, so that a failed write loses nothing. Rebalancing on the partition columns gives few files per archive, and
-    splits an archive that is much larger than the others over several tasks.
+    splits an archive that is much larger than the others over several tasks; rows that are ``placed`` already stay.
     """
     spark = df.sparkSession
     before = None if archives is None else _files(spark, path, archives)
     if before is not None:
         before = stored(before, "old-files")
     (
-        df.hint("rebalance", *[F.col(c) for c in partitions])
+        (df if placed else df.hint("rebalance", *[F.col(c) for c in partitions]))
         .write.mode("overwrite")
         .format(form)
         .option("partitionOverwriteMode", "dynamic")
@@ -94,6 +102,13 @@ def write_wide_counts(wide: DataFrame, path: str, tech: str, archives: DataFrame
     replace_archives(wide, to, _by_archive(wide), archives, "csv", sep="|", header="true")
 
 
+def write_count_lines(lines: DataFrame, path: str, archives: DataFrame | None = None) -> None:
+    """``counting.count_lines`` of all technologies by one write: one file per technology and archive, its header first."""
+    by = _by_archive(lines)
+    placed = lines.repartition(*by).sortWithinPartitions(*by, "part").select(*by, "line")
+    replace_archives(placed, f"{path}/counts", by, archives, "text", placed=True)
+
+
 def write_snippets(snippets: DataFrame, path: str, archives: DataFrame | None = None) -> None:
     """``job_id,keyword,job_title,occupation,jobtext``, quoted where needed, per technology and archive."""
     spaces = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}  # they are part of the text

@@ -38,10 +38,10 @@ def test_feed_to_count_files(spark, feed, tmp_path):
         jobs.count_adverts(spark, table, d.literal_sheets(spark, SHEETS), out, names, snippet_share=1.0)
     tally = {tuple(r) for r in jobs.ingest_tally(spark, table).collect()}
     assert tally == {(2010, "w1.zip", 3, 1), (2012, "w4.zip", 1, 0)}
-    (file,) = lines(f"{out}/counts/green/year=2010/source_file=w1.csv")
+    (file,) = lines(f"{out}/counts/tech=green/year=2010/source_file=w1.csv")
     assert file[0] == "job_id|reactor|solar|wind power" and sorted(file[1:]) == ["1||2|1", "2|1||"]
-    assert lines(f"{out}/counts/other/year=2010/source_file=w1.csv") == [["job_id|solar", "1|2"]]
-    assert lines(f"{out}/counts/green/year=2012/source_file=w4.csv") == [["job_id|reactor|solar|wind power", "5||1|"]]
+    assert lines(f"{out}/counts/tech=other/year=2010/source_file=w1.csv") == [["job_id|solar", "1|2"]]
+    assert lines(f"{out}/counts/tech=green/year=2012/source_file=w4.csv") == [["job_id|reactor|solar|wind power", "5||1|"]]
     rows = spark.read.option("header", True).option("escape", '"').csv(f"{out}/snippets")
     assert sorted((r.tech, r.source_file, r.job_id, r.keyword, r.job_title) for r in rows.collect()) == [
         ("green", "w1.csv", "1", "solar", "t"),
@@ -63,7 +63,7 @@ def test_years_share_archive_names(spark, tmp_path):
     def counted(start, end):
         listed = jobs.ingest_archives(spark, feed, table, start, end)
         jobs.count_adverts(spark, table, sheets, out, listed, snippet_share=1.0)
-        rows = spark.read.option("header", True).option("sep", "|").csv(f"{out}/counts/gr%2Feen")
+        rows = spark.read.option("header", True).option("sep", "|").csv(f"{out}/counts/tech=gr%2Feen")
         return sorted((r.year, r.source_file, r.solar) for r in rows.collect())
 
     assert counted(2010, 2011) == [(2010, "w.csv", "1"), (2011, "w.csv", "1"), (2011, "w.csv", "2")]

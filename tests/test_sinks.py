@@ -4,7 +4,9 @@ import os
 
 import pytest
 
+from gramlode.operators import counting
 from gramlode.operators.counting import wide_counts
+from gramlode.session import stored
 from gramlode.sinks import files as sink
 
 COUNTS = "source_file string, job_id string, base string, n bigint"
@@ -20,7 +22,7 @@ def archives(spark, *names):
 
 def lines(folder):
     out = []
-    for path in sorted(glob.glob(f"{folder}/*.csv")):
+    for path in sorted(glob.glob(f"{folder}/part-*")):
         with open(path) as f:
             out.append(f.read().splitlines())
     return out
@@ -80,3 +82,46 @@ def test_parquet_is_not_overwritten(spark, tmp_path):
         assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a b", 2)]
         with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
             write(df, path)
+
+
+def test_lines_of_all_technologies(spark, tmp_path):
+    rows = [("w1.csv", i, f"id {i}", "green", "solar", i) for i in range(1, 4)] + [("w1.csv", 1, "id 1", "green", "wind | \"x\"", 7)]
+    rows += [("w1.csv", 2, 'a"b|c\\d', "other", "solar", 5), ("w2.csv", 1, "id 1", "other", "solar", 1)]
+    counts = stored(spark.createDataFrame(rows, "source_file string, record_no int, job_id string, tech string, base string, n long"), "counts")
+    names = [("green", "solar"), ("green", 'wind | "x"'), ("green", "none"), ("other", "solar"), ("unused", "x")]
+    keywords = stored(spark.createDataFrame(names, "tech string, base string"), "keywords")
+    written = counting.count_lines(counts, keywords, ["source_file", "record_no"], ["source_file"], "job_id")
+    path = str(tmp_path / "out")
+    for _ in range(2):
+        sink.write_count_lines(written, path, archives(spark, "w1.csv", "w2.csv"))
+    (file,) = lines(f"{path}/counts/tech=green/source_file=w1.csv")
+    assert file[0] == 'job_id|none|solar|"wind | \\"x\\""' and sorted(file[1:]) == ["id 1||1|7", "id 2||2|", "id 3||3|"]
+    assert lines(f"{path}/counts/tech=other/source_file=w2.csv") == [["job_id|solar", "id 1|1"]]
+    back = spark.read.option("sep", "|").option("header", True).csv(f"{path}/counts/tech=other/source_file=w1.csv").collect()
+    assert [(r.job_id, r.solar) for r in back] == [('a"b|c\\d', "5")]
+    assert {d for d in os.listdir(f"{path}/counts") if d[0] not in "._"} == {"tech=green", "tech=other"}
+
+
+def test_number_of_jobs_does_not_grow_with_technologies(spark, tmp_path):
+    def jobs(n):
+        techs = [(f"t{i}", f"b{i}") for i in range(n)]
+        keywords = stored(spark.createDataFrame(techs, "tech string, base string"), "keywords")
+        counts = stored(spark.createDataFrame([("w", i, str(i), f"t{i}", f"b{i}", 1) for i in range(n)], "source_file string, record_no int, job_id string, tech string, base string, n long"), "counts")
+        group = f"jobs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        sink.write_count_lines(counting.count_lines(counts, keywords, ["source_file", "record_no"], ["source_file"], "job_id"), str(tmp_path / group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(3) == jobs(30)
+
+
+def test_a_band_reads_few_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few rows would make one file
+    counts = spark.range(40_000).selectExpr("'w' || id as bigram", "cast(greatest(1, 20000 / (id + 1)) as long) as count")
+    sink.write_bigram_counts(counts.repartition(8), str(tmp_path / "c"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = spark.read.parquet(str(tmp_path / "c"))
+    files = lambda df: df.select("_metadata.file_name").distinct().count()
+    assert files(table) >= 4 and files(table.where("count > 50")) == 1 and table.count() == 40_000
+    assert files(table.where("count = 1")) > 1  # a count that most bigrams have is spread
