@@ -6,17 +6,22 @@ never meet a label table in a join, and no step shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gramlode.functions.text import clean_tokens
 
 # A scorer adds nothing but one column: the array of raw scores, in the order of the labels.
 Scorer = Callable[[DataFrame, list[str], str, list[str]], DataFrame]
 
+# Bytes of text that a model is given at once.
+BATCH_BYTES = 1 << 20
+
 
 def _words(label: str) -> list[str]:
     spaced = "".join(c if "a" <= c <= "z" else " " for c in label.lower())
@@ -38,22 +43,74 @@ def word_rate(docs: DataFrame, keep: list[str], text: str, labels: list[str]) ->
     return found.select(*keep, rate.alias("raw"))
 
 
-def model_scorer(score: Callable[[list[str], list[str]], list[list[float]]]) -> Scorer:
-    """A scorer from a model: ``score(texts, labels)`` gives one list of raw scores per text.
+# A model: one list of raw scores, in the order of the labels, per text.
+Model = Callable[[list[str], list[str]], list[list[float]]]
+
+
+@functools.lru_cache(maxsize=4)
+def _loaded(load: Callable[..., Model], arguments: tuple) -> Model:
+    """The model of a worker, which stays for its later tasks."""
+    return load(*arguments)
+
 
-    It is called with Arrow batches; a model loaded inside it should be kept in a module variable of the worker.
+def loaded_scorer(load: Callable[..., Model], *arguments, batch_bytes: int = BATCH_BYTES) -> Scorer:
+    """A scorer from a model that is loaded once per worker: ``load(*arguments)`` gives ``score(texts, labels)``.
+
+    ``load`` is a function of a module and ``arguments`` are hashable, such as the path of the model. The model is called
+    with about ``batch_bytes`` of text at a time (one text may have more), whatever the length of the texts. Rows keep their
+    columns; a null text is scored as an empty one. An answer of another length than the labels is an error.
     """
 
     def scorer(docs: DataFrame, keep: list[str], text: str, labels: list[str]) -> DataFrame:
-        @F.pandas_udf("array<double>")
-        def run(texts: pd.Series) -> pd.Series:
-            return pd.Series(score(texts.tolist(), labels), index=texts.index)
-
-        return docs.select(*keep, run(text).alias("raw"))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score = None
+            for batch in (part for whole in batches for part in _by_bytes(whole, batch_bytes)):
+                score = score or _loaded(load, arguments)
+                raw = score([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()], labels)
+                if any(len(scores) != len(labels) for scores in raw) or len(raw) != batch.num_rows:
+                    raise ValueError(f"the model must give {len(labels)} scores for each of {batch.num_rows} texts")
+                scores = pa.array(raw, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], scores], [*batch.schema.names[:-1], "raw"])
+
+        rows = docs.select(*keep, F.col(text).cast("string").alias("_text"))
+        schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("raw", T.ArrayType(T.DoubleType()))])
+        return rows.mapInArrow(run, schema)
 
     return scorer
 
 
+def _by_bytes(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts, in the last column, take about ``size`` bytes."""
+    begin = held = 0
+    for i, text in enumerate(batch.column(batch.num_columns - 1)):
+        held += len(text.as_buffer()) if text.is_valid else 0
+        if held >= size:
+            yield batch.slice(begin, i + 1 - begin)
+            begin, held = i + 1, 0
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def _given(score: Model) -> Model:
+    return score
+
+
+def model_scorer(score: Model) -> Scorer:
+    """A scorer from a function that needs no loading."""
+    return loaded_scorer(_given, score)
+
+
+def letter_rate(power: float) -> Model:
+    """A model without a file, for trying the slot out: how often a label's first letter occurs in the text, in hundredths
+    of its length, to a power."""
+
+    def score(texts: list[str], labels: list[str]) -> list[list[float]]:
+        rate = lambda t, label: 100.0 * t.lower().count(label[0].lower()) / max(len(t), 1)
+        return [[rate(t, label) ** power for label in labels] for t in texts]
+
+    return score
+
+
 def label_scores(
     docs: DataFrame, labels: list[str], key: list[str], text: str, scorer: Scorer = word_rate
 ) -> DataFrame:

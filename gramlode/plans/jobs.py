@@ -134,8 +134,9 @@ def rank_labels(
     text: str,
     scorer: labels.Scorer = labels.word_rate,
 ) -> DataFrame:
-    """Candidate labels from a text file, ranked for every document. The labels become part of the plan."""
-    names = [row.label for row in src.read_labels(spark, labels_path).collect()]
+    """Candidate labels from a text file, ranked for every document; equal scores rank in the order of the lines. The
+    labels become part of the plan."""
+    names = [row.label for row in src.read_labels(spark, labels_path).orderBy("file", "pos").collect()]
     return labels.label_scores(docs, names, key, text, scorer)
 
 

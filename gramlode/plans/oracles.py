@@ -109,6 +109,12 @@ def _label_words(label: str) -> str:
     return "[" + ", ".join(_str(w) for w in sorted(set(spaced.split()))) + "]"
 
 
+RANKED = """e AS (SELECT doc_id, label, pos, exp(s - max(s) OVER (PARTITION BY doc_id)) e FROM raw),
+p AS (SELECT doc_id, label, pos, e / sum(e) OVER (PARTITION BY doc_id) score, e FROM e)
+SELECT doc_id, label, round(score, 6) AS score,
+       (row_number() OVER (PARTITION BY doc_id ORDER BY e DESC, pos))::INTEGER AS rank FROM p"""
+
+
 def _label_scores(labels: list[str]) -> str:
     rows = ", ".join(f"({_str(label)}, {i}, {_label_words(label)})" for i, label in enumerate(labels))
     return f"""WITH labels_given(label, pos, words) AS (VALUES {rows}),
@@ -116,10 +122,15 @@ t AS (SELECT doc_id, length(text) n_len, {CLEAN.format("text")} k FROM documents
 raw AS (SELECT doc_id, label, pos,
                100.0::DOUBLE * len(list_filter(k, lambda x: list_contains(words, x))) / greatest(n_len, 1) s
         FROM t, labels_given),
-e AS (SELECT doc_id, label, pos, exp(s - max(s) OVER (PARTITION BY doc_id)) e FROM raw),
-p AS (SELECT doc_id, label, pos, e / sum(e) OVER (PARTITION BY doc_id) score, e FROM e)
-SELECT doc_id, label, round(score, 6) AS score,
-       (row_number() OVER (PARTITION BY doc_id ORDER BY e DESC, pos))::INTEGER AS rank FROM p"""
+{RANKED}"""
+
+
+def _model_scores(labels: list[str], power: float) -> str:
+    rows = _values([(label, i, label[0].lower()) for i, label in enumerate(labels)])
+    return f"""WITH labels_given(label, pos, letter) AS (VALUES {rows}),
+raw AS (SELECT doc_id, label, pos, pow(100.0::DOUBLE * (length(lower(text)) - length(replace(lower(text), letter, '')))
+               / greatest(length(text), 1), {power}::DOUBLE) s FROM documents, labels_given),
+{RANKED}"""
 
 
 SYMBOLS = """
@@ -192,7 +203,9 @@ WHERE "count" < c * (1 + 0.7::DOUBLE) AND "count" > c * (1 - 0.7::DOUBLE) AND co
     "parquet_roundtrip": f'WITH {BIGRAMS} SELECT bigram, "count" FROM counts',
     "label_score": _label_scores(LABELS),
     "label_score_frequent": _label_scores(FREQUENT_LABELS),
-    "label_list": "SELECT DISTINCT p_name AS label FROM part WHERE trim(p_name) <> ''",
+    "label_score_model": _model_scores(LABELS, 0.5),
+    "label_list": """WITH l AS (SELECT DISTINCT p_name AS label FROM part)
+SELECT ((row_number() OVER (ORDER BY label) - 1) * 2)::INTEGER AS pos, label FROM l WHERE trim(label) <> ''""",
     "page_extract": f"WITH {ANSWERS} SELECT request_id, symbol, value FROM answered",
     "page_extract_missing": f"""WITH {SYMBOLS}
 SELECT request_id, symbol, CASE WHEN url IS NULL THEN 'missing page' ELSE 'element not found' END AS value
@@ -209,8 +222,13 @@ SELECT request_id, symbol,
 FROM documents""",
     "xml_framed_scan": """SELECT doc_id::VARCHAR AS "JobID", lang AS "CanonJobTitle", source AS "BGTOcc",
        text AS "JobText" FROM documents WHERE text <> ''""",
-    "xml_infer": """SELECT * FROM (VALUES ('BGTOcc', 'string'), ('CanonJobTitle', 'string'), ('JobID', 'bigint'),
-       ('JobText', 'string')) AS t("column", "type") WHERE EXISTS (SELECT 1 FROM documents)""",
+    "xml_infer": """WITH f AS (SELECT unnest([{'c': 'BGTOcc', 'v': source}, {'c': 'CanonJobTitle', 'v': lang},
+  {'c': 'JobID', 'v': doc_id::VARCHAR}, {'c': 'JobText', 'v': text}]) AS f FROM documents),
+k AS (SELECT f.c AS "column", trim(f.v) AS v FROM f WHERE trim(f.v) <> '')
+SELECT "column", CASE WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'bigint'
+  WHEN bool_and(regexp_full_match(v, '[+-]?[0-9]*[.]?[0-9]+([eE][+-]?[0-9]+)?')) THEN 'double'
+  WHEN bool_and(lower(v) IN ('true', 'false')) THEN 'boolean' ELSE 'string' END AS "type"
+FROM k GROUP BY 1""",
     "zip_scan": f"""SELECT {YEAR} AS year, {ARCHIVE} AS source_file, doc_id::VARCHAR AS "JobID",
        lang AS "CanonJobTitle", source AS "BGTOcc", text AS "JobText" FROM documents WHERE text <> ''""",
     "zip_years": f"""SELECT {YEAR} AS year, {ARCHIVE} AS source_file, doc_id::VARCHAR AS "JobID",

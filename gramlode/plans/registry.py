@@ -308,13 +308,25 @@ def label_score_frequent(spark, sf):
 
 
 @query
-def label_list(spark, sf):
-    """A label file with blank lines, made of the part names, read line by line."""
+def label_score_model(spark, sf):
+    """A model in the scorer's place."""
+    scorer = labels.loaded_scorer(labels.letter_rate, 0.5)
+    scored = labels.label_scores(tb.documents(spark, sf, "text"), tb.LABELS, KEY, "text", scorer)
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def _label_file(spark, sf):
+    """A label file with blank lines, made of the part names in order."""
     path = scratch_path(spark, "labels")
-    names = tb.table(spark, sf, "part").select("p_name").distinct()
-    lines = names.select(F.explode(F.array("p_name", F.lit(""))).alias("value"))
-    lines.write.text(path)
-    return src.read_labels(spark, path)
+    names = tb.table(spark, sf, "part").select("p_name").distinct().orderBy("p_name").coalesce(1)
+    names.select(F.explode(F.array("p_name", F.lit(""))).alias("value")).write.text(path)
+    return path
+
+
+@query
+def label_list(spark, sf):
+    """The label file read with the numbers of its lines."""
+    return src.read_labels(spark, _label_file(spark, sf)).select("pos", "label")
 
 
 # ---- pages ----------------------------------------------------------------------------------------------------------
@@ -554,9 +566,11 @@ def _read_counts(spark, path, partitions):
     read = None
     for tech, raws in tb.SHEETS.items():
         bases = sorted({raw.translate(str.maketrans("_", " ", "0123456789")) for raw in raws})
-        columns = {"job_id": "string", **dict.fromkeys(bases, "bigint"), **partitions}
+        columns = {"job_id": "string", **dict.fromkeys(bases, "bigint"), "tech": "string", **partitions}
         schema = ", ".join(f"`{name}` {kind}" for name, kind in columns.items())
-        back = spark.read.schema(schema).option("sep", "|").option("header", "true").csv(f"{path}/counts/tech={tech}")
+        # the partition filter leaves this technology's files only; one without hits has none
+        read_files = spark.read.schema(schema).option("sep", "|").option("header", "true").option("enforceSchema", "true")
+        back = read_files.csv(f"{path}/counts").where(F.col("tech") == tech).drop("tech")
         long = counting.long_counts(back, bases, [*partitions, "job_id"]).withColumn("tech", F.lit(tech))
         read = long if read is None else read.unionByName(long)
     return read.select(*partitions, "job_id", "tech", "base", "n")

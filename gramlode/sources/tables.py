@@ -12,8 +12,11 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Candidate labels, one per line; blank lines are dropped."""
-    return read_lines(spark, path).select(F.col("value").alias("label")).where(F.trim("label") != "")
+    """``(file, pos, label)``: candidate labels, one per line, with the file's name and the line's number from 0; blank
+    lines are dropped. Label files are short lists and read whole, which keeps the order of their lines."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = whole.select("file", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "label"))
+    return lines.where(F.trim("label") != "")
 
 
 def read_keyword_sheets(spark: SparkSession, path: str, order: list[str] | None = None) -> DataFrame:

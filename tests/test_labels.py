@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 
@@ -50,8 +51,53 @@ def test_label_file(spark, tmp_path):
     from gramlode.sources.tables import read_labels
 
     (tmp_path / "labels.txt").write_bytes(b"wind power\r\nsmart grids\r\n\r\n nuclear\r\n")
-    assert [r.label for r in read_labels(spark, str(tmp_path / "labels.txt")).collect()] == [
-        "wind power",
-        "smart grids",
-        " nuclear",
+    assert [tuple(r) for r in read_labels(spark, str(tmp_path / "labels.txt")).collect()] == [
+        ("labels.txt", 0, "wind power"),
+        ("labels.txt", 1, "smart grids"),
+        ("labels.txt", 3, " nuclear"),
     ]
+
+
+def test_lines_keep_their_order(spark, docs, tmp_path):
+    from gramlode.plans.jobs import rank_labels
+
+    names = [f"tie {i}" for i in range(300)]
+    (tmp_path / "many.txt").write_text("\n".join(names))
+    rows = rank_labels(spark, docs, str(tmp_path / "many.txt"), ["id"], "text").where("id = 2").orderBy("rank").collect()
+    assert [r.label for r in rows] == names
+
+
+loads = []
+
+
+def counting_model(folder):
+    """Notes every load and every call's bytes in a folder."""
+    loads.append(folder)
+    with open(f"{folder}/{os.getpid()}-load-{len(loads)}", "w"):
+        pass
+
+    def score(texts, labels):
+        with open(f"{folder}/{os.getpid()}-calls", "a") as f:
+            f.write(f"{sum(map(len, texts))} {len(texts)}\n")
+        return [[float(len(t) * i) for i in range(len(labels))] for t in texts]
+
+    return score
+
+
+def test_model_is_loaded_once_and_fed_in_bounded_batches(spark, tmp_path):
+    rows = [(i, "x" * 100, i) for i in range(500)] + [(900, "y" * 5000, 0), (901, None, 0)]
+    docs = spark.createDataFrame(rows, "id int, text string, raw int").repartition(4)
+    scorer = lb.loaded_scorer(counting_model, str(tmp_path), batch_bytes=1000)
+    for _ in range(2):
+        got = rows_by_doc(lb.label_scores(docs.drop("raw"), ["a", "b"], ["id"], "text", scorer))
+    assert len(got) == 502 and [x[0] for x in got[900]] == ["b", "a"] and [x[0] for x in got[901]] == ["a", "b"]
+    processes = {name.split("-")[0] for name in os.listdir(tmp_path)}
+    assert sum("-load-" in name for name in os.listdir(tmp_path)) == len(processes)
+    sizes = [tuple(map(int, line.split())) for p in tmp_path.glob("*-calls") for line in p.read_text().splitlines()]
+    assert max(s for s, _ in sizes) < 1000 + 5000 and max(n for s, n in sizes if s < 1200) <= 11
+
+
+def test_model_with_too_few_scores(docs):
+    bad = lb.model_scorer(lambda texts, labels: [[1.0]] * len(texts))
+    with pytest.raises(Exception, match="must give 2 scores"):
+        lb.label_scores(docs, ["a", "b"], ["id"], "text", bad).collect()
