@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramlode.functions.text import clean_tokens
+from gramlode.operators.sizing import fits_broadcast
+from gramlode.session import stored
 
 # A scorer adds nothing but one column: the array of raw scores, in the order of the labels.
 Scorer = Callable[[DataFrame, list[str], str, list[str]], DataFrame]
@@ -130,3 +132,39 @@ def label_scores(
     label = F.element_at(F.array(*[F.lit(name) for name in names]), F.col("_x.pos") + 1)
     share = F.exp(F.col("_low") - F.col("_x.s")) / F.col("_sum")
     return rows.select(*key, label.alias("label"), share.alias("score"), (F.col("_i") + 1).alias("rank"))
+
+
+def top_labels(docs: DataFrame, labels: DataFrame, key: list[str], text: str, k: int = 10) -> DataFrame:
+    """``(key…, label, score, rank)`` of the ``k`` best of very many labels, scored by word rate as in ``label_scores``.
+
+    ``labels (pos, label)`` is a stored table with positions from 0. An inverted index leads from a word to its labels, so a text meets
+    only labels that share a word with it; the others have rate zero, take part in the shares by their number, and fill
+    the places that are left in the order of their positions. The index is broadcast within the checked bound. Hits are
+    counted where they are made; one row per document and label that was hit moves.
+    """
+    spaced = F.array_remove(F.split(F.regexp_replace(F.lower("label"), "[^a-z]+", " "), " "), "")
+    index = labels.select("pos", F.explode(F.array_distinct(spaced)).alias("_word"))
+    index = stored(index, "label-index")
+    total = labels.count()
+    tokens = docs.select(*key, F.length(text).alias("_len"), clean_tokens(text).alias("_t"))
+    rows = tokens.select(*key, "_len", F.explode_outer("_t").alias("_word"))
+    index = F.broadcast(index) if fits_broadcast(index) else index
+    counted = rows.join(index, "_word", "left").groupBy(*key, "_len", "pos").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct((-F.col("n")).alias("n"), "pos")))
+    found = counted.groupBy(*key, "_len").agg(F.array_sort(hit).alias("_hit"))
+    rate = lambda n: F.lit(100.0) * n / F.greatest("_len", F.lit(1))
+    # places that are left go to the first labels without a hit: among the first 2 k positions there are enough, unless hit
+    best = F.slice("_hit", 1, k)
+    among = F.sequence(F.lit(0), F.least(F.lit(total - 1), F.size("_hit") + k - 1))
+    free = F.slice(F.array_except(among, F.transform("_hit", lambda h: h["pos"].cast("int"))), 1, k)
+    filled = F.slice(F.concat(best, F.transform(free, lambda p: F.struct(F.lit(0).cast("long").alias("n"), p.cast("long").alias("pos")))), 1, k)
+    low = F.coalesce(rate(-F.get("_hit", F.lit(0))["n"]), F.lit(0.0))
+    prepared = found.select(*key, "_len", "_hit", filled.alias("_best"), low.alias("_low"))
+    others = (total - F.size("_hit")) * F.exp(-F.col("_low"))
+    whole = F.aggregate("_hit", F.lit(0.0), lambda sum_, h: sum_ + F.exp(rate(-h["n"]) - F.col("_low"))) + others
+    summed = prepared.select(*key, "_len", "_best", "_low", whole.alias("_sum"))
+    each = summed.select(*key, "_len", "_low", "_sum", F.posexplode("_best").alias("_i", "_x"))
+    share = F.exp(rate(-F.col("_x.n")) - F.col("_low")) / F.col("_sum")
+    ranked = each.select(*key, F.col("_x.pos").alias("pos"), share.alias("score"), (F.col("_i") + 1).alias("rank"))
+    names = F.broadcast(labels) if fits_broadcast(labels) else labels
+    return ranked.join(names.select("pos", "label"), "pos").select(*key, "label", "score", "rank")

@@ -203,6 +203,18 @@ WHERE "count" < c * (1 + 0.7::DOUBLE) AND "count" > c * (1 - 0.7::DOUBLE) AND co
     "parquet_roundtrip": f'WITH {BIGRAMS} SELECT bigram, "count" FROM counts',
     "label_score": _label_scores(LABELS),
     "label_score_frequent": _label_scores(FREQUENT_LABELS),
+    "label_score_many": f"""WITH c AS (SELECT {CLEAN.format("text")} k FROM conversations),
+n AS (SELECT DISTINCT k[1] || ' ' || k[2] AS label FROM c WHERE len(k) >= 2),
+g AS MATERIALIZED (SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos FROM n),
+w AS MATERIALIZED (SELECT DISTINCT pos, unnest(string_split(label, ' ')) AS word FROM g),
+t AS (SELECT doc_id, length(text) AS n_len, unnest({CLEAN.format("text")}) AS word FROM documents),
+h AS (SELECT doc_id, pos, count(*) AS n FROM t JOIN w USING (word) GROUP BY ALL),
+raw AS (SELECT d.doc_id, g.label, g.pos, 100.0::DOUBLE * coalesce(h.n, 0) / greatest(length(d.text), 1) AS s
+        FROM documents d CROSS JOIN g LEFT JOIN h ON h.doc_id = d.doc_id AND h.pos = g.pos),
+m AS (SELECT *, max(s) OVER (PARTITION BY doc_id) AS top FROM raw),
+e AS (SELECT doc_id, label, pos, s, exp(s - top) / sum(exp(s - top)) OVER (PARTITION BY doc_id) AS score FROM m)
+SELECT doc_id, label, round(score, 6) AS score,
+       (row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, pos))::INTEGER AS rank FROM e QUALIFY rank <= 10""",
     "label_score_model": _model_scores(LABELS, 0.5),
     "label_list": """WITH l AS (SELECT DISTINCT p_name AS label FROM part)
 SELECT ((row_number() OVER (ORDER BY label) - 1) * 2)::INTEGER AS pos, label FROM l WHERE trim(label) <> ''""",

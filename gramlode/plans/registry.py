@@ -315,6 +315,19 @@ def label_score_model(spark, sf):
     return scored.withColumn("score", F.round("score", 6))
 
 
+@query
+def label_score_many(spark, sf):
+    """Every pair of words that opens a turn of a conversation is a label; the ten best of each document."""
+    words = tx.clean_tokens("text")
+    turns = tb.table(spark, sf, "conversations").select(F.slice(words, 1, 2).alias("w")).where(F.size("w") == 2)
+    names = turns.select(F.array_join("w", " ").alias("label")).distinct().orderBy("label")
+    path = scratch_path(spark, "labels")
+    names.coalesce(1).write.text(path)
+    given = stored(src.read_labels(spark, path).select(F.col("pos").cast("long").alias("pos"), "label"), "labels")
+    scored = labels.top_labels(tb.documents(spark, sf, "text"), given, KEY, "text")
+    return scored.withColumn("score", F.round("score", 6))
+
+
 def _label_file(spark, sf):
     """A label file with blank lines, made of the part names in order."""
     path = scratch_path(spark, "labels")

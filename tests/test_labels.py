@@ -4,6 +4,7 @@ import os
 import pytest
 
 from gramlode.operators import labels as lb
+from gramlode.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +102,16 @@ def test_model_with_too_few_scores(docs):
     bad = lb.model_scorer(lambda texts, labels: [[1.0]] * len(texts))
     with pytest.raises(Exception, match="must give 2 scores"):
         lb.label_scores(docs, ["a", "b"], ["id"], "text", bad).collect()
+
+
+def test_best_of_many_labels(spark):
+    names = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} tail" for i in range(400)] + ["Wind wind power", "sun", "..."]
+    labels = stored(spark.createDataFrame(list(enumerate(names)), "pos long, label string"), "labels")
+    texts = ["wind sun wordaa Wordaa wordzz", "", None, "tail " * 9, "nothing of note", "sun " + " ".join(names[3:9])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    want = rows_by_doc(lb.label_scores(docs.where("text is not null"), names, ["id"], "text"))
+    for k in (1, 10, 600):
+        got = rows_by_doc(lb.top_labels(docs, labels, ["id"], "text", k))
+        assert {i: [(x[0], x[2]) for x in rows] for i, rows in got.items() if i != 2} == {i: [(x[0], x[2]) for x in rows[:k]] for i, rows in want.items()}
+        assert all(x[1] == pytest.approx(y[1]) for i, rows in want.items() for x, y in zip(got[i], rows))
+        assert [x[0] for x in got[2]] == names[:k]  # a null text has no words
