@@ -1,6 +1,5 @@
 import random
 
-import numpy as np
 import xxhash
 
 from gramlode.llm import simhash
@@ -60,90 +59,13 @@ def test_links_find_every_group_whatever_the_part_size(spark, monkeypatch):
         assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
-def test_near_duplicates_keep_one_of_each(docs, no_docs):
-    kept = simhash.near_duplicates(docs)
+def test_one_of_each_group_stays(docs, no_docs):
+    kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    rows = kept.collect()
-    ids = [r.doc_id for r in rows]
-    assert len(ids) == len(set(ids))
-    texts = [r.text for r in rows]
-    assert not set(range(120, 130)) & set(ids)  # exact copies
-    assert sum(not (t or "").strip() for t in texts) == 1  # texts without words
-    long_ones = {r.doc_id for r in docs.collect() if r.doc_id is not None and r.doc_id < 120}
-    assert long_ones <= set(ids)
-    assert simhash.near_duplicates(no_docs).count() == 0
+    rows = docs.collect()
+    root = classes([plain(r.text) for r in rows], 4)
+    order = lambda i: (i is None, i or 0)
+    want = [min((r.doc_id for r, own in zip(rows, root) if own == g), key=order) for g in set(root)]
+    assert sorted((r.doc_id for r in kept.collect()), key=order) == sorted(want, key=order)
+    assert simhash.one_of_each(no_docs).count() == 0
     assert simhash.grouped(simhash.fingerprints(no_docs)).count() == 0
-
-
-def near_sets(rng, union, common):
-    """Two sets at the similarity common / union."""
-    x = rng.integers(0, 2**63, union).astype(np.uint64)
-    cut = common + int(rng.integers(0, union - common + 1))
-    return x[:cut], np.r_[x[:common], x[cut:]]
-
-
-def test_recall_of_bands_does_not_depend_on_the_number_of_texts():
-    rng = np.random.default_rng(4)
-    for texts in (50_000, 15_000_000):
-        plan = simhash.band_plan(texts, 0.8)
-        assert 2 ** plan.shape[1] * 1024 > texts  # shards stay small
-        for union, common in ((25, 20), (300, 240)):
-            pairs = [near_sets(rng, union, common) for _ in range(1200)]
-            assert all(len(np.intersect1d(a, b)) == 0.8 * len(np.union1d(a, b)) for a, b in pairs)
-            keys = [simhash.band_keys(np.frombuffer(b"".join(simhash.set_print(p[k]) for p in pairs), np.uint8).reshape(len(pairs), -1), plan) for k in (0, 1)]
-            assert (keys[0] == keys[1]).any(axis=1).mean() > 0.965
-
-
-def test_short_sets_at_the_similarity_always_share_a_prefix_shingle():
-    rng = np.random.default_rng(5)
-    for union in range(1, 16):
-        for _ in range(50):
-            a, b = (np.sort(x) for x in near_sets(rng, union, -(-union * 4 // 5)))
-            assert set(simhash.prefix(a, 0.8)) & set(simhash.prefix(b, 0.8))
-
-
-def jaccard_groups(texts, words=5, similarity=0.8):
-    sets = [set(simhash.shingle_set(t.encode(), words).tolist()) for t in texts]
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
-                a, b = root[i], root[j]
-                root = [min(a, b) if r in (a, b) else r for r in root]
-    return root
-
-
-def test_only_texts_at_the_similarity_are_linked(spark):
-    """Templated texts of one source at 0.7 to 0.76, their true near copies, and repeated words with little else."""
-    rng = random.Random(8)
-    word = lambda: "w%06d" % rng.randrange(10**6)
-    texts = []
-    for n in (12, 60, 200):
-        frame = [word() for _ in range(6 * n)]
-        for _ in range(12):
-            own = frame + [word() for _ in range(n)]
-            texts.append(" ".join(own))
-            if rng.random() < 0.4:
-                texts.append(" ".join(own[:-2] + [word()]))
-    texts += ["spam " * 400 + " ".join(word() for _ in range(20)) for _ in range(3)]
-    root = jaccard_groups(texts)
-    assert 36 < len(set(root)) < len(texts)
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert sorted(r.doc_id for r in simhash.near_duplicates(frame).collect()) == sorted(set(root))
-
-
-def test_another_link_is_found_when_one_is_refused():
-    """All five are within the radius of each other; the first one is near none, the others are near each other."""
-    wide = np.zeros((5, 8), np.uint64)
-    root, refused, times = np.arange(5), {}, 1
-    while True:
-        new = simhash.forest([0, 1, 2, 3, 4], wide, None, root, refused, 3, times)
-        for a, b in new:
-            if a == 0:
-                refused.setdefault(a, set()).add(b)
-            else:
-                root[root == root[b]] = root[a]
-        if all(a for a, _ in new):
-            break
-        times *= 4
-    assert root[0] == 0 and len(set(root[1:].tolist())) == 1 and refused == {0: {1, 2, 3, 4}}
