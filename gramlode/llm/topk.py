@@ -21,11 +21,18 @@ CANDIDATES, QUERIES = 4096, 256
 STEP = 8
 
 
+#: Components after scaling, so that sums of products are exact.
+LARGEST = 2**20
+
+
 def quantised(vector: str, scale: int = 256):
-    """floor(scale * x) of every component, null when the vector is null or has a null or non-finite component."""
+    """floor(scale * x) of every component, null when the vector is null or has a null or non-finite component. A
+    component of 2**20 or more after scaling is an error."""
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return F.when(fine, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
+    beyond = F.raise_error(F.lit(f"a component of {LARGEST} or more after scaling")).cast("long")
+    whole = lambda v: F.when(F.abs(v * scale) < LARGEST, F.floor(v * scale).cast("long")).otherwise(beyond)
+    return F.when(fine, F.transform(x, whole))
 
 
 def _pack(size: int):
@@ -106,20 +113,23 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id",
 
     Null ids and vectors that are null or hold a null or non-finite component take no part; vectors are compared with
     those of equal length only; an empty vector scores 0. A query with no other row gives no rows. Repeated ids are
-    separate candidates; a repeated query gives its rows once. Components must stay below 2**20 after scaling.
+    separate candidates; of queries with one id the one with the smallest vector asks. Components of 2**20 or more after
+    scaling are an error.
     """
 
-    def packed(side: DataFrame, size: int) -> DataFrame:
+    def cleaned(side: DataFrame) -> DataFrame:
         clean = side.select(F.col(f"`{key}`").cast("long").alias("id"), quantised(f"`{vector}`", scale).alias("v"))
-        clean = clean.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+        return clean.where(F.col("id").isNotNull() & F.col("v").isNotNull())
+
+    def packed(clean: DataFrame, size: int) -> DataFrame:
         return clean.mapInArrow(_pack(size), "dims int, ids binary, data binary")
 
     # every block of candidates lies in one slot and every block of queries is sent to all slots, so that the pairs of
     # blocks are dealt over the cluster; a task holds a few blocks at a time, however many there are
     slots = max(1, rows.count() // CANDIDATES)
     slot = F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int")
-    blocks = packed(rows, CANDIDATES).withColumn("slot", slot)
-    asked = packed(queries.dropDuplicates([key]), QUERIES).select(
+    blocks = packed(cleaned(rows), CANDIDATES).withColumn("slot", slot)
+    asked = packed(cleaned(queries).groupBy("id").agg(F.min("v").alias("v")), QUERIES).select(
         "dims",
         F.col("ids").alias("qids"),
         F.col("data").alias("qdata"),

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from gramlode.llm import topk
 
@@ -21,3 +22,17 @@ def test_same_as_all_pairs(spark, monkeypatch):
     got = topk.top_k(frame, frame.where("vec_id % 50 = 0")).collect()
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.top_k(frame.limit(0), frame.limit(0)).count() == 0
+
+
+def test_rows_of_one_id(spark):
+    rows = [(50, [1.0, 0.0]), (50, None), (50, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [3.0, 1.0])]
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        frame = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        found = topk.top_k(frame, frame.where("vec_id % 50 = 0")).collect()
+        assert [(r.query_id, r["rank"], r.id, r.score) for r in found] == [(50, 1, 1, 3 * 256 * 256), (50, 2, 2, 256 * 256)]
+
+
+def test_large_components_are_an_error(spark):
+    frame = spark.createDataFrame([(50, [5000.0]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="1048576"):
+        topk.top_k(frame, frame).collect()
