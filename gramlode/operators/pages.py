@@ -43,10 +43,11 @@ def json_bodies(answered: DataFrame, key: str) -> DataFrame:
     A symbol that occurs more than once, in one row of requests or in several with the same key, keeps its first place
     and its last value. A group is one request and no longer than the payload it came in.
     """
-    asked = answered.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "symbol", "value"))).alias("_asked"))
-    symbols = F.array_distinct(F.transform("_asked", lambda e: e["symbol"]))
-    last = lambda s: F.element_at(F.filter("_asked", lambda e: e["symbol"] == s), -1)["value"]
-    pairs = F.transform(symbols, lambda s: F.struct(s, last(s)))
+    # one exchange by request serves both steps; a symbol's first place and last value are aggregates of its own rows
+    placed = answered.select(key, "symbol", "pos", "value").repartition(key)
+    each = placed.groupBy(key, "symbol").agg(F.min("pos").alias("first"), F.max(F.struct("pos", "value"))["value"].alias("value"))
+    asked = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", "symbol", "value"))).alias("_asked"))
+    pairs = F.transform("_asked", lambda e: F.struct(e["symbol"], e["value"]))
     return asked.select(key, F.to_json(F.map_from_entries(pairs)).alias("body"))
 
 

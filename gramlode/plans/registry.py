@@ -500,7 +500,7 @@ def archive_keyword_counts(spark, sf):
     """From archives to counts in one plan, malformed records left out."""
     _, _, matches = tb.literal_dictionary(spark)
     usable = adverts.usable(_broken_archives(spark, sf))
-    counts = counting.keyword_counts(usable, matches, adverts.RECORD_KEY, "JobText", carry=["JobID"])
+    counts = counting.keyword_counts(usable, matches, adverts.ARCHIVE_KEY, "JobText", carry=["JobID"])
     return counts.select("source_file", F.col("JobID").alias("job_id"), "tech", "base", "n")
 
 
