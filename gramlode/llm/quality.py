@@ -219,7 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machin
     # the sample comes in the order of the tasks; the same rows in another order would train another model
     y = np.asarray(rows["y"], np.float64) if len(rows) else np.zeros(0)
     del rows, lists
-    return train(*_ordered(f, y))
+    machine = train(*_ordered(f, y))
+    del f, y
+    give_back()
+    return machine
 
 
 def _ordered(f: Features, y: np.ndarray) -> tuple[Features, np.ndarray]:

@@ -243,6 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         other = train([x for x, h in zip(words, half) if h != k], y[half != k])
         seen[half == k] = _seen(other, [x for x, h in zip(words, half) if h == k])
     counts = Counter((r["lang"], int(b), r["y"]) for r, b in zip(rows, score_bins(seen)) if r["lang"] is not None)
+    del rows, words, seen, y
+    give_back()
     for r in _counted(docs, labels, learn, label, Model(net, {}), bound).collect():  # a few thousand rows a language
         counts[r.lang, r.bin, r.y] += r.n
     keys = list(counts)
