@@ -31,6 +31,7 @@ HEADLINE = [
     "xml_framed_scan",
     "archive_keyword_counts",
     "counts_sink",
+    "job_keyword_counts",
 ]
 
 
