@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,22 +136,152 @@ def label_scores(
     return rows.select(*key, label.alias("label"), share.alias("score"), (F.col("_i") + 1).alias("rank"))
 
 
+#: An inverted index of up to this many entries, of words and labels, is sent to the tasks.
+INDEX_ENTRIES = 16_000_000
+
+
+class _Index:
+    """Words and labels as arrays. A label stands under its most frequent word in ``common``, under its others in ``rare``.
+
+    A label that only its most frequent word leads to has that word's count; there are as many of these as the word has
+    labels, less those met through a rare word. So a text looks at few labels of a frequent word, and all are counted.
+    """
+
+    def __init__(self, word: np.ndarray, pos: np.ndarray, words: int, labels: int) -> None:
+        degree = np.bincount(word, minlength=words)
+        order = np.lexsort((word, degree[word], pos))  # a label's most frequent word is its last
+        word, pos = word[order].astype(np.int32), pos[order].astype(np.int32)
+        last = np.r_[pos[1:] != pos[:-1], True] if len(pos) else np.zeros(0, bool)
+        self.words, self.labels = words, labels
+        self.common, self.rare = self._lists(word[last], pos[last]), self._lists(word[~last], pos[~last])
+        self.top = np.zeros(labels, np.int32)
+        self.top[pos[last]] = word[last]
+        self.of_label = np.searchsorted(pos, np.arange(labels + 1)), word
+
+    def _lists(self, word: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((pos, word))
+        return np.searchsorted(word[order], np.arange(self.words + 1)), pos[order]
+
+
+def _slices(lists: tuple[np.ndarray, np.ndarray], at: np.ndarray, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the lists ``at``, and to which of them each belongs."""
+    begin, entries = lists[0][at], lists[1]
+    size = lists[0][at + 1] - begin
+    size = size if most is None else np.minimum(size, most)
+    owner = np.repeat(np.arange(len(at)), size)
+    return entries[np.arange(len(owner)) - (np.cumsum(size) - size)[owner] + begin[owner]], owner
+
+
+def _best(index: _Index, word: np.ndarray, n: np.ndarray, length: int, k: int, count: np.ndarray, seat: np.ndarray):
+    """Positions and counts of a text's ``k`` best labels, the largest rate, and the sum that the softmax divides by.
+
+    ``count`` (per word) and ``seat`` (per label) are zero and stay so between the texts.
+    """
+    count[word] = n
+    # labels met through a rare word, each once, with their whole count
+    label, owner = _slices(index.rare, word)
+    seat[label] = np.arange(1, len(label) + 1)
+    own = seat[label] == np.arange(1, len(label) + 1)
+    met = label[own]
+    number = np.cumsum(own) - 1
+    met_n = np.bincount(number[seat[label] - 1], n[owner], minlength=len(met)).astype(np.int64) + count[index.top[met]]
+    # labels that only their most frequent word leads to
+    through = np.bincount(index.top[met], minlength=index.words)[word] if len(met) else np.zeros(len(word), np.int64)
+    alone = index.common[0][word + 1] - index.common[0][word] - through
+    order = np.argsort(-n, kind="stable")
+    enough = np.searchsorted(np.cumsum(alone[order]), k)  # less frequent words give no better label
+    first = order[n[order] >= n[order[min(enough, len(order) - 1)]]] if len(order) else order
+    more, owner = _slices(index.common, word[first], k + through[first])
+    unmet = seat[more] == 0
+    pos, counts = np.r_[met, more[unmet]].astype(np.int64), np.r_[met_n, n[first][owner[unmet]]]
+    ranked = np.lexsort((pos, -counts))[:k]
+    pos, counts = pos[ranked], counts[ranked]
+    hit = len(met) + int(alone.sum())
+    if len(pos) < k:  # the first labels without a hit: a text with so few hits has them among its first
+        near = np.arange(min(index.labels, hit + k))
+        words, owner = _slices(index.of_label, near)
+        free = near[np.bincount(owner, count[words], minlength=len(near)) == 0][: k - len(pos)]
+        pos, counts = np.r_[pos, free], np.r_[counts, np.zeros(len(free), np.int64)]
+    rate = 100.0 / max(length, 1)
+    low = rate * counts[0] if len(counts) else 0.0
+    whole = np.exp(rate * met_n - low).sum() + (alone * np.exp(rate * n - low)).sum() + (index.labels - hit) * np.exp(-low)
+    count[word], seat[label] = 0, 0
+    return pos, np.exp(rate * counts - low) / whole
+
+
+def _score_best(shared, k: int):
+    """Rows ``_doc, _len, _found`` to ``_doc, _best``: the text's best labels in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = SimpleNamespace(**shared.value)
+        count, seat = np.zeros(index.words, np.int64), np.zeros(index.labels, np.int64)
+        for batch in batches:
+            found = batch.column(2)
+            cuts = np.asarray(found.offsets)
+            word, n = (np.asarray(found.values.field(i)) for i in (0, 1))
+            best = [
+                _best(index, word[a:b], n[a:b], length or 1, k, count, seat)
+                for a, b, length in zip(cuts[:-1], cuts[1:], batch.column(1).to_pylist())
+            ]
+            ends = np.r_[0, np.cumsum([len(pos) for pos, _ in best])]
+            pos, score = (np.concatenate(x) if best else np.zeros(0) for x in (list(zip(*best)) or [(), ()]))
+            entries = pa.StructArray.from_arrays([pa.array(pos, pa.int64()), pa.array(score, pa.float64())], ["pos", "score"])
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["_doc", "_best"])
+
+    return run
+
+
 def top_labels(docs: DataFrame, labels: DataFrame, key: list[str], text: str, k: int = 10) -> DataFrame:
     """``(key…, label, score, rank)`` of the ``k`` best of very many labels, scored by word rate as in ``label_scores``.
 
     ``labels (pos, label)`` is a stored table with positions from 0. An inverted index leads from a word to its labels, so a text meets
     only labels that share a word with it; the others have rate zero, take part in the shares by their number, and fill
-    the places that are left in the order of their positions. The index is broadcast within the checked bound. Hits are
-    counted where they are made; one row per document and label that was hit moves.
+    the places that are left in the order of their positions. A text's words are counted first: one row per document
+    and known word moves. With an index of at most ``INDEX_ENTRIES`` labels are met inside the document's row, and only labels
+    with a rare word of it one by one. With a larger one, words and labels are joined.
     """
     spaced = F.array_remove(F.split(F.regexp_replace(F.lower("label"), "[^a-z]+", " "), " "), "")
     index = labels.select("pos", F.explode(F.array_distinct(spaced)).alias("_word"))
     index = stored(index, "label-index")
     total = labels.count()
+    small = max(total, index.count()) <= INDEX_ENTRIES
     tokens = docs.select(*key, F.length(text).alias("_len"), clean_tokens(text).alias("_t"))
     rows = tokens.select(*key, "_len", F.explode_outer("_t").alias("_word"))
-    index = F.broadcast(index) if fits_broadcast(index) else index
-    counted = rows.join(index, "_word", "left").groupBy(*key, "_len", "pos").agg(F.count(F.lit(1)).alias("n"))
+    words = stored(index.select("_word").distinct().orderBy("_word"), "label-words")
+    known = words.withColumn("_known", F.lit(True))
+    known = F.broadcast(known) if fits_broadcast(words) else known
+    met = rows.join(known, "_word", "left").select(*key, "_len", F.when(F.col("_known"), F.col("_word")).alias("_word"))
+    counts = met.groupBy(*key, "_len", "_word").agg(F.count(F.lit(1)).alias("n"))
+    ranked = (_ranked_by_index if small else _ranked_by_join)(counts, index, words, total, key, k)
+    names = F.broadcast(labels) if fits_broadcast(labels) else labels
+    return ranked.join(names.select("pos", "label"), "pos").select(*key, "label", "score", "rank")
+
+
+def _ranked_by_index(counts: DataFrame, index: DataFrame, words: DataFrame, total: int, key: list[str], k: int) -> DataFrame:
+    """``(key…, pos, score, rank)`` from ``(key…, _len, _word, n)``, the index in every task."""
+    spark = counts.sparkSession
+    names = sorted(words.toArrow()["_word"].to_pylist())
+    ids = spark.createDataFrame(pa.table({"_word": pa.array(names, pa.string()), "_id": pa.array(range(len(names)), pa.int64())}))
+    entries = index.join(ids, "_word").select("_id", "pos").toArrow()
+    word, pos = (np.asarray(entries[c].combine_chunks()) if len(entries) else np.zeros(0, np.int64) for c in ("_id", "pos"))
+    shared = spark.sparkContext.broadcast(vars(_Index(word, pos, len(names), total)))  # plain arrays: workers need no module for them
+    # numbers instead of words: the rows are one per document and known word by now
+    numbered = counts.join(F.broadcast(ids) if fits_broadcast(words) else ids, "_word", "left")
+    of = F.collect_list(F.when(F.col("_id").isNotNull(), F.struct(F.col("_id").alias("w"), "n")))
+    found = numbered.groupBy(*key, "_len").agg(of.alias("_found"))
+    doc = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(key))).alias("_doc")
+    packed = found.select(doc, F.col("_len").cast("long"), "_found")
+    schema = T.StructType([packed.schema["_doc"], T.StructField("_best", T.ArrayType(T.StructType([T.StructField("pos", T.LongType()), T.StructField("score", T.DoubleType())])))])
+    best = packed.mapInArrow(_score_best(shared, k), schema)
+    each = best.select("_doc", F.posexplode("_best").alias("_i", "_x"))
+    back = [F.col(f"_doc.k{i}").alias(c) for i, c in enumerate(key)]
+    return each.select(*back, F.col("_x.pos").alias("pos"), F.col("_x.score").alias("score"), (F.col("_i") + 1).alias("rank"))
+
+
+def _ranked_by_join(counts: DataFrame, index: DataFrame, words: DataFrame, total: int, key: list[str], k: int) -> DataFrame:
+    """The same, words and labels joined: one row per document and label that was hit moves."""
+    hits = counts.withColumnRenamed("n", "_n").join(index, "_word", "left")
+    counted = hits.groupBy(*key, "_len", "pos").agg(F.sum("_n").alias("n"))
     hit = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct((-F.col("n")).alias("n"), "pos")))
     found = counted.groupBy(*key, "_len").agg(F.array_sort(hit).alias("_hit"))
     rate = lambda n: F.lit(100.0) * n / F.greatest("_len", F.lit(1))
@@ -165,6 +297,4 @@ def top_labels(docs: DataFrame, labels: DataFrame, key: list[str], text: str, k:
     summed = prepared.select(*key, "_len", "_best", "_low", whole.alias("_sum"))
     each = summed.select(*key, "_len", "_low", "_sum", F.posexplode("_best").alias("_i", "_x"))
     share = F.exp(rate(-F.col("_x.n")) - F.col("_low")) / F.col("_sum")
-    ranked = each.select(*key, F.col("_x.pos").alias("pos"), share.alias("score"), (F.col("_i") + 1).alias("rank"))
-    names = F.broadcast(labels) if fits_broadcast(labels) else labels
-    return ranked.join(names.select("pos", "label"), "pos").select(*key, "label", "score", "rank")
+    return each.select(*key, F.col("_x.pos").alias("pos"), share.alias("score"), (F.col("_i") + 1).alias("rank"))

@@ -1,6 +1,7 @@
 import math
 import os
 
+import numpy as np
 import pytest
 
 from gramlode.operators import labels as lb
@@ -115,3 +116,30 @@ def test_best_of_many_labels(spark):
         assert {i: [(x[0], x[2]) for x in rows] for i, rows in got.items() if i != 2} == {i: [(x[0], x[2]) for x in rows[:k]] for i, rows in want.items()}
         assert all(x[1] == pytest.approx(y[1]) for i, rows in want.items() for x, y in zip(got[i], rows))
         assert [x[0] for x in got[2]] == names[:k]  # a null text has no words
+
+
+@pytest.mark.parametrize("entries", [lb.INDEX_ENTRIES, 0])
+def test_many_labels_of_a_frequent_word(spark, monkeypatch, entries):
+    """A text meets few of the labels of a frequent word one by one, also when its words and its row repeat."""
+    monkeypatch.setattr(lb, "INDEX_ENTRIES", entries)
+    met = []
+    slices = lb._slices
+    monkeypatch.setattr(lb, "_slices", lambda *a: met.append(slices(*a)) or met[-1])
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26 % 26) + chr(97 + i // 676)
+    names = [f"the {word(i)}" for i in range(700)] + [f"{word(i)} {word(i + 1)} the" for i in range(0, 600, 7)] + ["...", "the"]
+    labels = stored(spark.createDataFrame(list(enumerate(names)), "pos long, label string"), "labels")
+    texts = ["the the " + word(7), "the " * 50, f"{word(14)} {word(15)} {word(699)}", "nothing", "", word(3) + " the of " * 4]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    want = rows_by_doc(lb.label_scores(docs, names, ["id"], "text"))
+    for k in (1, 10, 900):
+        got = rows_by_doc(lb.top_labels(docs, labels, ["id"], "text", k))
+        for i, rows in want.items():
+            assert [(x[0], x[2]) for x in got[i]] == [(x[0], x[2]) for x in rows[:k]]
+            assert all(x[1] == pytest.approx(y[1]) for x, y in zip(got[i], rows))
+    if entries:
+        at = {w: i for i, w in enumerate(sorted({w for n in names for w in lb._words(n)}))}
+        pairs = [(at[w], p) for p, n in enumerate(names) for w in lb._words(n)]
+        index = lb._Index(np.array([w for w, _ in pairs]), np.array([p for _, p in pairs]), len(at), len(names))
+        met.clear()
+        lb._best(index, np.array([at["the"]]), np.array([50]), 200, 10, np.zeros(len(at), int), np.zeros(len(names), int))
+        assert sum(len(x) for x, _ in met) <= 20  # of 788 labels with that word
