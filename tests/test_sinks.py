@@ -125,3 +125,12 @@ def test_a_band_reads_few_files(spark, tmp_path):
     files = lambda df: df.select("_metadata.file_name").distinct().count()
     assert files(table) >= 4 and files(table.where("count > 50")) == 1 and table.count() == 40_000
     assert files(table.where("count = 1")) > 1  # a count that most bigrams have is spread
+
+
+def test_small_count_files_are_written_by_several_tasks(spark, tmp_path):
+    rows = [(f"w{i}.csv", i, str(i), "t", "b", 1) for i in range(40)]
+    counts = stored(spark.createDataFrame(rows, "source_file string, record_no int, job_id string, tech string, base string, n long"), "counts")
+    keywords = stored(spark.createDataFrame([("t", "b")], "tech string, base string"), "keywords")
+    sink.write_count_lines(counting.count_lines(counts, keywords, ["source_file", "record_no"], ["source_file"], "job_id"), str(tmp_path))
+    files = [name for _, _, names in os.walk(tmp_path) for name in names if name.startswith("part-")]
+    assert len(files) == 40 and len({name.split("-")[1] for name in files}) > 1
