@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gramlode.operators.sizing import fits_broadcast
+from gramlode.sinks.files import COMMIT
 
 
 def _files(spark: SparkSession, path: str):
@@ -49,12 +50,16 @@ def stage(df: DataFrame, root: str, partitions: list[str], version: str) -> None
     if not system.exists(folder):  # the columns, also when there are no rows
         df.where("false").coalesce(1).write.mode("overwrite").parquet(f"{root}/empty")
     spread = df.hint("rebalance", *[F.col(c) for c in partitions])
-    spread.write.mode("overwrite").partitionBy(*partitions).parquet(f"{root}/data/version={version}")
+    spread.write.mode("overwrite").options(**COMMIT).partitionBy(*partitions).parquet(f"{root}/data/version={version}")
 
 
-def _staged(spark: SparkSession, root: str) -> DataFrame:
+def _staged(spark: SparkSession, root: str, versions: list[str]) -> DataFrame:
+    """The rows of some versions; the folders of others are not even listed."""
     schema = T.StructType([*spark.read.parquet(f"{root}/empty").schema, T.StructField("version", T.StringType())])
-    return spark.read.schema(schema).parquet(f"{root}/data")
+    paths = [f"{root}/data/version={v}" for v in versions]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", f"{root}/data").parquet(*paths)
 
 
 def publish(spark: SparkSession, root: str, replaced: DataFrame, version: str) -> None:
@@ -62,7 +67,7 @@ def publish(spark: SparkSession, root: str, replaced: DataFrame, version: str) -
     that the run has no rows for is empty from now on."""
     partitions = replaced.columns
     newest = _newest(spark, root)
-    new = _staged(spark, root).where(F.col("version") == version).select(*partitions, "version").distinct()
+    new = _staged(spark, root, [version]).where(F.col("version") == version).select(*partitions, "version").distinct()
     new = new.join(replaced, partitions, "left_semi")
     if newest:
         new = manifest(spark, root).join(replaced, partitions, "left_anti").select(*partitions, "version").unionByName(new)
@@ -87,8 +92,8 @@ def read(spark: SparkSession, root: str) -> DataFrame:
     current = manifest(spark, root)
     if current is None:
         raise FileNotFoundError(f"no published version below {root}")
-    rows = _staged(spark, root)
     versions = [row.version for row in current.select("version").distinct().collect()]
+    rows = _staged(spark, root, versions)
     partitions = [c for c in current.columns if c != "version"]
     listed = F.broadcast(current) if fits_broadcast(current) else current
     kept = rows.where(F.col("version").isin(versions)).join(listed, [*partitions, "version"], "left_semi")

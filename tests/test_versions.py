@@ -84,3 +84,12 @@ def test_archives_are_ingested_once(spark, tmp_path):
     put_zip(feed / "old" / "b.zip", job(4, "z").encode())
     with pytest.raises(Exception, match="no year"):
         jobs.ingest_new_archives(spark, str(feed), table, state)
+
+
+def test_versions_that_do_not_count_are_not_listed(spark, tmp_path):
+    root, listed = str(tmp_path / "t"), archives(spark, (1, "a"))
+    versions.replace(rows(spark, (1, "a", 1)), root, listed, "old")
+    versions.replace(rows(spark, (1, "a", 2)), root, listed, "new")
+    versions.stage(rows(spark, (1, "a", 3)), root, ["year", "source_file"], "failed")
+    files = [f for f in versions.read(spark, root).inputFiles() if "/data/" in f]
+    assert files and all("version=new" in f for f in files) and seen(spark, root) == [(1, "a", 2)]
