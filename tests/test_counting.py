@@ -213,3 +213,16 @@ def test_snippets(dims, adverts, p, monkeypatch):
 def test_inline_snippets_move_sampled_texts_only(dims, adverts, explain):
     shown = explain(counting.snippets(adverts, dims[2], KEY, "JobText", "JobID", "CanonJobTitle", "BGTOcc"))
     assert "md5" in shown and "SortMergeJoin" not in shown
+
+
+def test_text_of_a_task_is_bounded(spark):
+    from gramlode.session import spread_by_size
+
+    rows = spark.createDataFrame([(i % 300, "x" * 1000) for i in range(600)], "id int, text string")
+    placed = spread_by_size(rows, "text", "id", size=10_000)
+    assert placed.rdd.getNumPartitions() == 60 and placed.count() == 600
+    sizes = [sum(len(r.text) for r in part) for part in placed.rdd.glom().collect()]
+    assert max(sizes) < 40_000
+    assert spread_by_size(rows.where("false"), "text", "id").count() == 0
+    grams = counting.gram_counts(rows.limit(0), ["id"], "text")
+    assert grams.count() == 0
