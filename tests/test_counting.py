@@ -226,3 +226,21 @@ def test_text_of_a_task_is_bounded(spark):
     assert spread_by_size(rows.where("false"), "text", "id").count() == 0
     grams = counting.gram_counts(rows.limit(0), ["id"], "text")
     assert grams.count() == 0
+
+
+def test_adverts_with_a_hot_word_make_no_grams(spark, monkeypatch):
+    """With a dictionary beyond the plan, also where keys repeat or are null and texts are null."""
+    monkeypatch.setattr(counting, "_in_dictionary", lambda surfaces: None)
+    monkeypatch.setattr(counting, "HOT_SAMPLE", 1)
+    filler = "filler " * 60
+    texts = [filler + f"common word{chr(97 + i % 26)} " + filler for i in range(40)]
+    texts += [filler + "rare pair " + filler, filler + "nothing " + filler, None, "common", filler + "common " + filler]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(41, filler + "common " + filler), (None, filler + "common " + filler)]
+    adverts = spark.createDataFrame(rows, "id int, text string")
+    surfaces = stored(spark.createDataFrame([("common",), ("rare pair",), ("absent",)], "surface string"), "surfaces")
+    made = []
+    hits = counting.hits
+    monkeypatch.setattr(counting, "hits", lambda left, *a, **k: made.append(left.count()) or hits(left, *a, **k))
+    got = counting.adverts_with_hits(adverts, surfaces, ["id"], "text").collect()
+    assert sorted(r.id for r in got) == sorted([*range(40), 40, 41, 41, 44])
+    assert made and made[0] <= 4
