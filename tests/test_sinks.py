@@ -134,3 +134,14 @@ def test_small_count_files_are_written_by_several_tasks(spark, tmp_path):
     sink.write_count_lines(counting.count_lines(counts, keywords, ["source_file", "record_no"], ["source_file"], "job_id"), str(tmp_path))
     files = [name for _, _, names in os.walk(tmp_path) for name in names if name.startswith("part-")]
     assert len(files) == 40 and len({name.split("-")[1] for name in files}) > 1
+
+
+def test_count_ranges_are_sorted_by_count_alone(spark, tmp_path, monkeypatch):
+    """A sort by bigram would compare strings for most rows, whose counts are equal."""
+    df = spark.createDataFrame([("a b", 2), ("c d", 1)], "bigram string, count bigint")
+    sorts = []
+    sort = type(df).sortWithinPartitions
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *by: sorts.append(by) or sort(self, *by))
+    sink.write_bigram_counts(df, str(tmp_path / "c"))
+    assert sorts == [("count",)]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "c")).collect())) == [("a b", 2), ("c d", 1)]
