@@ -124,7 +124,8 @@ def _look_up(table: Column, a: Column, b: Column) -> Column:
 
 def merged(word: Column, table: Column) -> Column:
     """Fold the merges over one word ``struct(t, r)``: its tokens' characters between two edges, and the characters that
-    its neighbours merge to, the edges' included. A step joins the first pair of lowest rank."""
+    its neighbours merge to, the edges' included. A step joins the first pair of lowest rank; when none is left the second
+    text becomes empty, and the steps that remain have nothing to look at."""
 
     def code(t: Column, i: Column) -> Column:
         return F.ascii(F.substring(t, i, F.lit(1))).cast("long")
@@ -145,9 +146,10 @@ def merged(word: Column, table: Column) -> Column:
                     F.overlay(t, low, i, F.lit(2)).alias("t"), F.overlay(r, sides, i - 1, F.lit(3)).alias("r")
                 )
 
-            return F.when(low == NONE, state).otherwise(_with(F.instr(r, low), at))
+            done = F.struct(t.alias("t"), F.lit("").alias("r"))
+            return F.when(low == NONE, done).otherwise(_with(F.instr(r, low), at))
 
-        return _with(F.array_min(F.split(r, "")), join)
+        return F.when(r == "", state).otherwise(_with(F.array_min(F.split(r, "")), join))
 
     steps = F.sequence(F.lit(1), F.greatest(F.char_length(word["t"]) - 3, F.lit(1)))
     return F.aggregate(steps, word, step, lambda s: F.substring(s["t"], F.lit(2), F.char_length(s["t"]) - 2))

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import tiktoken
@@ -41,3 +43,12 @@ def test_blocks_share_their_words(spark, docs, monkeypatch):
     assert [r["fresh"] for r in rows] == [True, False, True]
     assert [np.frombuffer(r["places"], np.int32).tolist() for r in rows] == [[0, 1, 0], [2, 0], [0, 1]]
     assert whole == sorted(map(key, bpe.encode(docs.repartition(7)).collect()))
+
+
+def test_steps_after_the_last_merge_cost_little(spark):
+    """A long word without any merge is looked at once, not at every step of the fold."""
+    ranks = {bytes([b]): b for b in range(256)}
+    frame = spark.createDataFrame([(1, "xy" * 10_000)], "doc_id long, text string")
+    begin = time.time()
+    (row,) = bpe.encode(frame, ranks=ranks, pattern=r"\S+").collect()
+    assert list(row.ids) == [120, 121] * 10_000 and time.time() - begin < 8
