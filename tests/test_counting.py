@@ -244,3 +244,18 @@ def test_adverts_with_a_hot_word_make_no_grams(spark, monkeypatch):
     got = counting.adverts_with_hits(adverts, surfaces, ["id"], "text").collect()
     assert sorted(r.id for r in got) == sorted([*range(40), 40, 41, 41, 44])
     assert made and made[0] <= 4
+
+
+def test_snippets_of_all_hits_move_no_text(spark, explain):
+    """Every hit is found in its advert's row; only adverts that share a key are looked at together."""
+    words = " ".join(["fill"] * 60 + ["grid", "grids", "grid", "wind"] + ["fill"] * 60)
+    matches = spark.createDataFrame([("grid", "grid", "a"), ("grids", "grid", "a"), ("grid", "grid", "b"), ("wind", "wind", "a")], "surface string, base string, tech string")
+    rows = [(1, words), (2, words), (2, words), (None, words), (None, words), (4, "fill"), (5, None)]
+    adverts = spark.createDataFrame(rows, "id long, body string").withColumns({"title": F.lit("t"), "place": F.lit("p")})
+    hits = [("a", "grid"), ("a", "wind"), ("b", "grid")]
+    found = counting.snippets(adverts, matches, ["id"], "body", "id", "title", "place", 1.0)
+    got = sorted((r.id or 0, r.tech, r.keyword) for r in found.where(F.col("jobtext") == words).collect())
+    assert found.count() == 9 and got == sorted((i, *hit) for i in (0, 1, 2) for hit in hits)
+    unique = adverts.where("id in (1, 4, 5)")
+    shown = explain(counting.snippets(unique, matches, ["id"], "body", "id", "title", "place", 1.0))
+    assert "hashpartitioning" not in shown and "SortAggregate" not in shown
