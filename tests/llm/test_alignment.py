@@ -88,3 +88,14 @@ def test_token_bytes(spark):
     frame = spark.createDataFrame([tuple(ids)], "a array<int>, b array<int>")
     row = frame.select(alignment.token_bytes(True, frame.a).alias("a"), alignment.token_bytes(False, frame.b).alias("b")).first()
     assert bytes(row.a) == bytes(row.b) == (" " + text).encode()
+
+
+def test_windows_are_named_from_the_vocabularies():
+    """Ids are not turned into text for every occurrence: the names are made once per vocabulary."""
+    aligner = alignment.Aligner(*alignment.default_paths())
+    before = aligner.align(["one word and another, überaus 12345", "one"])[2]
+    aligner.forget_windows()
+    aligner.names_a = [f"a{i}" for i in range(len(aligner.bytes_a))]
+    aligner.names_b = [f"b{i}" for i in range(len(aligner.bytes_b))]
+    named = aligner.align(["one word and another, überaus 12345", "one"])[2]
+    assert named != before and [g.replace("a", "").replace("b", "") for g in named] == before
