@@ -2,8 +2,8 @@
 
 Texts are split by the tokenizer's pattern. The distinct words of a task's documents go through the merges once: Spark
 higher-order functions fold over a word's array of byte tokens, each step joining the first pair of lowest rank, until
-no pair has one. Documents come in blocks of bounded size; a block brings the words that the ones before it had not. The ranks are a literal: every pair of tokens whose bytes together are a token, placed by a perfect
-hash, so that a look-up is two array accesses. Documents then take the ids of their words; decoding concatenates the
+no pair has one. Documents come in blocks of bounded size; a block brings the words that the ones before it had not. The ranks are a literal: every pair of tokens whose bytes together are a token, in the bucket of
+its hash, so that a look-up is one array access and a search in a short text. Documents then take the ids of their words; decoding concatenates the
 binary pieces of the ids.
 """
 
@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +48,9 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
 
 
-#: Sizes of the perfect hash and its multipliers.
-_SLOTS, _GROUPS = 1 << 18, 1 << 15
-_MIX, _MIX_GROUP = (40503, 60493), (31153, 10007)
-
-
-class RankMap(NamedTuple):
-    """Perfect hash of the pairs: a shift per group, the pair (-1: none) and the merged token per slot."""
-
-    shift: np.ndarray
-    pair: np.ndarray
-    rank: np.ndarray
+#: Buckets of the table of pairs, and what stands in front of each of a bucket's pairs.
+_BUCKETS = 1 << 18
+_MARK = "\ue001"
 
 
 def pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,42 +64,21 @@ def pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.array(out, np.int64).T.reshape(3, -1))
 
 
-def rank_map(ranks: dict[bytes, int]) -> RankMap:
-    """The fullest groups choose their shift first; ids count from one here, as the characters do."""
+def rank_map(ranks: dict[bytes, int]) -> list[str]:
+    """Pairs by their hash: a bucket is ``NONE``, then a mark, a pair and its merged token for each pair that falls there.
+    Ids count from one here, as the characters do."""
     if max(ranks.values(), default=-1) >= MOST_TOKENS:
         raise ValueError(f"more than {MOST_TOKENS} tokens")
-    a, b, rank = (x + 1 for x in pairs(ranks))
-    group = (a * _MIX_GROUP[0] + b * _MIX_GROUP[1]) % _GROUPS
-    place = a * _MIX[0] + b * _MIX[1]
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(_GROUPS + 1))
-    out = RankMap(np.zeros(_GROUPS, np.int64), np.full(_SLOTS, -1, np.int64), np.zeros(_SLOTS, np.int64))
-    for g in np.argsort(cuts[:-1] - cuts[1:], kind="stable"):
-        members = order[cuts[g] : cuts[g + 1]]
-        if not len(members):
-            break
-        if len(np.unique(place[members] % _SLOTS)) < len(members):
-            raise ValueError("two pairs of a group fall together under every shift")
-        for shift in range(_SLOTS):
-            at = (place[members] + shift * 7919) % _SLOTS
-            if (out.pair[at] < 0).all():
-                break
-        else:
-            raise ValueError("the pairs do not fit")
-        out.shift[g], out.pair[at], out.rank[at] = shift * 7919, a[members] * 65536 + b[members], rank[members]
+    out = [NONE] * _BUCKETS
+    for a, b, rank in zip(*(x.tolist() for x in pairs(ranks))):
+        pair = f"{_MARK}{chr(a + 1)}{chr(b + 1)}"
+        out[zlib.crc32(pair.encode()) % _BUCKETS] += pair + chr(rank + 1)
     return out
 
 
-def _literal(values: list[str]) -> Column:
+def _literal_map(ranks: list[str]) -> Column:
     """An array literal: the optimizer folds the text into the array once."""
-    return F.split(F.lit(",".join(values)), ",")
-
-
-def _literal_map(ranks: RankMap) -> Column:
-    """``shift`` and ``pair`` as numbers, ``rank`` as the merged token's character."""
-    number = lambda x: _literal(list(map(str, x.tolist()))).cast("array<bigint>")
-    chars = _literal([chr(v) if v > 44 else f"{v:x}" if v else "" for v in ranks.rank.tolist()])
-    return F.struct(number(ranks.shift).alias("shift"), number(ranks.pair).alias("pair"), chars.alias("rank"))
+    return F.split(F.lit(EDGE.join(ranks)), EDGE)
 
 
 def _with(value: Column, body) -> Column:
@@ -115,11 +86,11 @@ def _with(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _look_up(table: Column, a: Column, b: Column) -> Column:
-    """The character of two neighbours' merged token, ``NONE`` if they do not merge, as with an ``EDGE``."""
-    group = (a * _MIX_GROUP[0] + b * _MIX_GROUP[1]).bitwiseAND(_GROUPS - 1)
-    place = (a * _MIX[0] + b * _MIX[1] + table["shift"][group]).bitwiseAND(_SLOTS - 1)
-    return _with(place, lambda s: F.when(table["pair"][s] == a * 65536 + b, table["rank"][s]).otherwise(F.lit(NONE)))
+def _look_up(table: Column, pair: Column) -> Column:
+    """The character of the merged token of a marked pair, ``NONE`` if it does not merge, as with an ``EDGE``: what follows the
+    pair in its bucket, or the bucket's beginning."""
+    bucket = table[F.crc32(pair.cast("binary")).bitwiseAND(_BUCKETS - 1)]
+    return F.left(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(1))
 
 
 def merged(word: Column, table: Column) -> Column:
@@ -127,23 +98,16 @@ def merged(word: Column, table: Column) -> Column:
     its neighbours merge to, the edges' included. A step joins the first pair of lowest rank; when none is left the second
     text becomes empty, and the steps that remain have nothing to look at."""
 
-    def code(t: Column, i: Column) -> Column:
-        return F.ascii(F.substring(t, i, F.lit(1))).cast("long")
-
     def step(state: Column, _: Column) -> Column:
         t, r = state["t"], state["r"]
 
         def join(low: Column) -> Column:
             def at(i: Column) -> Column:
-                codes = F.struct(
-                    code(t, i - 1).alias("before"), F.ascii(low).cast("long").alias("new"), code(t, i + 2).alias("after")
-                )
-                sides = _with(
-                    codes,
-                    lambda c: F.concat(_look_up(table, c["before"], c["new"]), _look_up(table, c["new"], c["after"])),
-                )
+                mark, one = F.lit(_MARK), F.lit(1)
+                sides = F.array(F.concat(mark, F.substring(t, i - 1, one), low), F.concat(mark, low, F.substring(t, i + 2, one)))
+                merges = F.array_join(F.transform(sides, lambda pair: _look_up(table, pair)), "")
                 return F.struct(
-                    F.overlay(t, low, i, F.lit(2)).alias("t"), F.overlay(r, sides, i - 1, F.lit(3)).alias("r")
+                    F.overlay(t, low, i, F.lit(2)).alias("t"), F.overlay(r, merges, i - 1, F.lit(3)).alias("r")
                 )
 
             done = F.struct(t.alias("t"), F.lit("").alias("r"))
@@ -155,7 +119,7 @@ def merged(word: Column, table: Column) -> Column:
     return F.aggregate(steps, word, step, lambda s: F.substring(s["t"], F.lit(2), F.char_length(s["t"]) - 2))
 
 
-def encoded_words(words: Column, ranks: RankMap) -> Column:
+def encoded_words(words: Column, ranks: list[str]) -> Column:
     """The tokens of each word, one character each."""
     return _with(_literal_map(ranks), lambda table: F.transform(words, lambda w: merged(w, table)))
 

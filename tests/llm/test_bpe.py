@@ -52,3 +52,19 @@ def test_steps_after_the_last_merge_cost_little(spark):
     begin = time.time()
     (row,) = bpe.encode(frame, ranks=ranks, pattern=r"\S+").collect()
     assert list(row.ids) == [120, 121] * 10_000 and time.time() - begin < 8
+
+
+def test_pairs_that_share_a_bucket_are_told_apart(spark, monkeypatch):
+    """Every pair finds its own merge, and pairs that do not merge find none, however many share a bucket."""
+    monkeypatch.setattr(bpe, "_BUCKETS", 4)
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"aa": 259, b"cab": 260}
+    want = {bpe._MARK + chr(a + 1) + chr(b + 1): chr(rank + 1) for a, b, rank in zip(*(x.tolist() for x in bpe.pairs(ranks)))}
+    none = [bpe._MARK + x for x in ("ba", bpe.EDGE + "b", "c" + bpe.EDGE, bpe.NONE + "b")]
+    frame = spark.createDataFrame([(pair,) for pair in [*want, *none]], "pair string")
+    table = bpe._literal_map(bpe.rank_map(ranks))
+    got = {r.pair: r.merge for r in frame.select("pair", bpe._look_up(table, frame.pair).alias("merge")).collect()}
+    assert got == want | dict.fromkeys(none, bpe.NONE)
+    rows = spark.createDataFrame([(1, "abc aaaa bcbc cabcab")], "doc_id long, text string")
+    library = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    (row,) = bpe.encode(rows, ranks=ranks, pattern=r"\S+|\s+").collect()
+    assert list(row.ids) == library.encode_ordinary("abc aaaa bcbc cabcab")
