@@ -207,11 +207,10 @@ def _collect_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.record_batch([lists(f.bucket, pa.int32()), lists(f.count, pa.int32()), pa.array(list(f.stats), pa.list_(pa.float64())), batch.column(2).cast(pa.int32())], ["bucket", "n", "stats", "y"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machine:
-    """Train on a bounded sample of the labelled rows for which ``learn`` holds."""
-    sample = labelled_sample(docs, labels, label, learn, ["text", F.col("n_chars").cast("double").alias("n_chars")])
-    rows = sample.mapInArrow(_collect_features, "bucket array<int>, n array<int>, stats array<double>, y int").toArrow()
-    rows = rows.combine_chunks()
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the sample to the machine, its arrays as bytes."""
+    rows = list(batches)
+    rows = pa.Table.from_batches(rows).combine_chunks() if rows else []
     lists = [np.asarray(rows["bucket"].combine_chunks().flatten(), np.int64), np.asarray(rows["n"].combine_chunks().flatten(), np.int64)] if len(rows) else [np.zeros(0, np.int64)] * 2
     lengths = np.asarray(rows["bucket"].combine_chunks().value_lengths()) if len(rows) else np.zeros(0, np.int64)
     stats = np.asarray(rows["stats"].combine_chunks().flatten()).reshape(-1, STATS) if len(rows) else np.zeros((0, STATS))
@@ -221,8 +220,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machin
     del rows, lists
     machine = train(*_ordered(f, y))
     del f, y
+    yield pa.record_batch([pa.array([machine.bias]), *(pa.array([x.tobytes()], pa.binary()) for x in machine[1:])], list(Machine._fields))
     give_back()
-    return machine
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> Machine:
+    """Train on a bounded sample of the labelled rows for which ``learn`` holds. A task trains, so that the driver holds
+    the machine only and not the sample."""
+    sample = labelled_sample(docs, labels, label, learn, ["text", F.col("n_chars").cast("double").alias("n_chars")])
+    rows = sample.mapInArrow(_collect_features, "bucket array<int>, n array<int>, stats array<double>, y int").repartition(1)
+    row = rows.mapInArrow(_trained, "bias double, w binary, v binary, mean binary, scale binary").first()
+    if row is None:  # a plan that is known to have no rows has no task either
+        return train(Features(*[np.zeros(0, np.int64)] * 3, np.zeros((0, STATS))), np.zeros(0))
+    w, v, mean, scale = (np.frombuffer(x) for x in row[1:])
+    return Machine(row.bias, w, v.reshape(-1, RANK), mean, scale)
 
 
 def _ordered(f: Features, y: np.ndarray) -> tuple[Features, np.ndarray]:

@@ -225,15 +225,9 @@ def _seen(net: Net, words: list[np.ndarray]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", bound: int = SAMPLE) -> Model:
-    """Train on at most ``bound`` labelled rows of either label for which ``learn`` holds, and calibrate on all of them;
-    without rows, or with one label only, every text gets the same score.
-
-    No row is scored by a net that was trained on it: those of the sample by one that was trained on the other half of
-    it, all others by the model's own.
-    """
-    of_label = [labelled_sample(docs, labels.where(F.col(label) == v), label, learn, ["text", "lang"], bound) for v in (0, 1)]
-    rows = of_label[0].unionByName(of_label[1]).mapInArrow(_collect_ids, "ids binary, lang string, y int").toArrow().to_pylist()
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the sample to the net, its arrays as bytes, and how many rows of a language and label are in each bin."""
+    rows = [r for batch in batches for r in batch.to_pylist()]
     rows.sort(key=lambda r: (r["y"], r["lang"] or "", r["ids"]))  # tasks give their rows in any order
     words = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 3) for r in rows]
     y = np.array([r["y"] for r in rows], float)
@@ -244,7 +238,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         seen[half == k] = _seen(other, [x for x, h in zip(words, half) if h == k])
     counts = Counter((r["lang"], int(b), r["y"]) for r, b in zip(rows, score_bins(seen)) if r["lang"] is not None)
     del rows, words, seen, y
+    arrays = [pa.array([x.tobytes()], pa.binary()) for x in net[:-1]]
+    binned = [{"lang": lang, "bin": bin_, "y": y, "n": n} for (lang, bin_, y), n in counts.items()]
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("bin", pa.int64()), ("y", pa.int32()), ("n", pa.int64())]))
+    yield pa.record_batch([*arrays, pa.array([net.bias]), pa.array([binned], kind)], [*Net._fields, "counts"])
     give_back()
+
+
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", bound: int = SAMPLE) -> Model:
+    """Train on at most ``bound`` labelled rows of either label for which ``learn`` holds, and calibrate on all of them;
+    without rows, or with one label only, every text gets the same score. A task trains, so that the driver holds the net
+    only and not the sample.
+
+    No row is scored by a net that was trained on it: those of the sample by one that was trained on the other half of
+    it, all others by the model's own.
+    """
+    of_label = [labelled_sample(docs, labels.where(F.col(label) == v), label, learn, ["text", "lang"], bound) for v in (0, 1)]
+    rows = of_label[0].unionByName(of_label[1]).mapInArrow(_collect_ids, "ids binary, lang string, y int").repartition(1)
+    kinds = "table binary, filters binary, shift binary, out binary, bias double"
+    row = rows.mapInArrow(_trained, f"{kinds}, counts array<struct<lang: string, bin: bigint, y: int, n: bigint>>").first()
+    counts: Counter = Counter()
+    if row is None:  # a plan that is known to have no rows has no task either
+        net = train([], np.zeros(0))
+    else:
+        shapes = (TABLE, DIM), (len(_SLICES), DIM, FILTERS), OUT, OUT
+        net = Net(*(np.frombuffer(x).reshape(shape) for x, shape in zip(row, shapes)), row.bias)
+        counts.update({(c.lang, c.bin, c.y): c.n for c in row.counts})
     for r in _counted(docs, labels, learn, label, Model(net, {}), bound).collect():  # a few thousand rows a language
         counts[r.lang, r.bin, r.y] += r.n
     keys = list(counts)

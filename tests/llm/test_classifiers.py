@@ -125,3 +125,18 @@ def test_thresholds_count_all_labelled_rows(spark, words):
         assert sorted(map(tuple, again.collect())) == sorted(map(tuple, counted.collect()))
     finally:
         toxicity.MOST_BROADCAST = toxicity_most
+
+
+def test_tasks_train_and_not_the_driver(marked, monkeypatch):
+    """The driver holds the models only: nothing is trained in its process, and what tasks train is what it gets."""
+    docs, labels = marked
+
+    def here(*_):
+        raise AssertionError("trained by the driver")
+
+    want = [quality.fit(docs, labels, "quality", learn()), toxicity.fit(docs, labels, learn()).net]
+    monkeypatch.setattr(quality, "train", here)
+    monkeypatch.setattr(toxicity, "train", here)
+    got = [quality.fit(docs, labels, "quality", learn()), toxicity.fit(docs, labels, learn()).net]
+    for a, b in zip(want, got):
+        assert all(np.array_equal(x, y) for x, y in zip(a, b)) and np.any(a[1])
