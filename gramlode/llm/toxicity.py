@@ -16,12 +16,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gramlode.llm.common import give_back
-from gramlode.llm.quality import first_ids, labelled_ids, labelled_sample, slices
+from gramlode.llm.quality import first_ids, slices
 from gramlode.llm.tokens import NOT_LETTERS, Hasher, blocks
 from gramlode.session import stored
 
@@ -80,7 +81,10 @@ def _pooled(net: Net, projected: np.ndarray, ids: np.ndarray, first: np.ndarray)
 
 
 def project(net: Net) -> np.ndarray:
-    return np.concatenate([net.table @ net.filters[i] for i in range(len(_SLICES))], 1).astype(np.float32)
+    out = np.empty((len(net.table), len(_SLICES) * FILTERS), np.float32)
+    for i in range(len(_SLICES)):
+        out[:, i * FILTERS : (i + 1) * FILTERS] = net.table @ net.filters[i]
+    return out
 
 
 def scores(net: Net, projected: np.ndarray, column: pa.Array) -> np.ndarray:
@@ -175,6 +179,7 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Net:
 class Model(NamedTuple):
     net: Net
     thresholds: dict[str, float]
+    shared: Broadcast  # the net; a model is sent to the tasks once, whatever is scored with it
 
 
 def score_bins(scores_: np.ndarray) -> np.ndarray:
@@ -253,8 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     No row is scored by a net that was trained on it: those of the sample by one that was trained on the other half of
     it, all others by the model's own.
     """
-    of_label = [labelled_sample(docs, labels.where(F.col(label) == v), label, learn, ["text", "lang"], bound) for v in (0, 1)]
-    rows = of_label[0].unionByName(of_label[1]).mapInArrow(_collect_ids, "ids binary, lang string, y int").repartition(1)
+    known, sample = _labelled(labels, learn, label, bound)
+    marked = docs.join(F.broadcast(sample), "doc_id").select("text", "lang", "_label")
+    rows = marked.mapInArrow(_collect_ids, "ids binary, lang string, y int").repartition(1)
     kinds = "table binary, filters binary, shift binary, out binary, bias double"
     row = rows.mapInArrow(_trained, f"{kinds}, counts array<struct<lang: string, bin: bigint, y: int, n: bigint>>").first()
     counts: Counter = Counter()
@@ -264,22 +270,32 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         shapes = (TABLE, DIM), (len(_SLICES), DIM, FILTERS), OUT, OUT
         net = Net(*(np.frombuffer(x).reshape(shape) for x, shape in zip(row, shapes)), row.bias)
         counts.update({(c.lang, c.bin, c.y): c.n for c in row.counts})
-    for r in _counted(docs, labels, learn, label, Model(net, {}), bound).collect():  # a few thousand rows a language
+    model = Model(net, {}, docs.sparkSession.sparkContext.broadcast(tuple(net)))
+    for r in _scored_bins(docs, learn, model, known, sample).collect():  # a few thousand rows a language
         counts[r.lang, r.bin, r.y] += r.n
     keys = list(counts)
     column = lambda i: np.array([k[i] for k in keys], np.int64)
-    return Model(net, thresholds([k[0] for k in keys], column(1), column(2), np.array([counts[k] for k in keys], np.int64)))
+    return model._replace(thresholds=thresholds([k[0] for k in keys], column(1), column(2), np.array([counts[k] for k in keys], np.int64)))
+
+
+def _labelled(labels: DataFrame, learn: Column, label: str, bound: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, _label`` of all labelled ids for which ``learn`` holds, an id with both labels under each; and of the sample, at
+    most ``bound`` ids of either label. Both are stored: what follows neither groups nor sorts the labels again."""
+    of = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+    known = stored(of.select("doc_id", F.col(label).alias("_label")).distinct(), "toxicity-labelled")
+    first = [first_ids(known.where(F.col("_label") == v), bound) for v in (0, 1)]
+    return known, stored(first[0].unionByName(first[1]).coalesce(1), "toxicity-sample")
 
 
 def _counted(docs: DataFrame, labels: DataFrame, learn: Column, label: str, model: Model, bound: int) -> DataFrame:
     """``lang, bin, y, n`` of all labelled rows for which ``learn`` holds, but those of the sample."""
-    known = [labelled_ids(labels.where(F.col(label) == v), label, learn) for v in (0, 1)]
-    rest = known[0].unionByName(known[1])
-    for ids in known:
-        rest = rest.join(F.broadcast(first_ids(ids, bound).select("doc_id")), "doc_id", "left_anti")
-    rest = stored(rest, "toxicity-labelled")
+    return _scored_bins(docs, learn, model, *_labelled(labels, learn, label, bound))
+
+
+def _scored_bins(docs: DataFrame, learn: Column, model: Model, known: DataFrame, sample: DataFrame) -> DataFrame:
+    rest = known.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_anti")
     usable = docs.where(F.col("lang").isNotNull() & learn)
-    if rest.count() <= MOST_BROADCAST:
+    if known.count() <= MOST_BROADCAST:
         scored = score(usable.join(F.broadcast(rest), "doc_id"), model, ["lang", "_label"])
     else:  # scores are moved, not texts
         scored = score(usable, model, ["doc_id", "lang"]).join(rest, "doc_id")
@@ -290,10 +306,11 @@ def _counted(docs: DataFrame, labels: DataFrame, learn: Column, label: str, mode
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``_score``, the probability of label 1. A null or empty text has no words and gets
     the lowest evidence there is; repeated rows get equal scores; no rows give no rows."""
-    shared = docs.sparkSession.sparkContext.broadcast((tuple(model.net._replace(table=None)), project(model.net)))
+    shared = model.shared
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, projected = Net(*shared.value[0]), shared.value[1]
+        net = Net(*shared.value)
+        projected = project(net)
         for batch in (part for whole in batches for part in slices(whole)):
             k = batch.num_columns - 1
             yield pa.record_batch([*batch.columns[:k], pa.array(scores(net, projected, batch.column(k)))], [*batch.schema.names[:k], "_score"])

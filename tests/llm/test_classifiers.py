@@ -147,3 +147,15 @@ def test_tasks_train_and_not_the_driver(marked, monkeypatch):
     got = [quality.fit(docs, labels, "quality", learn()), toxicity.fit(docs, labels, learn()).net]
     for a, b in zip(want, got):
         assert all(np.array_equal(x, y) for x, y in zip(a, b)) and np.any(a[1])
+
+
+def test_the_net_is_sent_to_the_tasks_once(marked, spark, monkeypatch):
+    """Calibrating and scoring share one broadcast: copies of the net in the driver do not add up."""
+    docs, labels = marked
+    sent = []
+    broadcast = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(1) or broadcast(self, value))
+    model = toxicity.fit(docs, labels, learn())
+    for _ in range(2):
+        assert toxicity.score(docs, model, ["doc_id"]).count() == docs.count()
+    assert len(sent) == 1
