@@ -2,8 +2,8 @@
 
 Texts are split by the tokenizer's pattern. The distinct words of a task's documents go through the merges once: Spark
 higher-order functions fold over a word's array of byte tokens, each step joining the first pair of lowest rank, until
-no pair has one. Documents come in blocks of bounded size; a block brings the words that the ones before it had not. The ranks are a literal: every pair of tokens whose bytes together are a token, in the bucket of
-its hash, so that a look-up is one array access and a search in a short text. Documents then take the ids of their words; decoding concatenates the
+no pair has one. Documents come in blocks of bounded size; a block brings the words that the ones before it had not. The ranks come with a block, so that the plan and the driver do not hold them: every pair of
+tokens whose bytes together are a token, in the bucket of its hash, so that a look-up is one array access and a search in a short text. Documents then take the ids of their words; decoding concatenates the
 binary pieces of the ids.
 """
 
@@ -77,7 +77,7 @@ def rank_map(ranks: dict[bytes, int]) -> list[str]:
 
 
 def _literal_map(ranks: list[str]) -> Column:
-    """An array literal: the optimizer folds the text into the array once."""
+    """The table as an array literal, for small ones: the optimizer folds the text into the array once, and the plan holds it."""
     return F.split(F.lit(EDGE.join(ranks)), EDGE)
 
 
@@ -119,13 +119,13 @@ def merged(word: Column, table: Column) -> Column:
     return F.aggregate(steps, word, step, lambda s: F.substring(s["t"], F.lit(2), F.char_length(s["t"]) - 2))
 
 
-def encoded_words(words: Column, ranks: list[str]) -> Column:
+def encoded_words(words: Column, ranks: Column) -> Column:
     """The tokens of each word, one character each."""
-    return _with(_literal_map(ranks), lambda table: F.transform(words, lambda w: merged(w, table)))
+    return _with(ranks, lambda table: F.transform(words, lambda w: merged(w, table)))
 
 
 #: ``fresh``: the table of distinct words begins anew with this block.
-BLOCK = "fresh boolean, keys array<long>, sizes binary, places binary, words array<struct<t string, r string>>"
+BLOCK = "fresh boolean, keys array<long>, sizes binary, places binary, words array<struct<t string, r string>>, ranks array<string>"
 #: Words of a block (one document may have more), and distinct words after which the table begins anew.
 BLOCK_WORDS, TABLE_WORDS = 1 << 19, 1 << 19
 
@@ -140,11 +140,11 @@ def _block_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         begin = end
 
 
-def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, codes: np.ndarray):
+def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, codes: np.ndarray, ranks: pa.Array = pa.array([], pa.string())):  # noqa: B008
     """Rows ``key, words`` to one row per block: keys, words a document, the place of every word among the distinct ones,
     and the distinct words that are new, as ``merged`` takes them. ``byte_code``, ``pair_code``: characters of single bytes, and of
     what two bytes merge to. A word that is one of ``tokens`` is that token, whatever its merges: ``codes`` has its
-    character."""
+    character. ``ranks`` goes along with every block."""
 
     def strings(codes: np.ndarray, ends: np.ndarray) -> pa.Array:
         """Runs of characters that end at ``ends``, without an object for each."""
@@ -202,8 +202,9 @@ def _gather(byte_code: np.ndarray, pair_code: np.ndarray, tokens: pa.Array, code
                     pa.array([np.asarray(lists.value_lengths().fill_null(0), np.int64).tobytes()], pa.binary()),
                     pa.array([table_place[np.asarray(coded.indices)].tobytes()], pa.binary()),
                     pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), split),
+                    pa.ListArray.from_arrays(pa.array([0, len(ranks)], pa.int32()), ranks),
                 ],
-                ["fresh", "keys", "sizes", "places", "words"],
+                ["fresh", "keys", "sizes", "places", "words", "ranks"],
             )
             del lists, coded, words, split, known, new, table_place
             give_back()
@@ -293,8 +294,8 @@ def encode(
     pieces = {chr(rank + 1): token for token, rank in ranks.items()}
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     split = docs.select(F.col(f"`{key}`").cast("long").alias("key"), words.alias("words"))
-    blocks = split.mapInArrow(_gather(byte_code, pair_code, *token_table(ranks)), BLOCK)
-    folded = blocks.select("fresh", "keys", "sizes", "places", encoded_words(F.col("words"), rank_map(ranks)).alias("tokens"))
+    blocks = split.mapInArrow(_gather(byte_code, pair_code, *token_table(ranks), pa.array(rank_map(ranks), pa.string())), BLOCK)
+    folded = blocks.select("fresh", "keys", "sizes", "places", encoded_words(F.col("words"), F.col("ranks")).alias("tokens"))
     kinds = ("string", "string") if digests else ("array<int>", "binary")
     return folded.mapInArrow(_spread(pieces, digests), f"key long, n_tokens long, ids {kinds[0]}, decoded {kinds[1]}")
 

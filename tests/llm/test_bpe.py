@@ -68,3 +68,9 @@ def test_pairs_that_share_a_bucket_are_told_apart(spark, monkeypatch):
     library = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
     (row,) = bpe.encode(rows, ranks=ranks, pattern=r"\S+|\s+").collect()
     assert list(row.ids) == library.encode_ordinary("abc aaaa bcbc cabcab")
+
+
+def test_the_plan_does_not_hold_the_ranks(docs):
+    """The table of ranks goes to the tasks with their function: the driver's plans stay small."""
+    plan = bpe.encode(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000
