@@ -36,3 +36,20 @@ def test_large_components_are_an_error(spark):
     frame = spark.createDataFrame([(50, [5000.0]), (1, [1.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="1048576"):
         topk.top_k(frame, frame).collect()
+
+
+def test_blocks_meet_without_rows_of_pairs(spark, explain, monkeypatch):
+    """A row that holds a block of candidates beside one of queries is repeated for every such pair."""
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(0, 0.3, (200, 9)).astype(np.float32)
+    vectors[20:60] = vectors[3]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = topk.top_k(frame, frame.where("vec_id % 5 = 0"))
+    assert "Join" not in explain(found)
+    q = np.floor(256 * vectors.astype(float)).astype(int)
+    want = []
+    for a in range(0, 200, 5):
+        best = sorted((-int(q[a] @ q[b]), b) for b in range(200) if b != a)[:5]
+        want += [(a, i + 1, b, -s) for i, (s, b) in enumerate(best)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
